@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from rangevec.llm import exact_dedup
+from rangevec.llm import exact_dedup, simhash, warc
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 #: DuckDB SQL for those that SQL can express over whole tables.
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
