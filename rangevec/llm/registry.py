@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from rangevec.llm import exact_dedup, simhash, warc
+from rangevec.llm import decontaminate, exact_dedup, language, licenses, packing, simhash, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_packing": packing.op6_packing,
+    "op7_language": language.op7_language,
+    "op9_licenses": licenses.op9_licenses,
     "op10_warc": warc.op10_warc,
 }
 
