@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rangevec.llm import decontaminate, exact_dedup, language, licenses, packing, simhash, warc
+from rangevec.llm import context_tree, decontaminate, exact_dedup, language, licenses, packing, simhash, warc
 
 QUERIES = {
+    "op1_context_tree": context_tree.op1_context_tree,
     "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,

@@ -176,6 +176,11 @@ def _id_of(value: str | None) -> int | None:
     return int(text) if text else None
 
 
+def _each_file(manifest: DataFrame) -> DataFrame:
+    """One task for each archive; their number is bounded by the writer's tasks and file size."""
+    return manifest.select("path").repartition(max(1, manifest.count()))
+
+
 def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of the archives: page_id, chunk_no, data."""
 
@@ -188,7 +193,7 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
                         for no, data in enumerate(_payload(stream, length, "http" in head.get("content-type", ""), chunk_bytes)):
                             yield pd.DataFrame({"page_id": pd.array([one], "Int64"), "chunk_no": [no], "data": [data]})
 
-    return manifest.select("path").repartition("path").mapInPandas(run, "page_id long, chunk_no long, data binary")
+    return _each_file(manifest).mapInPandas(run, "page_id long, chunk_no long, data binary")
 
 
 def read_records(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -222,7 +227,7 @@ def read_records(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFra
                 yield frame(rows)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.select("path").repartition("path").mapInPandas(run, schema)
+    return _each_file(manifest).mapInPandas(run, schema)
 
 
 def write_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 1000, id_col: str = "page_id", url_col: str | None = "url", payload_col: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
