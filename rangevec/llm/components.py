@@ -34,7 +34,7 @@ def connected_components(links: DataFrame, salts: int = 16, max_rounds: int = 50
     reversed links change nothing; links with a null end are ignored. No links
     give an empty result.
     """
-    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("u") + F.col("v")).isNotNull().alias("whole"))
+    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("u").isNotNull() & F.col("v").isNotNull()).alias("whole"))
     links = materialize(links.where("whole AND u <> v").select("u", "v").distinct(), "links")
     before = _signature(links)
     for _ in range(max_rounds):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rangevec.llm import context_tree, decontaminate, exact_dedup, language, licenses, packing, simhash, warc
+from rangevec.llm import context_tree, decontaminate, exact_dedup, language, licenses, lines, packing, simhash, warc
 
 QUERIES = {
     "op1_context_tree": context_tree.op1_context_tree,
     "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_language": language.op7_language,
     "op9_licenses": licenses.op9_licenses,
