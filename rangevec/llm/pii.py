@@ -43,11 +43,12 @@ TELL = ("@", r"[0-9]\.[0-9]+\.[0-9]", r"[0-9](?:[ -]?[0-9]){11}", r"\+[0-9]")
 GENERATORS = (
     (0, rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:@|\(at\)|\[at\]) ?{_LABEL}++(?: ?(?:\.|\(dot\)|\[dot\]) ?{_LABEL}++)*+"),
     (1, r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
-    (2, r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
-    (2, r"(?<![0-9])3[47][0-9]{2}([ -]?)[0-9]{6}\1[0-9]{5}(?![0-9])"),
-    (2, r"(?<![0-9])[0-9]{12,19}(?![0-9])"),
-    (3, r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"),
-    (3, r"(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    (2, r"(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])"),
+    (2, r"(?<![0-9A-Za-z])3[47][0-9]{2}([ -]?)[0-9]{6}\1[0-9]{5}(?![0-9A-Za-z])"),
+    (2, r"(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"),
+    (3, r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"),
+    (3, r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9]|\.[0-9])"),
+    (3, r"(?<![0-9A-Za-z+])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 )
 SAMPLE = 4000
 PRECISION = 0.95

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rangevec.llm import context_tree, decontaminate, exact_dedup, language, licenses, lines, packing, simhash, warc
+from rangevec.llm import context_tree, decontaminate, exact_dedup, language, licenses, lines, packing, pii, simhash, warc
 
 QUERIES = {
     "op1_context_tree": context_tree.op1_context_tree,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_language": language.op7_language,
+    "op8_pii": pii.op8_pii,
     "op9_licenses": licenses.op9_licenses,
     "op10_warc": warc.op10_warc,
 }
