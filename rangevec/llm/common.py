@@ -19,6 +19,19 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Stands for a null id in Python workers, where a null would turn a batch's ids into floats.
+NO_ID = -(1 << 63)
+
+
+def python_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_and_text`` for Python workers, with the columns of ``keep``; ``real_ids`` undoes what it does to null ids."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def real_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

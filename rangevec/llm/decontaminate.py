@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangevec.llm.common import id_and_text, short_batches, table
+from rangevec.llm.common import python_rows, real_ids, short_batches, table
 from rangevec.sources.scratch import materialize
 
 MASKS = ("111111", "1110111", "11011011", "1100110011")
@@ -116,7 +116,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item_id IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
-    base = id_and_text(docs, id_col, text_col)
+    base = python_rows(docs, id_col, text_col)
     schema = "doc_id long, item_id long, start long, length long, equal long"
     parts = []
     for k in range(n):
@@ -127,7 +127,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
             for b in batches:
                 found = [(doc, *x) for doc, text in zip(b["doc_id"], b["text"]) for x in block.value.overlaps(tokens(text), similarity, min_tokens)]
                 if found:
-                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "length", "equal"]).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "length", "equal"])
 
         parts.append(base.mapInPandas(run, schema))
     if not parts:
@@ -135,7 +135,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return materialize(out, "overlaps")
+    return materialize(real_ids(out), "overlaps")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

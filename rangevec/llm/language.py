@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangevec.llm.common import crc_of_id, short_batches, table
+from rangevec.llm.common import crc_of_id, python_rows, real_ids, short_batches, table
 
 BITS = 16
 STEP = 32
@@ -291,11 +291,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             out = b.drop(columns="text")
             for i, c in enumerate(("lang_pred", "score", "langs")):
                 out[c] = [x[i] for x in said]
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = python_rows(docs, id_col, text_col, keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(run, f"{fields}, lang_pred string, score double, langs string")
+    return real_ids(rows.mapInPandas(run, f"{fields}, lang_pred string, score double, langs string"))
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:

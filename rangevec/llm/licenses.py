@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rangevec.llm.common import id_and_text, short_batches, table
+from rangevec.llm.common import python_rows, real_ids, short_batches, table
 
 # Phrases that stand for a label by themselves.
 PHRASES = {
@@ -237,10 +237,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
                 starts = [at for at, _ in base]
                 shown = ",".join(f"{s[0]}:{s[1]}:{s[2] - 1}" for s in sorted(spans, key=lambda s: (s[1], s[2], s[0])) if s[0])
                 rows.append((doc, len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | more)), float(score), shown))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+            yield pd.DataFrame(rows, columns=names).astype({"first_word": "Int64", "last_word": "Int64"})
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
-    return id_and_text(docs, id_col, text_col).mapInPandas(run, schema)
+    return real_ids(python_rows(docs, id_col, text_col).mapInPandas(run, schema))
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:

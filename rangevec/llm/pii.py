@@ -235,7 +235,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, i
 def find_pii(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, base and added: arrays of spans (k: index into KINDS, s, e in code points); added ones have a score z.
 
-    A candidate is added if it reaches its kind's threshold, overlaps no base
+    A candidate that the base rule has not judged is added if it reaches its kind's threshold, overlaps no base
     span of its kind, and no better candidate of its kind overlaps it (ties: the
     earlier, then the longer).
     """
@@ -243,7 +243,7 @@ def find_pii(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col:
     if not any(np.isfinite(scorer.cuts)):
         return base.select("doc_id", "text", "base", F.expr("cast(array() as array<struct<k:int,s:int,e:int,z:double>>)").alias("added"))
     found = _candidates(base)
-    found = found.withColumn("_z", F.expr(f"transform(filter(cands, c -> NOT exists(base, b -> b.k = c.k AND b.s < c.e AND c.s < b.e)), c -> struct(c.k, c.s, c.e, {scorer.expression()} AS z))"))
+    found = found.withColumn("_z", F.expr(f"transform(filter(cands, c -> c.y IS NULL AND NOT exists(base, b -> b.k = c.k AND b.s < c.e AND c.s < b.e)), c -> struct(c.k, c.s, c.e, {scorer.expression()} AS z))"))
     reach = " ".join(f"WHEN {k} THEN c.z >= {cut:.9e}D" for k, cut in enumerate(scorer.cuts) if np.isfinite(cut))
     found = found.withColumn("_in", F.expr(f"filter(_z, c -> CASE c.k {reach} ELSE false END)"))
     better = "(o.z > c.z OR o.z = c.z AND (o.s < c.s OR o.s = c.s AND o.e > c.e))"

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangevec.llm.common import id_and_text, short_batches, table
+from rangevec.llm.common import python_rows, real_ids, short_batches, table
 from rangevec.llm.components import connected_components
 from rangevec.sources.scratch import materialize
 
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc
                 found[i] = [fingerprint(runs, SEED + w) for w in range(words)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": sizes} | {c: found[:, w].view(np.int64) for w, c in enumerate(names)})
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, n long, " + ", ".join(f"{c} long" for c in names))
+    return real_ids(python_rows(docs, id_col, text_col).mapInPandas(run, "doc_id long, n long, " + ", ".join(f"{c} long" for c in names)))
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
