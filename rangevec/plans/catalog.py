@@ -1,4 +1,761 @@
-"""Registered queries over the reference's operators and their SQL."""
+"""Registered queries over the index operators, each with the SQL it must agree with.
 
+The base relation joins ``embeddings`` with ``events``: an event's value is the
+row's scalar. Every 25th row is a query, with a range of 20 about its own
+scalar. Rows 0 to 31 serve as fine centroids and 0 to 7 as coarse ones, so that
+whole searches can be written in SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rangevec.functions import vectors as V
+from rangevec.operators import assign as A
+from rangevec.operators import graph, kmeans, mutate, pq, route, scan, search, stats
+from rangevec.plans import tuning
+from rangevec.sources import store
+
+K = 10
+SHARED = (10.0, 60.0)
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+# --- relations -------------------------------------------------------------
+
+
+def base(spark: SparkSession, d: str) -> DataFrame:
+    e, v = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("embeddings", "events"))
+    return e.join(v.select(F.col("event_id").alias("vec_id"), F.col("value").alias("scalar"), "ts"), "vec_id").select(
+        "vec_id", V.vector("embedding").alias("embedding"), "label", "scalar", "ts"
+    )
+
+
+def asked(b: DataFrame, shared: tuple | None = None, ranged: bool = True) -> DataFrame:
+    low, high = (F.lit(shared[0]), F.lit(shared[1])) if shared else (F.col("scalar") - 20, F.col("scalar") + 20)
+    none = F.lit(None).cast("double")
+    return b.where("vec_id % 25 = 0").select(
+        F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), (low if ranged else none).alias("range_min"), (high if ranged else none).alias("range_max")
+    )
+
+
+def centroids(b: DataFrame, n: int, ident: str) -> DataFrame:
+    return b.where(F.col("vec_id") < n).select(F.col("vec_id").cast("int").alias(ident), F.col("embedding").alias("centroid"))
+
+
+def listed(b: DataFrame) -> DataFrame:
+    """The base with each row's list and distance to it."""
+    return b.join(A.assign(b, centroids(b, 32, "fine_id")), "vec_id")
+
+
+def parents(b: DataFrame) -> DataFrame:
+    """fine_id, coarse_id, centroid, dist_sq."""
+    fine = centroids(b, 32, "fine_id")
+    near = A.assign(fine, centroids(b, 8, "coarse_id"), "coarse_id", key="fine_id", vec="centroid")
+    return fine.join(near, "fine_id")
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Doubles to six places, integers as longs: what both engines can show alike."""
+    shown = {"double": lambda c: F.round(c, 6) + 0.0, "float": lambda c: F.round(c.cast("double"), 6) + 0.0, "int": lambda c: c.cast("long"), "decimal": lambda c: c.cast("long")}
+    return df.select(*[shown.get(t.split("(")[0], lambda c: c)(F.col(c)).alias(c) for c, t in df.dtypes])
+
+
+WITH = """WITH base AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS emb, e.label, v.value AS scalar FROM embeddings e JOIN events v ON e.vec_id = v.event_id),
+q AS (SELECT vec_id AS qid, emb AS qv, scalar - 20 AS lo, scalar + 20 AS hi FROM base WHERE vec_id % 25 = 0),
+fine AS (SELECT vec_id AS fine_id, emb AS c FROM base WHERE vec_id < 32),
+coarse AS (SELECT vec_id AS coarse_id, emb AS c FROM base WHERE vec_id < 8),
+pairs AS (SELECT q.qid, q.lo, q.hi, b.vec_id, b.scalar, list_distance(q.qv, b.emb) AS dist FROM q, base b),
+asg AS (SELECT vec_id, emb, scalar, fine_id, d2 FROM (SELECT b.vec_id, b.emb, b.scalar, f.fine_id, pow(list_distance(b.emb, f.c), 2) AS d2,
+  row_number() OVER (PARTITION BY b.vec_id ORDER BY list_distance(b.emb, f.c), f.fine_id) AS rn FROM base b, fine f) WHERE rn = 1),
+par AS (SELECT fine_id, coarse_id, c, d2 FROM (SELECT f.fine_id, f.c, k.coarse_id, pow(list_distance(f.c, k.c), 2) AS d2,
+  row_number() OVER (PARTITION BY f.fine_id ORDER BY list_distance(f.c, k.c), k.coarse_id) AS rn FROM fine f, coarse k) WHERE rn = 1),
+sizes AS (SELECT f.fine_id, count(a.vec_id) AS n FROM fine f LEFT JOIN asg a USING (fine_id) GROUP BY f.fine_id),
+dom AS (SELECT min(scalar) AS dlo, max(scalar) AS dhi FROM base),
+binned AS (SELECT fine_id, scalar, least(31, greatest(0, floor((scalar - dlo) * 32 / (dhi - dlo))))::BIGINT AS bin FROM asg, dom),
+syn AS (SELECT fine_id, count(*) AS cnt, min(scalar) AS min_s, max(scalar) AS max_s, avg(scalar) AS mean_s, var_pop(scalar) AS var_s FROM asg GROUP BY fine_id)
+"""
+
+TOP = "SELECT qid, rnk, vec_id, round(dist, 6) AS dist FROM (SELECT qid, vec_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rnk FROM {src}) WHERE rnk <= {k}"
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, d: plain(f(spark, d))
+        if sql:
+            ORACLES[f.__name__] = (WITH + sql) if not sql.startswith("WITH RECURSIVE") else sql
+        return f
+
+    return add
+
+
+# --- exact search ----------------------------------------------------------
+
+
+@query(TOP.format(src="pairs", k=K))
+def exact_knn(spark, d):
+    b = base(spark, d)
+    return search.knn(b, asked(b, ranged=False), K)
+
+
+@query(TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN 10 AND 60)", k=K))
+def exact_knn_range_shared(spark, d):
+    b = base(spark, d)
+    return search.knn(b, asked(b, SHARED), K)
+
+
+@query(TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN lo AND hi)", k=K))
+def exact_knn_range_per_query(spark, d):
+    b = base(spark, d)
+    return search.knn(b, asked(b), K)
+
+
+@query(TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN lo AND hi)", k=K))
+def exact_knn_kernel(spark, d):
+    b = base(spark, d)
+    return search.knn(b, asked(b), K, kernel=True)
+
+
+@query(TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN lo AND hi AND dist <= 1.3)", k=1000))
+def radius_search(spark, d):
+    b = base(spark, d)
+    return search.range_search(b, asked(b), 1.3)
+
+
+@query(""", a AS (SELECT qid, vec_id, dist * 0.3 AS s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM pairs WHERE scalar BETWEEN lo AND hi) WHERE r <= 20),
+b2 AS (SELECT qid, vec_id, dist * 0.7 AS s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM pairs) WHERE r <= 20),
+m AS (SELECT qid, vec_id, min(s) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b2) GROUP BY qid, vec_id)
+SELECT qid, rnk, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, vec_id) AS rnk FROM m) WHERE rnk <= 10""")
+def hybrid_weighted(spark, d):
+    b = base(spark, d)
+    return search.hybrid_search(b, asked(b), K, 0.3)
+
+
+@query("SELECT vec_id, fine_id, round(list_distance(emb, c), 6) AS dist FROM base, fine WHERE vec_id % 5 = 0")
+def pairwise_distance(spark, d):
+    b = base(spark, d)
+    return b.where("vec_id % 5 = 0").crossJoin(F.broadcast(centroids(b, 32, "fine_id"))).select("vec_id", "fine_id", V.l2("embedding", "centroid").alias("dist"))
+
+
+@query("""SELECT qid, rnk, vec_id, round(ip, 6) AS ip FROM (SELECT qid, vec_id, ip, row_number() OVER (PARTITION BY qid ORDER BY -round(ip, 9), vec_id) AS rnk
+FROM (SELECT q.qid, b.vec_id, list_inner_product(q.qv, b.emb) AS ip FROM q, base b)) WHERE rnk <= 10""")
+def inner_product_topk(spark, d):
+    b = base(spark, d)
+    x = b.crossJoin(F.broadcast(asked(b))).select("qid", "vec_id", V.inner_product("qvec", "embedding").alias("ip"))
+    return search.top_k(x.withColumn("o", -F.round("ip", 9)), K, order="o").select("qid", "rnk", "vec_id", "ip")
+
+
+@query("""SELECT qid, rnk, vec_id, round(score, 6) AS score FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY -round(score, 9), vec_id) AS rnk
+FROM (SELECT q.qid, b.vec_id, list_inner_product(q.qv, b.emb) - list_inner_product(b.emb, b.emb) / 2 AS score FROM q, base b)) WHERE rnk <= 10""")
+def half_norm_rank(spark, d):
+    b = base(spark, d)
+    x = b.crossJoin(F.broadcast(asked(b))).select("qid", "vec_id", V.half_norm_score("qvec", "embedding").alias("score"))
+    return search.top_k(x.withColumn("o", -F.round("score", 9)), K, order="o").select("qid", "rnk", "vec_id", "score")
+
+
+@query("""SELECT vec_id, unnest(range(64)) AS dim, round(unnest(list_transform(emb, lambda x: x / (sqrt(list_inner_product(emb, emb)) + 1e-12))), 6) AS x FROM base""")
+def normalize_vectors(spark, d):
+    b = base(spark, d)
+    return b.select("vec_id", F.posexplode(V.normalize("embedding")).alias("dim", "x"))
+
+
+@query("""SELECT q.qid, f.fine_id, round(list_inner_product(list_transform(list_zip(f.c, k.c), lambda p: p[1] - p[2]), list_transform(list_zip(q.qv, k.c), lambda p: p[1] - p[2])), 6) AS dot
+FROM q, fine f, coarse k WHERE k.coarse_id = 0 AND f.fine_id > 0""")
+def alignment(spark, d):
+    b = base(spark, d)
+    here = centroids(b, 8, "coarse_id").where("coarse_id = 0").select(F.col("centroid").alias("here"))
+    x = asked(b).crossJoin(F.broadcast(centroids(b, 32, "fine_id").where("fine_id > 0"))).crossJoin(F.broadcast(here))
+    return x.select("qid", "fine_id", V.alignment("here", "centroid", "qvec").alias("dot"))
+
+
+# --- assignment and training ----------------------------------------------
+
+
+@query("SELECT vec_id, fine_id, round(d2, 6) AS dist_sq FROM asg")
+def assign_fine(spark, d):
+    b = base(spark, d)
+    return A.assign(b, centroids(b, 32, "fine_id"))
+
+
+@query("SELECT vec_id, fine_id, round(d2, 6) AS dist_sq FROM asg")
+def assign_fine_arrow(spark, d):
+    import numpy as np
+
+    b = base(spark, d)
+    c = centroids(b, 32, "fine_id").orderBy("fine_id").collect()
+    return A.assign_arrow(b, np.array([r["centroid"] for r in c]), np.array([r["fine_id"] for r in c]))
+
+
+_SCALE = ", sc AS (SELECT CASE WHEN stddev_pop(scalar) < 1e-6 THEN 1 ELSE stddev_pop(scalar) END AS s FROM base)"
+
+
+def _scale(b: DataFrame) -> float:
+    return b.agg(V.scale_of(F.stddev_pop("scalar")).alias("s")).first()["s"]
+
+
+@query(_SCALE + """, c2 AS (SELECT f.fine_id, f.c, b.scalar AS centre FROM fine f JOIN base b ON b.vec_id = f.fine_id)
+SELECT vec_id, fine_id, round(cost, 6) AS dist_sq FROM (SELECT b.vec_id, f.fine_id, pow(list_distance(b.emb, f.c), 2) + 0.5 * pow((b.scalar - f.centre) / s, 2) AS cost,
+row_number() OVER (PARTITION BY b.vec_id ORDER BY pow(list_distance(b.emb, f.c), 2) + 0.5 * pow((b.scalar - f.centre) / s, 2), f.fine_id) AS rn FROM base b, c2 f, sc) WHERE rn = 1""")
+def assign_attr_aware(spark, d):
+    b = base(spark, d)
+    c = centroids(b, 32, "fine_id").join(b.select(F.col("vec_id").cast("int").alias("fine_id"), F.col("scalar").alias("centre")), "fine_id")
+    return A.assign_attribute(b, c, 0.5, _scale(b))
+
+
+@query(_SCALE + """, c2 AS (SELECT f.fine_id, f.c, min(a.scalar) AS lo, max(a.scalar) AS hi FROM fine f JOIN asg a USING (fine_id) GROUP BY ALL),
+x AS (SELECT b.vec_id, f.fine_id, pow(list_distance(b.emb, f.c), 2) + 0.2 * pow((greatest(f.hi, b.scalar) - least(f.lo, b.scalar)) / s, 2) AS cost FROM base b, c2 f, sc)
+SELECT vec_id, fine_id, round(cost, 6) AS dist_sq FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, fine_id) AS rn FROM x) WHERE rn = 1""")
+def assign_span_penalty(spark, d):
+    b = base(spark, d)
+    spans = listed(b).groupBy("fine_id").agg(F.min("scalar").alias("low"), F.max("scalar").alias("high"))
+    return A.assign_span(b, centroids(b, 32, "fine_id").join(spans, "fine_id"), 0.2, _scale(b))
+
+
+_STEP = """, cen1 AS (SELECT fine_id, list(x ORDER BY i) AS c, max(n) AS n FROM (SELECT fine_id, i, avg(x) AS x, count(*) AS n FROM (SELECT fine_id, unnest(range(64)) AS i, unnest(emb) AS x FROM asg) GROUP BY fine_id, i) GROUP BY fine_id),
+new1 AS (SELECT f.fine_id, coalesce(c1.c, f.c) AS c, coalesce(c1.n, 0) AS n FROM fine f LEFT JOIN cen1 c1 USING (fine_id))"""
+
+
+@query(_STEP + " SELECT fine_id, n, unnest(range(64)) AS dim, round(unnest(c), 6) AS x FROM new1")
+def lloyd_step_1(spark, d):
+    b = base(spark, d)
+    c = kmeans.lloyd_step_sql(b, centroids(b, 32, "fine_id"))
+    return c.select("fine_id", "n", F.posexplode("centroid").alias("dim", "x"))
+
+
+@query(_STEP + """, asg2 AS (SELECT vec_id, emb, fine_id FROM (SELECT b.vec_id, b.emb, f.fine_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(list_distance(b.emb, f.c), 12), f.fine_id) AS rn FROM base b, new1 f) WHERE rn = 1),
+cen2 AS (SELECT fine_id, i, avg(x) AS x FROM (SELECT fine_id, unnest(range(64)) AS i, unnest(emb) AS x FROM asg2) GROUP BY fine_id, i)
+SELECT fine_id, i AS dim, round(x, 6) AS x FROM cen2""")
+def lloyd_step_2(spark, d):
+    import numpy as np
+
+    b = base(spark, d)
+    start = np.array([r["centroid"] for r in centroids(b, 32, "fine_id").orderBy("fine_id").collect()])
+    c = kmeans.lloyd_step(b, kmeans.lloyd_step(b, start))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(c)]
+    table = spark.createDataFrame(rows, "fine_id int, c array<double>")
+    return table.select("fine_id", F.posexplode("c").alias("dim", "x"))
+
+
+@query(""", w AS (SELECT p.coarse_id, greatest(1, s.n)::DOUBLE AS w, p.c FROM par p JOIN sizes s USING (fine_id)),
+u AS (SELECT coarse_id, w, unnest(range(64)) AS dim, unnest(c) AS x FROM w)
+SELECT coarse_id, dim, round(sum(w * x) / sum(w), 6) AS x FROM u GROUP BY coarse_id, dim""")
+def weighted_centroids(spark, d):
+    b = base(spark, d)
+    sizes = stats.list_sizes(listed(b), centroids(b, 32, "fine_id"))
+    c = stats.weighted_mean(parents(b).join(sizes, "fine_id"), "coarse_id", "n")
+    return c.select("coarse_id", F.posexplode("centroid").alias("dim", "x"))
+
+
+@query(None)
+def kmeans_fit(spark, d):
+    b = base(spark, d)
+    two = kmeans.fit_two_level(b, 16, 4, rounds=5, plus_plus=True)
+    return spark.createDataFrame([(i, int(p), [float(x) for x in c]) for i, (p, c) in enumerate(zip(two.parent, two.fine))], "fine_id int, coarse_id int, centroid array<double>")
+
+
+# --- centroid tables -------------------------------------------------------
+
+
+@query("SELECT fine_id, coarse_id, round(d2, 6) AS dist_sq FROM par")
+def fine_to_coarse(spark, d):
+    return parents(base(spark, d)).select("fine_id", "coarse_id", "dist_sq")
+
+
+@query("""SELECT coarse_id, fine_id, rnk FROM (SELECT k.coarse_id, f.fine_id, row_number() OVER (PARTITION BY k.coarse_id ORDER BY list_distance(f.c, k.c), f.fine_id) AS rnk FROM fine f, coarse k) WHERE rnk <= 8""")
+def coarse_seeds(spark, d):
+    b = base(spark, d)
+    return graph.coarse_seeds(centroids(b, 32, "fine_id"), centroids(b, 8, "coarse_id")).select("coarse_id", "fine_id", "rnk")
+
+
+@query("""SELECT src, dst, rnk, round(d2, 6) AS dist_sq FROM (SELECT a.coarse_id AS src, b.coarse_id AS dst, pow(list_distance(a.c, b.c), 2) AS d2, row_number() OVER (PARTITION BY a.coarse_id ORDER BY list_distance(a.c, b.c), b.coarse_id) AS rnk
+FROM coarse a JOIN coarse b ON a.coarse_id <> b.coarse_id) WHERE rnk <= 4""")
+def coarse_neighbors(spark, d):
+    return graph.neighbours(centroids(base(spark, d), 8, "coarse_id"), 4, "coarse_id").select("src", "dst", "rnk", "dist_sq")
+
+
+_EDGES = """, e AS (SELECT src, dst, rnk, d2 FROM (SELECT a.fine_id AS src, b.fine_id AS dst, pow(list_distance(a.c, b.c), 2) AS d2, row_number() OVER (PARTITION BY a.fine_id ORDER BY list_distance(a.c, b.c), b.fine_id) AS rnk
+FROM fine a JOIN fine b ON a.fine_id <> b.fine_id) WHERE rnk <= 8)"""
+
+
+@query(_EDGES + " SELECT src, dst, rnk, round(d2, 6) AS dist_sq FROM e")
+def centroid_knn_graph(spark, d):
+    return graph.neighbours(centroids(base(spark, d), 32, "fine_id"), 8).select("src", "dst", "rnk", "dist_sq")
+
+
+@query(_EDGES + " SELECT src, string_agg(dst, ',' ORDER BY rnk) AS dsts FROM e GROUP BY src")
+def graph_adjacency(spark, d):
+    a = graph.adjacency(graph.neighbours(centroids(base(spark, d), 32, "fine_id"), 8))
+    return a.select("src", F.array_join(F.transform("dsts", lambda x: x.cast("string")), ",").alias("dsts"))
+
+
+# --- statistics ------------------------------------------------------------
+
+
+@query("SELECT fine_id, n FROM sizes")
+def list_sizes(spark, d):
+    b = base(spark, d)
+    return stats.list_sizes(listed(b), centroids(b, 32, "fine_id"))
+
+
+@query("SELECT min(n) AS min_n, max(n) AS max_n, round(avg(n), 6) AS avg_n, count(*) AS lists FROM sizes")
+def list_size_stats(spark, d):
+    b = base(spark, d)
+    return stats.size_stats(stats.list_sizes(listed(b), centroids(b, 32, "fine_id")))
+
+
+@query("SELECT coarse_id, sum(n)::BIGINT AS n, count(*) AS fines FROM sizes JOIN par USING (fine_id) GROUP BY coarse_id")
+def coarse_sizes(spark, d):
+    b = base(spark, d)
+    return stats.coarse_sizes(stats.list_sizes(listed(b), centroids(b, 32, "fine_id")), parents(b))
+
+
+@query("SELECT fine_id, count(*) AS n FROM asg WHERE scalar BETWEEN 10 AND 60 GROUP BY fine_id")
+def count_in_range(spark, d):
+    return stats.count_in_range(listed(base(spark, d)), *SHARED)
+
+
+@query("SELECT round(avg((scalar BETWEEN 10 AND 60)::INT), 6) AS rate FROM base")
+def selection_rate(spark, d):
+    return stats.selection_rate(base(spark, d), *SHARED)
+
+
+@query("SELECT fine_id, bin, count(*) AS n FROM binned GROUP BY fine_id, bin")
+def scalar_histogram32(spark, d):
+    b = base(spark, d)
+    return stats.histogram(listed(b), *stats.domain(b))
+
+
+@query("""SELECT fine_id, CASE WHEN scalar < 10 THEN 0 WHEN scalar > 60 THEN 33 ELSE least(31, greatest(0, floor((scalar - 10) * 32 / 50)))::BIGINT + 1 END AS slot, count(*) AS n FROM asg GROUP BY ALL""")
+def list_histogram34(spark, d):
+    return stats.histogram_open(listed(base(spark, d)), *SHARED)
+
+
+@query("SELECT fine_id, cnt, min_s, max_s, round(mean_s, 6) AS mean_s, round(var_s, 6) AS var_s FROM syn")
+def scalar_synopsis(spark, d):
+    b = base(spark, d)
+    return stats.synopsis(listed(b), *stats.domain(b)).drop("hist")
+
+
+@query("SELECT fine_id, cnt, min_s, max_s, round(mean_s, 6) AS mean_s, round(var_s, 6) AS var_s FROM syn")
+def synopsis_incremental(spark, d):
+    b = base(spark, d)
+    rows, dom = listed(b), stats.domain(b)
+    halves = [stats.synopsis(rows.where(f"vec_id % 2 = {i}"), *dom) for i in (0, 1)]
+    return stats.merge_synopses(*halves).drop("hist")
+
+
+_HITS = """, hits AS (SELECT s.fine_id, q.qid, q.lo, q.hi, s.cnt, s.min_s, s.max_s, s.mean_s, s.var_s,
+CASE WHEN q.hi < s.min_s OR q.lo > s.max_s THEN 0 WHEN q.lo <= s.min_s AND q.hi >= s.max_s THEN s.cnt
+ELSE least(s.cnt, ceil(round((SELECT sum(h.n * greatest(0, least(least(q.hi, dhi), dlo + (h.bin + 1) * (dhi - dlo) / 32) - greatest(greatest(q.lo, dlo), dlo + h.bin * (dhi - dlo) / 32)) / ((dhi - dlo) / 32))
+  FROM (SELECT fine_id, bin, count(*) AS n FROM binned GROUP BY ALL) h WHERE h.fine_id = s.fine_id), 9))) END::BIGINT AS hit FROM syn s, q, dom)"""
+
+
+def _hits(b: DataFrame):
+    dom = stats.domain(b)
+    s = stats.synopsis(listed(b), *dom)
+    return s.crossJoin(F.broadcast(asked(b).drop("qvec"))), dom
+
+
+@query(_HITS + " SELECT qid, fine_id, hit, round(least(1, hit / cnt), 6) AS selectivity FROM hits")
+def selectivity_estimate(spark, d):
+    x, dom = _hits(base(spark, d))
+    lo, hi = F.col("range_min"), F.col("range_max")
+    return x.select("qid", "fine_id", stats.hit_estimate(lo, hi, *dom).alias("hit"), stats.selectivity(lo, hi, *dom).alias("selectivity"))
+
+
+_UTIL = _HITS + """, util AS (SELECT qid, fine_id, greatest(0, least(1, cnt / (cnt + 32.0) * (0.45 * ln(1 + hit) / ln(1 + cnt) + 0.25 * sqrt(least(1, hit / cnt))
++ 0.20 / (1 + pow(greatest(0, lo - mean_s, mean_s - hi) / (sqrt(var_s) + greatest(1e-6, 1e-4 * (dhi - dlo))), 2)) / (1 + (sqrt(var_s) + greatest(1e-6, 1e-4 * (dhi - dlo))) / greatest(dhi - dlo, 1e-6))
++ 0.10 * sqrt(least(1, greatest(0, least(hi, max_s) - greatest(lo, min_s)) / greatest(1e-6, max_s - min_s)) * least(1, greatest(0, least(hi, max_s) - greatest(lo, min_s)) / greatest(1e-6, hi - lo)))))) AS u FROM hits, dom)"""
+
+
+@query(_UTIL + " SELECT qid, fine_id, round(u, 6) AS utility FROM util")
+def scalar_utility(spark, d):
+    x, dom = _hits(base(spark, d))
+    return x.select("qid", "fine_id", stats.utility(F.col("range_min"), F.col("range_max"), *dom).alias("utility"))
+
+
+@query("""SELECT fine_id, count(*) AS n, round(avg(sqrt(d2)), 6) AS mean_dist, round(max(sqrt(d2)), 6) AS max_dist, round(least(1, 20.0 / count(*)) / (1 + avg(sqrt(d2))), 6) AS quality, round(1 / (1 + avg(d2)), 6) AS compactness FROM asg GROUP BY fine_id""")
+def cluster_quality(spark, d):
+    return stats.quality(listed(base(spark, d)), 20)
+
+
+@query("SELECT fine_id, dim, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT fine_id, unnest(range(64)) AS dim, unnest(emb) AS x FROM asg) GROUP BY ALL")
+def cluster_bounds(spark, d):
+    return stats.bounds(listed(base(spark, d)))
+
+
+@query("SELECT fine_id, dim, round(sum(x), 6) AS total, count(*) AS n FROM (SELECT fine_id, unnest(range(64)) AS dim, unnest(emb) AS x FROM asg) GROUP BY ALL")
+def cluster_sums(spark, d):
+    return stats.sums(listed(base(spark, d)))
+
+
+_DRIFT = _STEP + ", dr AS (SELECT f.fine_id, list_distance(n1.c, f.c) AS shift, list_distance(n1.c, f.c) / greatest(1e-12, sqrt(list_inner_product(f.c, f.c))) AS rel_shift, sqrt(list_inner_product(f.c, f.c)) AS len FROM fine f JOIN new1 n1 USING (fine_id))"
+
+
+def _drift(b: DataFrame):
+    fine = centroids(b, 32, "fine_id")
+    return stats.drift(kmeans.lloyd_step_sql(b, fine), fine)
+
+
+@query(_DRIFT + " SELECT fine_id, round(shift, 6) AS shift, round(rel_shift, 6) AS rel_shift FROM dr")
+def centroid_drift(spark, d):
+    return _drift(base(spark, d))
+
+
+@query(_DRIFT + """, s AS (SELECT avg(n) AS mean_n, stddev_pop(n) AS sd_n FROM sizes), t AS (SELECT avg(shift) AS drift, stddev_pop(shift) AS drift_sd, avg(len) AS len FROM dr)
+SELECT round(mean_n, 6) AS mean_n, round(sd_n, 6) AS sd_n, round(drift, 6) AS drift, round(drift_sd, 6) AS drift_sd, round(least(sd_n / mean_n, 1), 6) AS g_fast,
+round(0.4 * least(sd_n / mean_n, 1) + 0.4 * least(drift / len, 1) + 0.2 * least(drift_sd / drift, 1), 6) AS g FROM s, t""")
+def imbalance_metrics(spark, d):
+    b = base(spark, d)
+    fine = centroids(b, 32, "fine_id")
+    return stats.imbalance(stats.list_sizes(listed(b), fine), _drift(b), fine)
+
+
+@query("SELECT round(stddev_pop(n) / avg(n), 6) AS cv, round(least(stddev_pop(n) / avg(n), 1), 6) AS g_coarse FROM (SELECT coarse_id, sum(n) AS n FROM sizes JOIN par USING (fine_id) GROUP BY coarse_id) WHERE n > 0")
+def coarse_imbalance(spark, d):
+    b = base(spark, d)
+    return stats.coarse_imbalance(stats.coarse_sizes(stats.list_sizes(listed(b), centroids(b, 32, "fine_id")), parents(b)))
+
+
+@query("SELECT round(sqrt(sum(greatest(1, n) * d2) / sum(greatest(1, n))), 6) AS radius FROM par JOIN sizes USING (fine_id)")
+def coarse_radius(spark, d):
+    b = base(spark, d)
+    return stats.coarse_radius(parents(b).join(stats.list_sizes(listed(b), centroids(b, 32, "fine_id")), "fine_id"), centroids(b, 8, "coarse_id"))
+
+
+@query("""SELECT fine_id AS step, round(n::DOUBLE, 6) AS g, round(CASE WHEN count(n) OVER w < 5 THEN 10.0 ELSE greatest(5.0, least(30.0, avg(n) OVER w + 2 * stddev_pop(n) OVER w)) END, 6) AS threshold FROM sizes WINDOW w AS (ORDER BY fine_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+def adaptive_threshold(spark, d):
+    b = base(spark, d)
+    s = stats.list_sizes(listed(b), centroids(b, 32, "fine_id")).select(F.col("fine_id").alias("step"), F.col("n").cast("double").alias("g"))
+    return stats.adaptive_threshold(s, 2.0, 10.0, 5.0, 30.0)
+
+
+# --- routed search ---------------------------------------------------------
+
+_NEAR = ", nl AS (SELECT qid, fine_id, d, rank FROM (SELECT q.qid, f.fine_id, pow(list_distance(q.qv, f.c), 2) AS d, row_number() OVER (PARTITION BY q.qid ORDER BY list_distance(q.qv, f.c), f.fine_id) AS rank FROM q, fine f) WHERE rank <= {n})"
+_TWO = """, nc AS (SELECT qid, coarse_id FROM (SELECT q.qid, k.coarse_id, row_number() OVER (PARTITION BY q.qid ORDER BY list_distance(q.qv, k.c), k.coarse_id) AS r FROM q, coarse k) WHERE r <= 4),
+tl AS (SELECT qid, fine_id, d, rank FROM (SELECT q.qid, p.fine_id, pow(list_distance(q.qv, p.c), 2) AS d, row_number() OVER (PARTITION BY q.qid ORDER BY list_distance(q.qv, p.c), p.fine_id) AS rank FROM nc JOIN par p USING (coarse_id) JOIN q USING (qid)) WHERE rank <= 12)"""
+_FOUND = ", found AS (SELECT l.qid, l.fine_id, l.rank, a.vec_id, a.scalar, list_distance(q.qv, a.emb) AS dist FROM {lists} l JOIN asg a USING (fine_id) JOIN q USING (qid) WHERE a.scalar BETWEEN q.lo AND q.hi)"
+
+
+@query(_NEAR.format(n=8) + _FOUND.format(lists="nl") + " " + TOP.format(src="found", k=K))
+def ivf_search(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    return scan.search_lists(route.nearest_lists(q, centroids(b, 32, "fine_id"), 8), q, listed(b), K)
+
+
+def _two(b: DataFrame, q: DataFrame) -> DataFrame:
+    return route.two_level(q, parents(b), centroids(b, 8, "coarse_id"), 4, 3)
+
+
+@query(_TWO + _FOUND.format(lists="tl") + " " + TOP.format(src="found", k=K))
+def two_level_search(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    return scan.search_lists(_two(b, q), q, listed(b), K)
+
+
+_PRUNE = """, okl AS (SELECT tl.*, s.cnt IS NOT NULL AND NOT (q.hi < s.min_s OR q.lo > s.max_s) AS ok FROM tl JOIN q USING (qid) LEFT JOIN syn s USING (fine_id)),
+pr AS (SELECT qid, fine_id, d, rank FROM (SELECT *, max(ok::INT) OVER (PARTITION BY qid) AS any_ok FROM okl) WHERE ok OR any_ok = 0)"""
+
+
+@query(_TWO + _PRUNE + _FOUND.format(lists="pr") + " " + TOP.format(src="found", k=K))
+def two_level_range_pruned(spark, d):
+    b = base(spark, d)
+    q, rows = asked(b), listed(b)
+    lists = route.prune(_two(b, q), q, stats.synopsis(rows, *stats.domain(b)))
+    return scan.search_lists(lists, q, rows, K)
+
+
+@query(_TWO + _NEAR.format(n=5) + """, ids AS (SELECT nc.qid, p.fine_id FROM nc JOIN par p USING (coarse_id) UNION SELECT qid, fine_id FROM nl),
+un AS (SELECT i.qid, i.fine_id, 1 AS rank FROM ids i)""" + _FOUND.format(lists="un") + " " + TOP.format(src="found", k=K))
+def candidate_union_search(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    return scan.search_lists(route.union_route(q, parents(b), centroids(b, 8, "coarse_id"), 4, 5), q, listed(b), K)
+
+
+_BUDGET = ", bud AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, scalar, vec_id) AS nth FROM found) WHERE nth <= 40)"
+
+
+@query(_NEAR.format(n=8) + _FOUND.format(lists="nl") + _BUDGET + " " + TOP.format(src="bud", k=K))
+def budgeted_scan(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    found = scan.list_rows(route.nearest_lists(q, centroids(b, 32, "fine_id"), 8), q, listed(b))
+    return search.top_k(scan.budgeted(found, 40), K).select("qid", "rnk", "vec_id", "dist")
+
+
+@query(_NEAR.format(n=8) + _FOUND.format(lists="nl") + """, sz AS (SELECT qid, fine_id, rank, count(*) AS size FROM found GROUP BY ALL),
+acc AS (SELECT *, sum(size) OVER w AS s, sum(5) OVER w AS b FROM sz WINDOW w AS (PARTITION BY qid ORDER BY rank)),
+dn AS (SELECT *, s + least(0, min(b - s) OVER (PARTITION BY qid ORDER BY rank)) AS done FROM acc),
+tk AS (SELECT qid, fine_id, done - coalesce(lag(done) OVER (PARTITION BY qid ORDER BY rank), 0) AS take FROM dn),
+kept AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY qid, fine_id ORDER BY scalar, vec_id) AS nth FROM found) f JOIN tk USING (qid, fine_id) WHERE nth <= take)
+SELECT qid, fine_id, vec_id, round(dist, 6) AS dist FROM kept""")
+def prefix_budget_scan(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    lists = route.nearest_lists(q, centroids(b, 32, "fine_id"), 8)
+    found = scan.list_rows(lists, q, listed(b))
+    return scan.prefix_budgeted(found, lists.select("qid", "fine_id", F.lit(5).alias("budget"))).select("qid", "fine_id", "vec_id", "dist")
+
+
+@query(_NEAR.format(n=8) + _FOUND.format(lists="nl") + """, sz AS (SELECT qid, fine_id, rank, count(*) AS size FROM found GROUP BY ALL),
+go AS (SELECT qid, fine_id FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given FROM sz) WHERE given < 15)
+SELECT f.qid, f.fine_id, f.vec_id, round(f.dist, 6) AS dist FROM found f JOIN go USING (qid, fine_id)""")
+def early_stop_lists(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    found = scan.list_rows(route.nearest_lists(q, centroids(b, 32, "fine_id"), 8), q, listed(b))
+    return scan.stop_after(found, 15).select("qid", "fine_id", "vec_id", "dist")
+
+
+_SCORED = _UTIL + _NEAR.format(n=8) + """, sco AS (SELECT l.qid, l.fine_id, l.d, l.rank, CASE WHEN coalesce(u.u, 0) = 0 AND s.cnt IS NOT NULL AND NOT (q.hi < s.min_s OR q.lo > s.max_s) THEN 0.005 ELSE coalesce(u.u, 0) END AS utility
+FROM nl l JOIN q USING (qid) LEFT JOIN syn s USING (fine_id) LEFT JOIN util u ON u.qid = l.qid AND u.fine_id = l.fine_id)"""
+
+
+def _scored(b: DataFrame, q: DataFrame) -> DataFrame:
+    dom = stats.domain(b)
+    return route.scored(route.nearest_lists(q, centroids(b, 32, "fine_id"), 8), q, stats.synopsis(listed(b), *dom), *dom)
+
+
+@query(_SCORED + " SELECT qid, fine_id, round(utility, 6) AS utility, round(d / (1 + 0.0625 * utility), 6) AS score FROM sco")
+def filter_aware_route(spark, d):
+    b = base(spark, d)
+    return _scored(b, asked(b)).select("qid", "fine_id", "utility", "score")
+
+
+@query(_SCORED + """ SELECT qid, fine_id, rank, row_number() OVER (PARTITION BY qid ORDER BY rank > 6, CASE WHEN rank > 6 THEN -round(utility, 9) ELSE 0 END, rank) AS new_rank FROM sco""")
+def utility_rerank(spark, d):
+    b = base(spark, d)
+    return route.rerank_tail(_scored(b, asked(b)).withColumn("utility", F.round("utility", 9))).select("qid", "fine_id", "rank", "new_rank")
+
+
+@query(""", r AS (SELECT q.qid, k.coarse_id, pow(list_distance(q.qv, k.c), 2) AS d, row_number() OVER (PARTITION BY q.qid ORDER BY list_distance(q.qv, k.c), k.coarse_id) AS rank FROM q, coarse k)
+SELECT r.qid, sum((r.rank BETWEEN 4 AND 6 AND r.d <= l.d * 1.1)::INT)::BIGINT AS extra FROM r JOIN r l ON l.qid = r.qid AND l.rank = 3 GROUP BY r.qid""")
+def adaptive_fanout(spark, d):
+    b = base(spark, d)
+    return route.fan_out(route.nearest_lists(asked(b), centroids(b, 8, "coarse_id"), 8, "coarse_id"), 3, ratio=0.1)
+
+
+@query(None)
+def filter_gate(spark, d):
+    b = base(spark, d)
+    q, dom = asked(b), stats.domain(b)
+    gate = route.filter_gate(route.nearest_lists(q, centroids(b, 32, "fine_id"), 16), q, stats.synopsis(listed(b), *dom), *dom)
+    return gate.join(route.choose_flat(gate), "qid")
+
+
+@query(None)
+def targeted_budget_scan(spark, d):
+    b = base(spark, d)
+    q, dom = asked(b), stats.domain(b)
+    lists = route.nearest_lists(q, centroids(b, 32, "fine_id"), 8)
+    rows = listed(b)
+    seen = route.with_synopsis(lists, q, stats.synopsis(rows, *dom))
+    hit = stats.hit_estimate(F.col("range_min"), F.col("range_max"), *dom)
+    budgets = scan.targeted(seen.where("cnt IS NOT NULL").withColumn("hit", hit), 60)
+    return scan.prefix_budgeted(scan.list_rows(lists, q, rows), budgets, 60).select("qid", "fine_id", "vec_id", "dist")
+
+
+_STATS = _NEAR.format(n=8) + _FOUND.format(lists="nl") + """, st AS (SELECT nl.qid, count(DISTINCT nl.fine_id) AS lists, count(DISTINCT f.fine_id) AS lists_hit, count(f.vec_id) AS distances FROM nl LEFT JOIN found f USING (qid, fine_id) GROUP BY nl.qid)"""
+
+
+@query(_STATS + " SELECT qid, lists, lists_hit, distances FROM st")
+def search_counters(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    lists = route.nearest_lists(q, centroids(b, 32, "fine_id"), 8)
+    return scan.counters(lists, scan.list_rows(lists, q, listed(b)))
+
+
+@query(_STATS + " SELECT count(*) AS queries, sum(lists)::BIGINT AS lists_total, sum(lists_hit)::BIGINT AS lists_hit_total, sum(distances)::BIGINT AS distances_total, round(avg(lists), 6) AS lists_avg, round(avg(lists_hit), 6) AS lists_hit_avg, round(avg(distances), 6) AS distances_avg FROM st")
+def search_stats(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    lists = route.nearest_lists(q, centroids(b, 32, "fine_id"), 8)
+    return stats.search_totals(scan.counters(lists, scan.list_rows(lists, q, listed(b))))
+
+
+@query(None)
+def beam_repair_search(spark, d):
+    b = base(spark, d)
+    q, fine, coarse = asked(b), parents(b), centroids(b, 8, "coarse_id")
+    walker = graph.Walker.of(fine, graph.neighbours(fine, 8), graph.coarse_seeds(fine, coarse))
+    chosen = route.nearest_lists(q, coarse, 3, "coarse_id").select("qid", "coarse_id")
+    lists = graph.beam_route(q, route.two_level(q, fine, coarse, 3, 3), chosen, walker, 9)
+    return scan.search_lists(lists, q, listed(b), K)
+
+
+# --- changes ---------------------------------------------------------------
+
+
+@query("SELECT vec_id, fine_id, CASE WHEN vec_id % 3 = 0 THEN 'main' ELSE 'delta' END AS segment, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE vec_id % 3 END::BIGINT AS batch_id FROM asg")
+def insert_batches(spark, d):
+    b = base(spark, d).select("vec_id", "embedding", "scalar")
+    fine = centroids(base(spark, d), 32, "fine_id")
+    rows = mutate.insert(None, b.where("vec_id % 3 = 0"), fine, 0, "main")
+    for i in (1, 2):
+        rows = mutate.insert(rows, b.where(f"vec_id % 3 = {i}"), fine, i)
+    return rows.select("vec_id", "fine_id", "segment", "batch_id")
+
+
+@query("SELECT fine_id, vec_id, row_number() OVER (PARTITION BY fine_id ORDER BY scalar, vec_id) AS pos FROM asg")
+def merge_delta(spark, d):
+    from pyspark.sql import Window
+
+    b = base(spark, d).select("vec_id", "embedding", "scalar")
+    fine = centroids(base(spark, d), 32, "fine_id")
+    rows = mutate.insert(mutate.insert(None, b.where("vec_id % 2 = 0"), fine, 0, "main"), b.where("vec_id % 2 = 1"), fine, 1)
+    merged = mutate.merge_segments(rows).where("segment = 'main'")
+    return merged.select("fine_id", "vec_id", F.row_number().over(Window.partitionBy("fine_id").orderBy("scalar", "vec_id")).alias("pos"))
+
+
+@query(""", s2 AS (SELECT fine_id, count(*) FILTER (vec_id % 4 <> 0) AS main, count(*) FILTER (vec_id % 4 = 0) AS delta FROM asg GROUP BY fine_id)
+SELECT fine_id, main, delta FROM s2 WHERE delta >= 3""")
+def merge_due(spark, d):
+    rows = listed(base(spark, d)).withColumn("segment", F.when(F.col("vec_id") % 4 == 0, "delta").otherwise("main"))
+    return mutate.merge_due(rows, cap=3).select("fine_id", "main", "delta")
+
+
+@query(TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN lo AND hi AND vec_id % 7 <> 0)", k=K))
+def delete_then_search(spark, d):
+    b = base(spark, d)
+    none = b.select("vec_id").limit(0)
+    gone = mutate.remove(none, b.where("vec_id % 7 = 0").select("vec_id").union(spark.range(10**9, 10**9 + 3).toDF("vec_id")), b)
+    return search.knn(mutate.live(b, gone), asked(b), K)
+
+
+@query("SELECT fine_id, count(*) AS n FROM asg WHERE vec_id % 7 <> 0 GROUP BY fine_id")
+def compact_lists(spark, d):
+    rows = listed(base(spark, d))
+    left, _ = mutate.compact(rows, rows.where("vec_id % 7 = 0").select("vec_id"))
+    return left.groupBy("fine_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n_vectors, count(*) FILTER (vec_id % 7 = 0) AS n_deleted, count(*) FILTER (vec_id % 7 <> 0) AS n_live FROM base")
+def live_counts(spark, d):
+    b = base(spark, d)
+    return mutate.counts(b, b.where("vec_id % 7 = 0"))
+
+
+@query("SELECT vec_id, fine_id FROM asg WHERE vec_id IN (3, 77, 310)")
+def find_list(spark, d):
+    return listed(base(spark, d)).where("vec_id IN (3, 77, 310)").select("vec_id", "fine_id")
+
+
+@query("SELECT fine_id, n, round(mean_n, 6) AS mean_n FROM (SELECT *, avg(n) OVER () AS mean_n FROM sizes) WHERE n > 1.5 * mean_n ORDER BY n DESC, fine_id LIMIT 4")
+def overloaded_lists(spark, d):
+    b = base(spark, d)
+    return mutate.overloaded(stats.list_sizes(listed(b), centroids(b, 32, "fine_id")))
+
+
+@query("SELECT fine_id, vec_id, rnk FROM (SELECT *, row_number() OVER (PARTITION BY fine_id ORDER BY round(d2, 12) DESC, vec_id) AS rnk FROM asg) WHERE rnk <= 3")
+def farthest_rows(spark, d):
+    rows = listed(base(spark, d)).withColumn("dist_sq", F.round("dist_sq", 12))
+    return mutate.farthest(rows, 3).select("fine_id", "vec_id", "rnk")
+
+
+@query(_DRIFT + """, x AS (SELECT s.fine_id, s.n, s.n / 5.0 AS ins, greatest(0, s.n / greatest(1e-9, avg(s.n) OVER ()) - 1) AS sz, CASE WHEN s.n > 100 THEN rel_shift / 0.1 ELSE 0 END AS mv FROM sizes s JOIN dr USING (fine_id)),
+y AS (SELECT *, n / (n + 64.0) * (0.45 * ins + 0.30 * least(sz, 2) + 0.25 * mv) AS p FROM x)
+SELECT fine_id, n, round(p, 6) AS p FROM y WHERE (ins >= 1 AND p >= 0.55) OR (mv >= 1 AND p >= 0.45) ORDER BY p DESC, fine_id LIMIT 2""")
+def recluster_candidates(spark, d):
+    b = base(spark, d)
+    sizes = stats.list_sizes(listed(b), centroids(b, 32, "fine_id"))
+    return mutate.recluster_pressure(sizes, sizes.select("fine_id", F.col("n").alias("inserted")), _drift(b), 5)
+
+
+@query("""SELECT fine_id, n, round(quality, 6) AS quality FROM (SELECT fine_id, count(*) AS n, least(1, 20.0 / count(*)) / (1 + avg(sqrt(d2))) AS quality FROM asg GROUP BY fine_id) WHERE quality < 0.3 OR n > 20 OR n > 10""")
+def poor_lists(spark, d):
+    rows = listed(base(spark, d))
+    q = stats.quality(rows, 20)
+    return mutate.poor_lists(q, q.select("fine_id", F.col("n").alias("inserted")), 0.3, 20)
+
+
+@query(""", b2 AS (SELECT vec_id, emb, vec_id % 32 AS own, row_number() OVER (PARTITION BY vec_id % 32 ORDER BY round(pow(list_distance(emb, c), 2), 12) DESC, vec_id) AS r, pow(list_distance(emb, c), 2) AS own_sq FROM base JOIN fine ON fine_id = vec_id % 32),
+far AS (SELECT * FROM b2 WHERE r <= 4)
+SELECT f.vec_id, f.own AS fine_id, a.fine_id AS to_id FROM far f JOIN asg a USING (vec_id) WHERE a.fine_id <> f.own AND sqrt(a.d2) < 0.95 * sqrt(f.own_sq)""")
+def hot_migration(spark, d):
+    b = base(spark, d)
+    fine = centroids(b, 32, "fine_id")
+    misplaced = b.withColumn("fine_id", (F.col("vec_id") % 32).cast("int")).join(F.broadcast(fine), "fine_id").withColumn("dist_sq", F.round(V.l2_sq("embedding", "centroid"), 12)).drop("centroid")
+    return mutate.migrate(misplaced, fine, fine, 4, 0.05)
+
+
+@query(""", x AS (SELECT vec_id, fine_id, row_number() OVER (PARTITION BY fine_id ORDER BY vec_id) - 1 AS pos FROM asg), s2 AS (SELECT fine_id, count(*) AS n FROM asg GROUP BY fine_id),
+want AS (SELECT fine_id, n, floor(i * n / 4)::BIGINT AS pos FROM s2, range(4) t(i) WHERE n > 4 UNION SELECT fine_id, n, pos FROM s2 JOIN x USING (fine_id) WHERE n <= 4)
+SELECT x.fine_id, x.vec_id, x.pos FROM x JOIN want USING (fine_id, pos)""")
+def spaced_sample(spark, d):
+    rows = listed(base(spark, d))
+    return mutate.evenly_spaced(rows, rows.groupBy("fine_id").agg(F.count(F.lit(1)).alias("n")), 4).select("fine_id", "vec_id", "pos")
+
+
+@query(None)
+def soft_reconcile(spark, d):
+    b = base(spark, d)
+    fines = parents(b).join(stats.list_sizes(listed(b), centroids(b, 32, "fine_id")), "fine_id")
+    return mutate.soft_reconcile(fines.select("fine_id", "coarse_id", "centroid", "n"), centroids(b, 8, "coarse_id"))[1]
+
+
+# --- quantisation ----------------------------------------------------------
+
+_BOOK = """, book AS (SELECT s.seg, b.vec_id AS code, emb[s.seg * 8 + 1 : s.seg * 8 + 8] AS sub FROM base b, range(8) s(seg) WHERE b.vec_id < 16),
+enc AS (SELECT vec_id, seg, code FROM (SELECT b.vec_id, k.seg, k.code, row_number() OVER (PARTITION BY b.vec_id, k.seg ORDER BY pow(list_distance(b.emb[k.seg * 8 + 1 : k.seg * 8 + 8], k.sub), 2), k.code) AS rn FROM base b, book k) WHERE rn = 1)"""
+
+
+def _book(b: DataFrame) -> DataFrame:
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda s: F.struct(s.alias("seg"), F.slice(F.col("embedding"), s * 8 + 1, 8).alias("sub"))))
+    return b.where("vec_id < 16").select(F.col("vec_id").cast("int").alias("code"), cut.alias("x")).select("x.seg", "code", "x.sub")
+
+
+@query(_BOOK + " SELECT vec_id, seg, code FROM enc")
+def pq_encode(spark, d):
+    b = base(spark, d)
+    return pq.encode(b, _book(b), 8).select("vec_id", F.posexplode("codes").alias("seg", "code"))
+
+
+@query(_BOOK + """ SELECT vec_id, round(sum(pow(list_distance(b.emb[e.seg * 8 + 1 : e.seg * 8 + 8], k.sub), 2)), 6) AS error FROM enc e JOIN book k USING (seg, code) JOIN base b USING (vec_id) GROUP BY vec_id""")
+def pq_decode_error(spark, d):
+    b = base(spark, d)
+    book = _book(b)
+    return pq.decode(pq.encode(b, book, 8), book).join(b, "vec_id").select("vec_id", V.l2_sq("embedding", "decoded").alias("error"))
+
+
+@query(_BOOK + """, t AS (SELECT q.qid, k.seg, k.code, pow(list_distance(q.qv[k.seg * 8 + 1 : k.seg * 8 + 8], k.sub), 2) AS d FROM q, book k),
+a AS (SELECT t.qid, e.vec_id, sqrt(round(sum(t.d), 9)) AS dist FROM enc e JOIN t USING (seg, code) GROUP BY t.qid, e.vec_id) """ + TOP.format(src="a", k=K))
+def pq_adc_topk(spark, d):
+    b = base(spark, d)
+    book = _book(b)
+    found = pq.adc_search(asked(b), pq.encode(b, book, 8), book, 8, 10**6).withColumn("dist", F.sqrt(F.round(F.col("dist") * F.col("dist"), 9)))
+    return search.top_k(found.drop("rnk"), K).select("qid", "rnk", "vec_id", "dist")
+
+
+# --- evaluation ------------------------------------------------------------
+
+
+@query(_NEAR.format(n=8) + _FOUND.format(lists="nl") + f""", got AS (SELECT qid, vec_id FROM ({TOP.format(src="found", k=K)})),
+truth AS (SELECT qid, vec_id FROM ({TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN lo AND hi)", k=K)}))
+SELECT t.qid, round(avg((g.vec_id IS NOT NULL)::INT), 6) AS recall FROM truth t LEFT JOIN got g USING (qid, vec_id) GROUP BY t.qid""")
+def recall_at_k(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    got = scan.search_lists(route.nearest_lists(q, centroids(b, 32, "fine_id"), 8), q, listed(b), K)
+    return search.recall(got, search.knn(b, q, K), K)
+
+
+@query(f""", gt AS (SELECT s.size, t.qid, t.rnk, t.vec_id FROM (VALUES (200), (400)) s(size), ({TOP.format(src="pairs", k=K)}) t)
+SELECT qid, rnk, CASE WHEN vec_id >= 390 THEN -1 ELSE vec_id END AS vec_id FROM gt WHERE size = 400""")
+def groundtruth_by_size(spark, d):
+    b = base(spark, d)
+    gt = search.knn(b, asked(b, ranged=False), K)
+    sized = gt.withColumn("size", F.explode(F.array(F.lit(200), F.lit(400)))).withColumn("kind", F.lit("vector"))
+    return store.groundtruth(sized, 390).select("qid", "rnk", "vec_id")
+
+
+@query(None)
+def tuned_params(spark, d):
+    b = base(spark, d)
+    s = stats.size_stats(stats.list_sizes(listed(b), centroids(b, 32, "fine_id"))).first()
+    return tuning.table(spark, b.count(), s["avg_n"], s["max_n"])
