@@ -213,7 +213,11 @@ def fit(x: np.ndarray, y: np.ndarray, precision: float = PRECISION, rounds: int
         share = (right + 0.5) / (np.arange(len(s)) + 1.5)
         last = np.append(s[1:] < s[:-1], True) if len(s) else np.zeros(0, bool)
         good = np.flatnonzero(last & (share >= precision - 0.5 / (np.arange(len(s)) + 1.5)) & (right > 0))
-        cuts.append(max(0.0, float(s[good[-1]])) if len(good) else np.inf)
+        if len(good):
+            below = s[good[-1] + 1] if good[-1] + 1 < len(s) else s[good[-1]] - 1
+            cuts.append(max(0.0, float(s[good[-1]] + below) / 2))  # midway, clear of rounding
+        else:
+            cuts.append(np.inf)
     return Scorer(trees, bias, cuts, rate)
 
 
