@@ -8,6 +8,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Fixed values: (rows from which, growth for each 100,000 rows beyond), the first that holds.
+PROBE_GROWTH = ((100_000, 0.15), (50_000, 0.10), (20_000, 0.05))
+MID_GROWTH = ((100_000, 0.05), (50_000, 0.03))
+BUDGET_GROWTH = ((100_000, 0.15), (50_000, 0.12), (20_000, 0.08))
+
+
+def growth(n: int, steps: tuple) -> float:
+    return next((1 + (n - limit) / 100_000 * rate for limit, rate in steps if n > limit), 1.0)
+
+
 def two_level_probe(base: int, n: int, mean_list: float, n_coarse: int, mid: bool = False) -> int:
     """Probes of the two-level search: grows with rows and list size, at most half of the coarse lists."""
     if n == 0:
@@ -15,24 +25,28 @@ def two_level_probe(base: int, n: int, mean_list: float, n_coarse: int, mid: boo
     out = max(base, 3)
     if mid:
         return out
-    for limit, start, rate in ((100_000, 1.0, 0.15), (50_000, 1.0, 0.10), (20_000, 1.0, 0.05)):
-        if n > limit:
-            out = int(out * (start + (n - limit) / 100_000 * rate))
-            break
+    out = int(out * growth(n, PROBE_GROWTH))
     if mean_list > 500:
         out = int(out * (1 + (mean_list - 500) / 2000 * 0.05))
     return min(out, max(3, int(0.5 * n_coarse)))
 
 
-def scan_budget(k: int, n: int, mid: bool = False) -> int:
-    """Rows to scan for k results: a floor by k, growth with the table, a cap."""
-    floor = min(int(1.5 * k), 1500) if mid else int(2.5 * k)
-    out = float(floor)
-    for limit, rate in ((100_000, 0.15), (50_000, 0.12), (20_000, 0.08)):
-        if n > limit:
-            out *= 1 + (n - limit) / 100_000 * rate
-            break
-    return max(floor, min(int(out), 3000 if mid else 6000))
+def single_level_probe(base: int, n: int, mean_list: float, lists: int, mid: bool = False) -> int:
+    """Probes of the one-level search: a share of the lists between 5 % and 30 % (20 % if filtered midway), grown with list size and rows."""
+    if n == 0:
+        return base
+    most = int(lists * (0.20 if mid else 0.30))
+    out = min(max(base, 1, int(0.05 * lists)), most)
+    by_size = 1 + max(0.0, mean_list - (1500 if mid else 500)) / (5000 if mid else 2000)
+    for factor in (growth(n, MID_GROWTH), by_size) if mid else (by_size, growth(n, PROBE_GROWTH)):
+        out = int(out * factor)
+    return min(out, max(1, most))
+
+
+def scan_budget(k: int, n: int, mid: bool = False, base: int = 0) -> int:
+    """Rows to scan for k results: a floor by k or the given base, growth with the table, a cap."""
+    floor = min(1.5 * k, 1500) if mid else 2.5 * k
+    return max(1, min(int(max(base, floor) * growth(n, BUDGET_GROWTH)), 3000 if mid else 6000))
 
 
 @dataclass

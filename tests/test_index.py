@@ -267,4 +267,6 @@ def test_controller():
     wide.set_weights(2.0)
     assert wide.summary()["recalls"]["count"] == 0 and wide.speed_weight == 1.0
     assert tuning.two_level_probe(10, 0, 0, 10) == 10 and tuning.two_level_probe(10, 200_000, 900, 100) >= 11
+    assert tuning.single_level_probe(10, 0, 0, 100) == 10 and tuning.single_level_probe(1, 10, 1, 100) == 5 and tuning.single_level_probe(90, 10, 1, 100) == 30
+    assert tuning.single_level_probe(10, 200_000, 2500, 100) == 23 and tuning.single_level_probe(10, 200_000, 6500, 100, mid=True) == 20
     assert tuning.scan_budget(10, 100) == 25 and tuning.scan_budget(5000, 10**7, True) == 3000
