@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangevec.llm.common import id_and_text, short_batches, table
+from rangevec.llm.common import python_rows, real_ids, short_batches, table
 from rangevec.sources.scratch import materialize
 
 END_ID = 2
@@ -48,7 +49,7 @@ def _visible_bytes() -> dict[int, str]:
 class WordIds:
     """Token ids of whole texts, with runs between white space looked up in a bounded store of those met before."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,11 +64,14 @@ class WordIds:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> list[int]:
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+
+    def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            shown = word if word.isascii() else "".join(self.shown[b] for b in word.encode())
-            found = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
+            found = self._packed([t.id for t in self.tokenizer.model.tokenize(shown)])
             if len(self.words) >= self.most:
                 self.words.clear()
             self.words[word] = found
@@ -75,10 +79,8 @@ class WordIds:
 
     def _run(self, run: str) -> bytes:
         if _PLAIN(run) and "<|" not in run and len(run) < 1000:
-            ids = [i for w in _SPLIT(run.lower()) for i in self._word(w)]
-        else:
-            ids = self._whole(run)
-        return np.array(ids, self.dtype).tobytes()
+            return b"".join(map(self._word, _SPLIT(run.lower())))
+        return self._packed(self._whole(run))
 
     def ids(self, text: str) -> np.ndarray:
         """Unsigned ids of ``text`` as the tokenizer gives them."""
@@ -91,10 +93,11 @@ class WordIds:
             pass
         if len(known) >= self.most:
             known.clear()
-        own = {r: known[r] if r in known else self._run(r) for r in set(runs)}
-        if len(known) + len(own) <= 2 * self.most:
-            known.update((r, v) for r, v in own.items() if len(r) < 100)
-        return np.frombuffer(b"".join([own[r] for r in runs]), self.dtype)
+        new = {r: self._run(r) for r in set(runs).difference(known)}
+        if len(new) <= self.most // 2:
+            known.update(new)
+            return np.frombuffer(b"".join([known[r] for r in runs]), self.dtype)
+        return np.frombuffer(b"".join([known.get(r) or new[r] for r in runs]), self.dtype)
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -187,7 +190,7 @@ class Packer:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [x.split()[0] for x in _PIECES.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"} | {c: "int64" for c in names[1:]})
+    return pd.DataFrame(rows, columns=names).astype("int64")
 
 
 def pack(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int | None = END_ID, open_windows: int = 64, fan: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,32 +213,32 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int | None =
             found = _frame(packer.rows).assign(left=None, part=here)
             packer.rows = []
             kept = pd.DataFrame({"doc_id": [p.doc for p in left], "start": [p.start for p in left], "length": [len(p.ids) for p in left], "doc_tokens": [p.total for p in left], "left": [p.ids.astype("<u4").tobytes() for p in left]})
-            kept = kept.astype({"doc_id": "Int64"}).assign(ids_crc32=0, sequence_id=-1, offset=0, part=here)
+            kept = kept.assign(ids_crc32=0, sequence_id=-1, offset=0, part=here)
             return pd.concat([found, kept[found.columns]]) if len(kept) and len(found) else kept[found.columns] if len(kept) else found
 
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"]):
                 ids = words.ids(text)
                 ids = np.concatenate([ids, last]) if len(last) else ids
-                packer.place(_Piece(None if pd.isna(doc) else int(doc), 0, ids, len(ids)))
+                packer.place(_Piece(int(doc), 0, ids, len(ids)))
             if packer.rows:
                 yield settle([])
         yield settle(packer.merge())
 
-    first = materialize(id_and_text(docs, id_col, text_col).mapInPandas(run, _PIECES + ", left binary, part long"), "packed")
+    first = materialize(python_rows(docs, id_col, text_col).mapInPandas(run, _PIECES + ", left binary, part long"), "packed")
 
     def meet(key, group: pd.DataFrame) -> pd.DataFrame:
         packer = Packer(room, len(group) + 1, (1 << 62) + (int(key[0]) << 32))
         for part in group.sort_values(["part", "doc_id", "start"]).itertuples():
             ids = np.frombuffer(part.left, "<u4")
-            packer.place(_Piece(None if pd.isna(part.doc_id) else int(part.doc_id), int(part.start), ids, int(part.doc_tokens)))
+            packer.place(_Piece(int(part.doc_id), int(part.start), ids, int(part.doc_tokens)))
         rest = packer.merge()
         if rest:
             packer.emit(rest)
         return _frame(packer.rows)
 
     loose = first.where("left IS NOT NULL").groupBy(F.floor(F.col("part") / fan).alias("together")).applyInPandas(meet, _PIECES)
-    return first.where("left IS NULL").drop("left", "part").unionByName(loose)
+    return real_ids(first.where("left IS NULL").drop("left", "part").unionByName(loose))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
