@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from rangevec.functions import vectors as V
 
-#: From so many distances on, assignment by matrix products pays.
-KERNEL_FROM = 2_000_000
+#: From so many centroids on, assignment by matrix products pays for its Python workers.
+KERNEL_FROM = 64
 
 
 def _nearest(cost: Column, ident: str) -> Column:
@@ -73,3 +73,11 @@ def assign_arrow(rows: DataFrame, centroids: np.ndarray, ids: np.ndarray, key: s
                 yield pd.DataFrame({key: b[key].to_numpy(), ident: names[at], "dist_sq": dist})
 
     return rows.select(F.col(key).cast("long"), V.vector(vec).alias("v")).mapInPandas(run, f"{key} long, {ident} int, dist_sq double")
+
+
+def assign_rows(rows: DataFrame, centroids: DataFrame, key: str = "vec_id", vec: str = "embedding", ident: str = "fine_id") -> DataFrame:
+    """As ``assign``, in the JVM for a few centroids and by matrix products for many; their table is bounded by training."""
+    table = centroids.select(ident, V.vector("centroid").alias("c")).orderBy(ident).collect()
+    if len(table) < KERNEL_FROM:
+        return assign(rows, centroids, ident, key, vec)
+    return assign_arrow(rows, np.array([r["c"] for r in table]), np.array([r[ident] for r in table]), key, vec, ident)

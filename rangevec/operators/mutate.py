@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from rangevec.functions import vectors as V
 from rangevec.operators import stats
-from rangevec.operators.assign import assign
+from rangevec.operators.assign import assign, assign_rows
 from rangevec.operators.search import top_k
 
 
 def insert(rows: DataFrame, batch: DataFrame, centroids: DataFrame, batch_id: int = 0, segment: str = "delta") -> DataFrame:
     """``rows`` with the batch assigned to lists. An id that is there already, or twice in the batch, is an error."""
-    near = assign(batch, centroids).select("vec_id", "fine_id")
+    near = assign_rows(batch, centroids).select("vec_id", "fine_id")
     new = batch.select("vec_id", "embedding", "scalar").join(near, "vec_id").withColumn("segment", F.lit(segment)).withColumn("batch_id", F.lit(batch_id).cast("long"))
     both = rows.unionByName(new.select(rows.columns)) if rows is not None else new
     return both

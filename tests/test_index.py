@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rangevec.functions import vectors as V
-from rangevec.operators import graph, kmeans, mutate, pq, scan, search, stats
+from rangevec.operators import assign, graph, kmeans, mutate, pq, scan, search, stats
 from rangevec.plans import tuning
 from rangevec.plans.index import RangeIndex
 from rangevec.sources import store
@@ -231,6 +231,13 @@ def test_kmeans_pieces(spark, rows):
     assert kmeans.training_size(5_000_000, capped=True) == 100_000
 
 
+def test_assignment_by_kernel_equals_plain(spark, rows):
+    base = spark.createDataFrame(rows, SCHEMA)
+    many = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:80])], "fine_id int, centroid array<double>")
+    shown = lambda df: sorted((r["vec_id"], r["fine_id"]) for r in df.collect())
+    assert shown(assign.assign_rows(base, many)) == shown(assign.assign(base, many))
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([([0.0, 0.0], [3.0, 4.0])], "a array<double>, b array<double>")
     r = df.select(V.l2("a", "b"), V.norm_sq("b"), F.size(V.normalize("a")), V.bin_of(F.lit(10.0), F.lit(0.0), F.lit(10.0)), V.bin_of(F.lit(-1.0), F.lit(0.0), F.lit(10.0)), V.bin_of(F.lit(1.0), F.lit(1.0), F.lit(1.0))).first()
