@@ -36,6 +36,8 @@ from rangevec.sources.scratch import materialize
 
 SEED = 42
 _BLOCK = 1 << 16
+#: A tile of 256-bit fingerprints is half a megabyte; a row is sent once for each tile it meets, so fewer, larger tiles move less.
+TILE_ROWS = 1 << 14
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -199,7 +201,7 @@ def quarter_cell(column: str) -> tuple:
     return sum(counts[1:], counts[0]).cast("int")
 
 
-def near_links(reps: DataFrame, names: list[str], radii: tuple[int, int], neighbours, tile_rows: int = 4096, max_tiles: int = 50_000) -> DataFrame:
+def near_links(reps: DataFrame, names: list[str], radii: tuple[int, int], neighbours, tile_rows: int = TILE_ROWS, max_tiles: int = 50_000) -> DataFrame:
     """Spanning links (u, v) of all pairs of ``reps`` (cell, rep and the words ``names``) within the radii and in neighbouring cells."""
     spark = reps.sparkSession
     counts = {r["cell"]: r["n"] for r in reps.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -234,7 +236,7 @@ def wide_radii(similarity: float, words: int) -> tuple[int, int]:
     return min(total, math.floor(total / words + 3.5 * math.sqrt(total / words * (1 - share)))), total
 
 
-def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096) -> DataFrame:
+def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits a word), component_id.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked
