@@ -8,8 +8,9 @@ those that meet, the ones with an edit similarity of at least ``similarity`` are
 linked. Of each connected group only the first occurrence stays.
 
 The SimHash is counted in lanes: a word's hash, shifted and masked, adds one to
-each of several counters packed into a long, so eight sums over a line's words
-count all 64 bits (sixteen for lines of over 63 words, 32 beyond 16383).
+each of eight counters packed into a long, so eight sums over a line's words
+count all 64 bits. Longer lines are summed in parts of 63 words, whose counters
+are then widened to 16 bits and added; beyond 16383 words the counters have 32.
 
 Occurrences of a very common line are combined on the map side; on the way back
 AQE splits the side of the occurrences.
@@ -38,34 +39,57 @@ def normalise(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _majority(hashes: str, width: int) -> Column:
-    """The bits set in over half of the hashes, counted in lanes of ``width`` bits; a lane's last bit but one says whether its count is over half."""
+PART = 63
+_BYTES = sum(1 << at for at in range(0, 64, 8))
+_WIDE = sum(0xFF << at for at in range(0, 64, 16)) & ((1 << 63) - 1)
+
+
+def _over_half(total: Column, n: Column, width: int) -> Column:
+    """One at the lowest bit of each lane of ``width`` bits whose count is over n / 2; counts stay below a quarter of the lane."""
     ones, flag = sum(1 << at for at in range(0, 64, width)), width - 2
+    return F.shiftrightunsigned(total + F.lit(ones) * (F.lit((1 << flag) - 1) - F.floor(n / 2)), flag).bitwiseAND(F.lit(ones))
+
 
-    def lanes(j: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones)))
+def _lane_sum(hashes, j: int, ones: int) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones)))
 
-    out = None
-    for j in range(width):
-        total = lanes(j)
-        over = total + F.lit(ones) * (F.lit((1 << flag) - 1) - F.floor(F.size(hashes) / 2))
-        bits = F.shiftleft(F.shiftrightunsigned(over, flag).bitwiseAND(F.lit(ones)), j)
-        out = bits if out is None else out.bitwiseOR(bits)
+
+def _join(bits: list[Column]) -> Column:
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
     return out
 
 
-def simhash(hashes: str) -> Column:
-    """SimHash of an array column of 64-bit hashes."""
+def _part_sums(hashes: str, j: int) -> Column:
+    """Lane sums of each part of 63 hashes."""
+    parts = F.sequence(F.lit(0), F.ceil(F.size(hashes) / PART).cast("int") - 1)
+    return F.transform(parts, lambda i: _lane_sum(F.slice(F.col(hashes), i * PART + 1, F.lit(PART)), j, _BYTES))
+
+
+def with_simhash(rows: DataFrame, hashes: str = "hashes", out: str = "fp") -> DataFrame:
+    """``rows`` with the SimHash of an array column of 64-bit hashes (not empty)."""
+    names = [f"_lanes{j}" for j in range(8)]
+    summed = rows.withColumns({c: _part_sums(hashes, j) for j, c in enumerate(names)})
     n = F.size(hashes)
-    return F.when(n <= 63, _majority(hashes, 8)).when(n <= 16383, _majority(hashes, 16)).otherwise(_majority(hashes, 32))
+    short = _join([F.shiftleft(_over_half(F.get(c, F.lit(0)), n, 8), j) for j, c in enumerate(names)])
+    add = lambda c, shift: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(_WIDE)))
+    wide = _join([F.shiftleft(_over_half(add(c, shift), n, 16), j + shift) for j, c in enumerate(names) for shift in (0, 8)])
+    ones = sum(1 << at for at in range(0, 64, 32))
+    widest = _join([F.shiftleft(_over_half(_lane_sum(hashes, j, ones), n, 32), j) for j in range(32)])
+    return summed.withColumn(out, F.when(n <= PART, short).when(n <= 16383, wide).otherwise(widest)).drop(*names)
+
+
+def normalised(lines: DataFrame, min_words: int) -> DataFrame:
+    """Lines (column ``line``) of at least ``min_words`` words as norm and words."""
+    words = lines.withColumn("norm", normalise(F.col("line"))).drop("line").withColumn("words", F.split("norm", " "))
+    return words.where(F.size("words") >= min_words)
 
 
 def occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, norm, words) of lines with at least ``min_words`` words."""
     rows = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", normalise(F.col("line")).alias("norm")).withColumn("words", F.split("norm", " "))
-    return words.where(F.size("words") >= min_words)
+    return normalised(rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")), min_words)
 
 
 def block_keys(fp: str) -> Column:
@@ -86,17 +110,20 @@ def edit_similar(a: str, b: str, similarity: float, long_chars: int = LONG_CHARS
 
     both = F.size(F.array_intersect(runs(a), runs(b)))
     share = both / F.greatest(F.lit(1), F.size(runs(a)) + F.size(runs(b)) - both)
-    near = F.when(longer <= long_chars, F.levenshtein(a, b) <= slack).otherwise(share >= similarity)
-    return F.when(longer - shorter > slack, False).otherwise(near)
+    near = F.lit(False)
+    for most in (1 << 10, 256, 64, 16):  # a narrow band is cheap and settles most pairs; a wider one is tried only where it is not enough
+        found = F.levenshtein(a, b, most)
+        near = F.when(found >= 0, found <= slack).when(slack <= most, False).otherwise(near)
+    return F.when(longer - shorter > slack, False).when(longer <= long_chars, near).otherwise(share >= similarity)
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, keep_doc, keep_line) of every line that has another occurrence, itself included."""
-    if radius > 3:
-        raise ValueError("five blocks in pairs find all partners within three bits")
+    if radius > 3 or similarity < 1 - (1 << 10) / LONG_CHARS:
+        raise ValueError("five blocks in pairs find partners within three bits, and edit distances are told up to 1024")
     rows = occurrences(docs, min_words, id_col, text_col)
     seen = rows.select("doc_id", "line_no", F.xxhash64("norm").alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    seen = materialize(seen.select("doc_id", "line_no", "h", simhash("hashes").alias("fp")), "lines")
+    seen = materialize(with_simhash(seen).drop("hashes"), "lines")
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")
     distinct = seen.groupBy("h", "fp").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n"))
     distinct = materialize(distinct, "distinct-lines")
@@ -107,7 +134,12 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIU
     ends = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
     doc = F.floor(F.col("place") / F.lit(1 << 31)).cast("long")
     at = distinct.join(ends, "h").select("h", doc.alias("doc_id"), (F.col("place") - doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int").alias("line_no"))
-    texts = materialize(rows.select("doc_id", "line_no", "norm").join(at, ["doc_id", "line_no"]).groupBy("h").agg(F.min("norm").alias("norm")), "line-texts")
+    wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
+    lines = id_and_text(docs, id_col, text_col).join(wanted, "doc_id").select(F.split("text", "\n").alias("_lines"), F.explode("wanted").alias("w"))
+    texts = normalised(lines.select("w.h", F.get("_lines", F.col("w.line_no")).alias("line")), min_words)
+    # rows that share an id can hold another line at the place; the hash tells them apart
+    texts = texts.where(F.xxhash64("norm") == F.col("h")).groupBy("h").agg(F.min("norm").alias("norm"))
+    texts = materialize(texts, "line-texts")
     left, right = texts.select(F.col("h").alias("u"), F.col("norm").alias("norm_u")), texts.select(F.col("h").alias("v"), F.col("norm").alias("norm_v"))
     links = pairs.join(left, "u").join(right, "v").where(edit_similar("norm_u", "norm_v", similarity)).select("u", "v")
     found = connected_components(links)

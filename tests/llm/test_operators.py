@@ -199,7 +199,8 @@ def distance(a, b):
 def test_line_simhash_lanes(spark):
     rng = np.random.default_rng(2)
     sets = [[int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)] for n in (1, 2, 63, 64, 130, 16383, 16384)]
-    df = spark.createDataFrame(list(enumerate(sets)), "i long, h array<long>").select("i", lines.simhash("h").alias("s"))
+    df = spark.createDataFrame(list(enumerate(sets)), "i long, h array<long>")
+    df = lines.with_simhash(df, "h", "s")
     for r in df.collect():
         x = np.array(sets[r.i], np.int64).view(np.uint64)
         want = sum(1 << b for b in range(64) if 2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(x))
@@ -218,7 +219,8 @@ def test_lines_equal_brute_force(spark, docs, empty):
     ]
     d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, line_no int")
     got = {r.doc_id: (r.n_lines, r.dropped) for r in lines.line_dedup(d).collect()}
-    occ = lines.occurrences(d, 5, "doc_id", "text").select("doc_id", "line_no", "norm", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).select("doc_id", "line_no", "norm", lines.simhash("h").alias("fp")).collect()
+    occ = lines.occurrences(d, 5, "doc_id", "text").select("doc_id", "line_no", "norm", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    occ = lines.with_simhash(occ, "h").collect()
     occ = sorted(occ, key=lambda r: (r.doc_id, r.line_no))
     near = lambda a, b: occ[a].norm == occ[b].norm or ((occ[a].fp ^ occ[b].fp) & (2**64 - 1)).bit_count() <= 3 and distance(occ[a].norm, occ[b].norm) <= int(max(len(occ[a].norm), len(occ[b].norm)) * 0.2 + 1e-9)
     root = linked(range(len(occ)), near)
