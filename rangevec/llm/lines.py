@@ -4,8 +4,8 @@ Lines are normalised (lower case, runs of anything but letters and digits to one
 space) and given a 64-bit SimHash of their words. Equal normalised lines are one
 distinct line. Distinct lines whose SimHashes differ in at most three bits agree
 in at least two of five blocks, so they meet in a join on pairs of blocks; of
-those that meet, the ones with an edit similarity of at least ``similarity`` are
-linked. Of each connected group only the first occurrence stays.
+those that meet, the ones with an edit similarity of at least ``similarity``, in
+words, are linked. Of each connected group only the first occurrence stays.
 
 The SimHash is counted in lanes: a word's hash, shifted and masked, adds one to
 each of eight counters packed into a long, so eight sums over a line's words
@@ -30,7 +30,7 @@ from rangevec.sources.scratch import materialize
 MIN_WORDS = 5
 RADIUS = 3
 SIMILARITY = 0.8
-LONG_CHARS = 4000
+LONG_WORDS = 4000
 #: (first bit, bits) of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -99,14 +99,19 @@ def block_keys(fp: str) -> Column:
     return F.array(*pairs)
 
 
-def edit_similar(a: str, b: str, similarity: float, long_chars: int = LONG_CHARS) -> Column:
-    """Edit similarity of at least ``similarity``; beyond ``long_chars``, where edit distance is too dear, the same share of equal five-word runs."""
+def as_symbols(words: str) -> Column:
+    """An array of words as a string with one character for each word, by a hash of it to 20,480 characters."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20480)) + 19968), 4, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+
+
+def edit_similar(a: str, b: str, similarity: float, long_words: int = LONG_WORDS) -> Column:
+    """Edit similarity of at least ``similarity``, in words (columns of ``as_symbols``); beyond ``long_words``, where edit distance is too dear, the same share of equal five-word runs."""
     longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     slack = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
 
     def runs(c: str) -> Column:
-        w = F.split(c, " ")
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.xxhash64(F.slice(w, i, 5))))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 4)), lambda i: F.substring(F.col(c), i, F.lit(5))))
 
     both = F.size(F.array_intersect(runs(a), runs(b)))
     share = both / F.greatest(F.lit(1), F.size(runs(a)) + F.size(runs(b)) - both)
@@ -114,12 +119,12 @@ def edit_similar(a: str, b: str, similarity: float, long_chars: int = LONG_CHARS
     for most in (1 << 10, 256, 64, 16):  # a narrow band is cheap and settles most pairs; a wider one is tried only where it is not enough
         found = F.levenshtein(a, b, most)
         near = F.when(found >= 0, found <= slack).when(slack <= most, False).otherwise(near)
-    return F.when(longer - shorter > slack, False).when(longer <= long_chars, near).otherwise(share >= similarity)
+    return F.when(longer - shorter > slack, False).when(longer <= long_words, near).otherwise(share >= similarity)
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, keep_doc, keep_line) of every line that has another occurrence, itself included."""
-    if radius > 3 or similarity < 1 - (1 << 10) / LONG_CHARS:
+    if radius > 3 or similarity < 1 - (1 << 10) / LONG_WORDS:
         raise ValueError("five blocks in pairs find partners within three bits, and edit distances are told up to 1024")
     rows = occurrences(docs, min_words, id_col, text_col)
     seen = rows.select("doc_id", "line_no", F.xxhash64("norm").alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
@@ -138,7 +143,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIU
     lines = id_and_text(docs, id_col, text_col).join(wanted, "doc_id").select(F.split("text", "\n").alias("_lines"), F.explode("wanted").alias("w"))
     texts = normalised(lines.select("w.h", F.get("_lines", F.col("w.line_no")).alias("line")), min_words)
     # rows that share an id can hold another line at the place; the hash tells them apart
-    texts = texts.where(F.xxhash64("norm") == F.col("h")).groupBy("h").agg(F.min("norm").alias("norm"))
+    texts = texts.where(F.xxhash64("norm") == F.col("h")).groupBy("h").agg(F.min(as_symbols("words")).alias("norm"))
     texts = materialize(texts, "line-texts")
     left, right = texts.select(F.col("h").alias("u"), F.col("norm").alias("norm_u")), texts.select(F.col("h").alias("v"), F.col("norm").alias("norm_v"))
     links = pairs.join(left, "u").join(right, "v").where(edit_similar("norm_u", "norm_v", similarity)).select("u", "v")

@@ -222,7 +222,7 @@ def test_lines_equal_brute_force(spark, docs, empty):
     occ = lines.occurrences(d, 5, "doc_id", "text").select("doc_id", "line_no", "norm", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     occ = lines.with_simhash(occ, "h").collect()
     occ = sorted(occ, key=lambda r: (r.doc_id, r.line_no))
-    near = lambda a, b: occ[a].norm == occ[b].norm or ((occ[a].fp ^ occ[b].fp) & (2**64 - 1)).bit_count() <= 3 and distance(occ[a].norm, occ[b].norm) <= int(max(len(occ[a].norm), len(occ[b].norm)) * 0.2 + 1e-9)
+    near = lambda a, b: occ[a].norm == occ[b].norm or ((occ[a].fp ^ occ[b].fp) & (2**64 - 1)).bit_count() <= 3 and distance(occ[a].norm.split(), occ[b].norm.split()) <= int(max(len(occ[a].norm.split()), len(occ[b].norm.split())) * 0.2 + 1e-9)
     root = linked(range(len(occ)), near)
     drop = {}
     for i, c in root.items():
