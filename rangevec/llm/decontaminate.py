@@ -3,9 +3,9 @@
 A spaced seed hashes the tokens at a mask's ones and ignores those at its
 zeros, so a substituted token under a zero still leaves a hit. Hashes of the
 benchmark's windows are joined with those of every document window (a bit map
-first, then a search in the sorted hashes), and each hit's diagonal is verified:
-the stretch of document and item tokens that scores best, a match counting
-1 - s and a mismatch -s, has at least the share s of equal tokens.
+first, then a search in the sorted hashes), and each hit's diagonal is verified
+by the longest stretch of document and item tokens of which at least the share
+s are equal. Items shorter than every mask are their own seed, with all words.
 
 The benchmark is a query set: it is taken in blocks of bounded size, each held
 against all documents, so neither side is shuffled. Hits are few and written to
@@ -54,22 +54,28 @@ def seeds(tok: np.ndarray, mask: str, no: int) -> np.ndarray:
 
 
 def best_stretch(same: np.ndarray, similarity: float) -> tuple[int, int]:
-    """Start and end of the stretch with the largest sum of 1 - s for a match and -s for a mismatch."""
+    """Start and end of the longest stretch with at least the share ``similarity`` of matches, the first of such."""
     run = np.concatenate([[0.0], np.cumsum(same - similarity)])
-    low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    return int(np.argmin(run[: end + 1])), end
+    later = np.maximum.accumulate(run[::-1])  # best sum from the end back to each place
+    ends = len(run) - 1 - np.searchsorted(later, run - 1e-9)
+    start = int(np.argmax(ends - np.arange(len(run))))
+    return start, int(ends[start])
 
 
 class Block:
     """Items of one block with the hashes of their windows."""
 
     def __init__(self, ids: list, texts: list[str], masks: tuple[str, ...]) -> None:
-        self.ids, self.masks = ids, masks
+        self.ids = ids
         self.toks = [tokens(t or "") for t in texts]
+        least = min(map(len, masks))
+        short = sorted({len(tok) for tok in self.toks if 0 < len(tok) < least})
+        self.masks = masks + tuple("1" * n for n in short)
         keys, item, pos = [], [], []
         for i, tok in enumerate(self.toks):
-            for no, mask in enumerate(masks):
+            for no, mask in enumerate(self.masks):
+                if no >= len(masks) and len(tok) != len(mask):
+                    continue
                 found = seeds(tok, mask, no)
                 keys.append(found)
                 item.append(np.full(len(found), i))
@@ -83,7 +89,7 @@ class Block:
         self.map[self.keys >> np.uint64(64 - _MAP_BITS)] = True
 
     def overlaps(self, tok: np.ndarray, similarity: float, min_tokens: int) -> list[tuple]:
-        """(item_id, start, length, equal) of verified overlaps, the best of each diagonal."""
+        """(item_id, start, length, equal) of verified overlaps, the longest of each diagonal."""
         lines = set()
         for no, mask in enumerate(self.masks):
             own = seeds(tok, mask, no)
@@ -109,7 +115,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
 
     An overlap has at least ``min_tokens`` words (or the whole item, if shorter)
     of which the share ``similarity`` or more is equal and in place, and at least
-    one window of it agrees under a mask.
+    one window on its diagonal agrees under a mask. Items shorter than every
+    mask have to be there word for word.
     """
     spark = docs.sparkSession
     short_batches(spark)

@@ -176,6 +176,26 @@ def test_overlaps_equal_brute_force(spark, docs, empty):
     assert decontaminate.decontaminate(empty, items).count() == 0
 
 
+def test_longest_stretch_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 12, 20, 40):
+        for _ in range(60):
+            same = (rng.random(n) < 0.75).astype(float)
+            s, e = decontaminate.best_stretch(same, 0.8)
+            want = max(b - a for a in range(n + 1) for b in range(a, n + 1) if 5 * same[a:b].sum() >= 4 * (b - a))
+            assert e - s == want and 5 * same[s:e].sum() >= 4 * want
+
+
+def test_scattered_changes_and_short_items_are_overlaps(spark):
+    item = [f"w{i}" for i in range(20)]
+    some = ["zz" if i in (5, 10, 15) else w for i, w in enumerate(item)]
+    fill = [f"f{i}" for i in range(20)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([fill + some + fill, fill + ["Three,", "short", "words"] + fill, fill + ["three", "other", "words"] + fill, fill + ["alone"]])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "three short words"), (3, "alone"), (4, "")], "item_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.longest) for r in decontaminate.decontaminate(d, items).collect()}
+    assert got == {0: ("1", 20), 1: ("2", 3), 2: ("", 0), 3: ("3", 1)}
+
+
 def test_all_planted_passages_are_found(spark):
     d, b = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     inside = {(x.doc_id, y.item_id) for x in d.collect() for y in b.collect() if y.text in (x.text or "")}
