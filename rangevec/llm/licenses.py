@@ -1,8 +1,8 @@
 """License scans with a generalised suffix automaton.
 
 The automaton holds the tokens of all licence templates. A document's tokens
-stream through it and give matching statistics: at each place the longest run
-ending there that occurs in some template. Maximal runs are chained, in order
+stream through it and give matching statistics: at each place, for each template,
+the longest run ending there that occurs in it. Maximal runs are chained, in order
 in both document and template, into covered spans; a template that is covered
 far enough gives its label. Only stretches of token pairs that occur in a
 template are streamed, since no run outside them can be long enough.
@@ -79,6 +79,9 @@ class Automaton:
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             if self.link[s] > 0:
                 self.ends[self.link[s]] = sorted({*self.ends[self.link[s]], *self.ends[s]})
+        self.deepest: list[dict[int, int]] = [{} for _ in self.next]
+        for s in sorted(range(1, len(self.next)), key=lambda s: self.length[s]):
+            self.deepest[s] = self.deepest[self.link[s]] | {no: s for no, _ in self.ends[s]}
 
     def _state(self, length: int, moves: dict, link: int) -> int:
         self.next.append(moves)
@@ -128,6 +131,27 @@ class Automaton:
         if n >= least:
             yield len(tok), n, s
 
+    def runs_by_sequence(self, tok: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """Maximal runs (sequence, start in ``tok``, start in the sequence, length) of at least ``least`` tokens, of each sequence by itself.
+
+        The longest run that ends at a place and occurs in a sequence is that of
+        the deepest state on the path of suffix links with an end in it.
+        """
+        s = n = 0
+        before: dict[int, tuple[int, int]] = {}  # sequence: length of its longest run up to here, state
+        for at, c in enumerate([*tok, None]):
+            while s > 0 and c not in self.next[s]:
+                s = self.link[s]
+                n = self.length[s]
+            s, n = (self.next[s][c], n + 1) if c in self.next[s] else (0, 0)
+            now = {no: (n if t == s else self.length[t], t) for no, t in self.deepest[s].items()}
+            for no, (size, state) in before.items():
+                if size >= least and now.get(no, (0, 0))[0] <= size:
+                    for other, place in self.ends[state]:
+                        if other == no:
+                            yield no, at - size, place - size, size
+            before = now
+
 
 class Scanner:
     """Templates and phrases, ready to scan token sequences."""
@@ -169,9 +193,8 @@ class Scanner:
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if b - a + 1 < self.min_run:
                 continue
-            for end, n, state in self.automaton.runs(tok[a : b + 1].tolist(), self.min_run):
-                for no, place in self.automaton.ends[state]:
-                    runs.setdefault(no, []).append((a + end - n, place - n, n))
+            for no, start, place, n in self.automaton.runs_by_sequence(tok[a : b + 1].tolist(), self.min_run):
+                runs.setdefault(no, []).append((a + start, place, n))
         found, low = [], 0.0
         for no, matches in runs.items():
             whole = len(self.sequences[no])

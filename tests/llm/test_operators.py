@@ -400,6 +400,27 @@ def test_automaton_equals_brute_force():
         assert got == {(i, j) for i in range(30) for j in range(i + 2, 31) if tuple(tok[i:j]) in occ and (j == 30 or tuple(tok[i : j + 1]) not in occ) and (i == 0 or tuple(tok[i - 1 : j]) not in occ)}
 
 
+def test_runs_of_each_sequence_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        seqs = [[int(x) for x in rng.integers(0, 3, rng.integers(1, 12))] for _ in range(3)]
+        tok = [int(x) for x in rng.integers(0, 4, 30)]
+        want = set()
+        for no, s in enumerate(seqs):
+            inside = {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+            for i in range(30):
+                for j in range(i + 2, 31):
+                    if tuple(tok[i:j]) in inside and (j == 30 or tuple(tok[i : j + 1]) not in inside) and (i == 0 or tuple(tok[i - 1 : j]) not in inside):
+                        want |= {(no, i, p, j - i) for p in range(len(s)) if s[p : p + j - i] == tok[i:j]}
+        assert set(licenses.Automaton(seqs).runs_by_sequence(tok, 2)) == want
+
+
+def test_license_short_grant_inside_a_longer_run():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    text = 'Licensed under the Apache License, Version 2.0 (the "License"). See the LICENSE file'
+    assert ("apache-2.0", 0, 8, 1.0) in scanner.spans(scanner.numbers(licenses.words_of(text)))
+
+
 def test_license_base_equals_regex(spark, docs, empty):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text").where("doc_id is not null AND doc_id <> 6").withColumn("doc_id", F.col("doc_id") + 10**7))
     texts = {r.doc_id: r.text for r in d.collect()}
