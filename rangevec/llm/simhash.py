@@ -11,11 +11,14 @@ What reaches the driver is a count for each cell (at most 17**4 of them) and
 the list of tiles, whose number is bounded by the tile size, which grows with
 the table once there would be more than ``max_tiles`` of them.
 
-With ``similarity`` the link is wider than a few bits: a fingerprint then has
-256 bits, the radius is what that Jaccard similarity of shingle sets leads to
-(and 1.5 standard deviations more), and cells hold documents by their number of
-distinct shingles, the population count of their sets: sets that similar differ
-in size by no more than that factor, so only a cell and the next are compared.
+With ``similarity`` the fingerprints only find candidates: they have 256 bits,
+the radius is what that Jaccard similarity of shingle sets leads to (and seven
+standard deviations more), and cells hold documents by their number of distinct
+shingles, the population count of their sets: sets that similar differ in size
+by no more than that factor, so only a cell and the next are compared. Documents
+with a candidate are then tiled once more, with the sorted hashes of their
+shingles, and a link stands only where the sets themselves are that similar.
+Candidates that links of the same tile connect already need no look.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ SEED = 42
 _BLOCK = 1 << 16
 #: A tile of 256-bit fingerprints is half a megabyte; a row is sent once for each tile it meets, so fewer, larger tiles move less.
 TILE_ROWS = 1 << 14
+#: A tile with sets of shingles holds fewer, since a set is about as long as its text.
+SET_TILE_ROWS = 1 << 10
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -64,8 +69,8 @@ def fingerprint(runs: list[bytes], seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, f0, f1, ...) of every row: distinct shingles, and 64 bits a word as signed longs.
+def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, n, f0, f1, ...) of every row: distinct shingles, and 64 bits a word as signed longs; with ``sets`` also their sorted hashes as bytes.
 
     One word takes shingles with repeats; more take each distinct shingle once.
     """
@@ -76,15 +81,19 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc
         for b in batches:
             found = np.zeros((len(b), words), np.uint64)
             sizes = np.zeros(len(b), np.int64)
+            hashes = []
             for i, text in enumerate(b["text"]):
                 runs = shingles(text, width)
                 if words > 1:
                     runs = list(set(runs))
                 sizes[i] = len(runs)
                 found[i] = [fingerprint(runs, SEED + w) for w in range(words)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": sizes} | {c: found[:, w].view(np.int64) for w, c in enumerate(names)})
+                if sets:
+                    hashes.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs))).tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": sizes} | {c: found[:, w].view(np.int64) for w, c in enumerate(names)} | ({"set": hashes} if sets else {}))
 
-    return real_ids(python_rows(docs, id_col, text_col).mapInPandas(run, "doc_id long, n long, " + ", ".join(f"{c} long" for c in names)))
+    schema = "doc_id long, n long, " + ", ".join(f"{c} long" for c in names) + (", set binary" if sets else "")
+    return real_ids(python_rows(docs, id_col, text_col).mapInPandas(run, schema))
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +133,48 @@ class _Links:
         return forest(np.concatenate(self.u), np.concatenate(self.v)) if self.u else (np.zeros(0, np.int64),) * 2
 
 
-def compare(own: np.ndarray, own_id: np.ndarray, guest: np.ndarray, guest_id: np.ndarray, radii: tuple[int, int], links: _Links, same: bool = False) -> None:
+class _Verified(_Links):
+    """Links of one tile whose sets have the Jaccard similarity; those that join nothing new are not looked at."""
+
+    def __init__(self, similarity: float) -> None:
+        super().__init__()
+        self.similarity, self.root = similarity, {}
+
+    def find(self, x: int) -> int:
+        top = x
+        while (up := self.root.get(top, top)) != top:
+            top = up
+        while x != top:
+            self.root[x], x = top, self.root.get(x, x)
+        return top
+
+    def check(self, u: np.ndarray, v: np.ndarray, o: np.ndarray, g: np.ndarray, own: list[bytes], guest: list[bytes], step: int = 1000) -> None:
+        """Look at the pairs (u, v), whose sets are own[o] and guest[g], some at a time; between, those that are connected by now are left out."""
+        while len(u):
+            ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = np.array([self.find(x) for x in ids.tolist()], np.int64)[at]
+            apart = root[: len(u)] != root[len(u) :]
+            u, v, o, g = u[apart], v[apart], o[apart], g[apart]
+            stand = []
+            for i, (a, b) in enumerate(zip(u[:step].tolist(), v[:step].tolist())):
+                x, y = self.find(a), self.find(b)
+                if x != y and jaccard(own[o[i]], guest[g[i]]) >= self.similarity - 1e-12:
+                    self.root[max(x, y)] = min(x, y)
+                    stand.append(i)
+            self.add(u[stand], v[stand])
+            u, v, o, g = u[step:], v[step:], o[step:], g[step:]
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of sorted hashes; empty sets are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def compare(own: np.ndarray, own_id: np.ndarray, guest: np.ndarray, guest_id: np.ndarray, radii: tuple[int, int], links: _Links, same: bool = False, sets: tuple[list, list] | None = None) -> None:
     """Link all of ``own`` and ``guest`` (rows of words) within the radii of the first word and of all, a block at a time."""
     step = max(1, (1 << 20) // max(1, len(own)))
     first = np.ascontiguousarray(own[:, 0])
@@ -137,18 +187,23 @@ def compare(own: np.ndarray, own_id: np.ndarray, guest: np.ndarray, guest_id: np
         if own.shape[1] > 1:
             near = np.bitwise_count(guest[g] ^ own[o]).sum(axis=1, dtype=np.int64) <= radii[1]
             g, o = g[near], o[near]
-        links.add(own_id[o], guest_id[g])
+        if sets is None:
+            links.add(own_id[o], guest_id[g])
+        else:
+            links.check(own_id[o], guest_id[g], o, g, *sets)
 
 
-def _tile_links(radii: tuple[int, int], names: list[str]):
+def _tile_links(radii: tuple[int, int], names: list[str], similarity: float | None = None):
+    fresh = _Links if similarity is None else lambda: _Verified(similarity)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        home, own, own_id, links, fixed = None, [], [], _Links(), None
+        home, own, own_id, own_sets, links, fixed = None, [], [], [], fresh(), None
 
         def settle():
             nonlocal fixed
             if fixed is None:
                 fixed = (np.concatenate(own), np.concatenate(own_id)) if own else (np.zeros((0, len(names)), np.uint64), np.zeros(0, np.int64))
-                compare(*fixed, *fixed, radii, links, same=True)
+                compare(*fixed, *fixed, radii, links, same=True, sets=None if similarity is None else (own_sets, own_sets))
 
         def done():
             settle()
@@ -158,6 +213,7 @@ def _tile_links(radii: tuple[int, int], names: list[str]):
         for b in batches:
             at, guest, rep = (b[c].to_numpy() for c in ("home", "guest", "rep"))
             fps = np.ascontiguousarray(b[names].to_numpy()).view(np.uint64)
+            held = None if similarity is None else b["set"].to_numpy()
             cuts = np.flatnonzero(np.diff(at) != 0) + 1
             for a, z in zip([0, *cuts], [*cuts, len(at)]):
                 if a == z:
@@ -165,14 +221,17 @@ def _tile_links(radii: tuple[int, int], names: list[str]):
                 if at[a] != home:
                     if home is not None:
                         yield done()
-                    home, own, own_id, links, fixed = at[a], [], [], _Links(), None
+                    home, own, own_id, own_sets, links, fixed = at[a], [], [], [], fresh(), None
                 stay = guest[a:z] == 0
                 if stay.any():
                     own.append(fps[a:z][stay])
                     own_id.append(rep[a:z][stay])
+                    if held is not None:
+                        own_sets.extend(held[a:z][stay])
                 if not stay.all():
                     settle()
-                    compare(*fixed, fps[a:z][~stay], rep[a:z][~stay], radii, links)
+                    sets = None if held is None else (own_sets, list(held[a:z][~stay]))
+                    compare(*fixed, fps[a:z][~stay], rep[a:z][~stay], radii, links, sets=sets)
         if home is not None:
             yield done()
 
@@ -201,8 +260,8 @@ def quarter_cell(column: str) -> tuple:
     return sum(counts[1:], counts[0]).cast("int")
 
 
-def near_links(reps: DataFrame, names: list[str], radii: tuple[int, int], neighbours, tile_rows: int = TILE_ROWS, max_tiles: int = 50_000) -> DataFrame:
-    """Spanning links (u, v) of all pairs of ``reps`` (cell, rep and the words ``names``) within the radii and in neighbouring cells."""
+def near_links(reps: DataFrame, names: list[str], radii: tuple[int, int], neighbours, tile_rows: int = TILE_ROWS, max_tiles: int = 50_000, similarity: float | None = None) -> DataFrame:
+    """Spanning links (u, v) of all pairs of ``reps`` (cell, rep and the words ``names``) within the radii and in neighbouring cells; with ``similarity``, whose sets (column ``set``) are that similar."""
     spark = reps.sparkSession
     counts = {r["cell"]: r["n"] for r in reps.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -222,25 +281,25 @@ def near_links(reps: DataFrame, names: list[str], radii: tuple[int, int], neighb
         .withColumn("tile", F.col("first") + F.pmod(F.xxhash64(*names), F.col("cut")).cast("int"))
         .withColumn("later", F.when(F.col("tile") + 1 < F.col("first") + F.col("cut"), F.sequence(F.col("tile") + 1, F.col("first") + F.col("cut") - 1)).otherwise(F.array().cast("array<int>")))
     )
+    carried = names if similarity is None else [*names, "set"]
     homes = F.concat(F.array(F.struct(F.col("tile").alias("home"), F.lit(0).alias("guest"))), F.transform(F.concat("later", "beyond"), lambda h: F.struct(h.alias("home"), F.lit(1).alias("guest"))))
-    sent = placed.select(F.explode(homes).alias("to"), "rep", *names).select("to.home", "to.guest", "rep", *names)
+    sent = placed.select(F.explode(homes).alias("to"), "rep", *carried).select("to.home", "to.guest", "rep", *carried)
     spread = min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 64)))
-    return sent.repartition(spread, "home").sortWithinPartitions("home", "guest").mapInPandas(_tile_links(radii, names), "u long, v long")
+    return sent.repartition(spread, "home").sortWithinPartitions("home", "guest").mapInPandas(_tile_links(radii, names, similarity), "u long, v long")
 
 
 def wide_radii(similarity: float, words: int) -> tuple[int, int]:
-    """Radii of the first word and of all that sets of this Jaccard similarity keep, 3.5 and 1.5 deviations over their mean."""
+    """Radii of the first word and of all that sets of this Jaccard similarity keep, five and seven deviations over their mean."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     reach = lambda bits, times: math.floor(bits * share + times * math.sqrt(bits * share * (1 - share)))
-    total = reach(64 * words, 1.5)
-    return min(total, math.floor(total / words + 3.5 * math.sqrt(total / words * (1 - share)))), total
+    return reach(64, 5), reach(64 * words, 7)
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits a word), component_id.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked
-    (with ``similarity``: see the module); component_id is the smallest id
+    (with ``similarity``: whose shingle sets are that similar); component_id is the smallest id
     reachable. Null and empty texts, and texts of blanks, have fingerprint zero
     and are linked like any other. Rows with a null id have a null component.
     Repeated rows each give a row. Other columns are not read. An empty table
@@ -257,7 +316,16 @@ def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, similarity:
         neighbours = lambda cells: _neighbours(cells, radius, 4)
     rows = materialize(fingerprints(docs, width, words, id_col, text_col).withColumn("cell", cell).drop("n"), "fingerprints")
     reps = materialize(rows.where("doc_id IS NOT NULL").groupBy("cell", *names).agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    found = connected_components(near_links(reps, names, radii, neighbours, tile_rows))
+    links = near_links(reps, names, radii, neighbours, tile_rows)
+    if similarity:
+        links = materialize(links, "candidates")
+        ends = links.select(F.col("u").alias("_end")).union(links.select("v")).distinct()
+        met = docs.join(ends, docs[id_col].cast("long") == ends["_end"], "left_semi")
+        sets = fingerprints(met, width, words, id_col, text_col, sets=True).withColumn("cell", cell).withColumnRenamed("doc_id", "rep")
+        # rows that share an id are one node; each of their texts is compared
+        sets = materialize(sets.dropDuplicates(["rep", "cell", *names]).drop("n"), "candidate-sets")
+        links = near_links(sets, names, radii, neighbours, min(tile_rows, SET_TILE_ROWS), similarity=similarity)
+    found = connected_components(links)
     classes = reps.join(found, reps["rep"] == found["node"], "left").select("cell", *names, F.coalesce("component", "rep").alias("component_id"))
     classes = materialize(classes, "classes")
     out = rows.join(classes, ["cell", *names], "left")

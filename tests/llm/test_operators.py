@@ -141,6 +141,25 @@ def test_wide_simhash_finds_near_copies_only(docs):
     assert got[BIG + 1] == BIG == got[BIG] and got[1] in (1, 2) and got[10] == 10 and got[7] == 7
 
 
+def test_near_copies_equal_brute_force_jaccard(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(60):
+        w = [f"t{i}x{j}" for j in range(304 if i % 3 else 30)]
+        near = list(w)
+        for k in range((5 + i % 5) if i % 3 else i % 2 + 1):
+            near[len(w) // 12 + k * (len(w) // 12) + int(rng.integers(0, 2))] = f"new{i}x{k}"
+        texts += [w, near]
+    runs = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    share = lambda a, b: len(runs[a] & runs[b]) / len(runs[a] | runs[b])
+    want = linked(range(len(texts)), lambda a, b: share(a, b) >= 0.8)
+    assert 10 < sum(i != c for i, c in want.items()) < 50
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    for tile_rows in (5, 1 << 14):
+        got = simhash.simhash_dedup(d, width=5, similarity=0.8, tile_rows=tile_rows).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_components_random_graphs(spark):
     rng = np.random.default_rng(3)
     for n, m in ((1, 0), (30, 20), (60, 60), (200, 150)):
