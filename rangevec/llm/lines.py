@@ -1,26 +1,39 @@
 """Fuzzy line dedup, with DataFrame functions alone.
 
 Lines are normalised (lower case, runs of anything but letters and digits to one
-space) and given a 64-bit SimHash of their words. Equal normalised lines are one
-distinct line. Distinct lines whose SimHashes differ in at most three bits agree
-in at least two of five blocks, so they meet in a join on pairs of blocks; of
-those that meet, the ones with an edit similarity of at least ``similarity``, in
-words, are linked. Of each connected group only the first occurrence stays.
+space; in scripts without spaces each character is a word). Equal normalised
+lines are one distinct line, whatever their length; only the empty line is left
+alone. Distinct lines of at least ``min_words`` words have a 64-bit SimHash of
+their distinct words (repeats of common words would make all lines look alike), cut into ``radius + 2`` blocks: fingerprints that differ in at most
+``radius`` bits agree in two blocks at least and meet under that pair of blocks.
+Of those that meet, all that differ in at most ``reach`` bits are verified by
+the edit similarity of their characters (spaces left out); of each connected
+group only the first occurrence stays.
+
+A bucket of equal blocks never emits all its pairs. Fingerprints near the
+bucket's pivot, its smallest one, are held against the pivot alone, which ties a
+group of near-equal lines together by as many links as it has lines; those that
+aren't near it are held against all that are near them. Then lines whose
+component isn't yet that of the pivot they are near meet the other components
+around it. So each pair that meets is either verified or connected already.
+Buckets that are found hot in a sample of fingerprints are salted, each salt
+with a pivot of its own, and take part whole in that second step.
 
 The SimHash is counted in lanes: a word's hash, shifted and masked, adds one to
 each of eight counters packed into a long, so eight sums over a line's words
 count all 64 bits. Longer lines are summed in parts of 63 words, whose counters
 are then widened to 16 bits and added; beyond 16383 words the counters have 32.
 
-Occurrences of a very common line are combined on the map side; on the way back
-AQE splits the side of the occurrences.
+A line's identity is the 128-bit digest of its content, and a number that is
+written with it. Occurrences of a very common line are combined on the map side;
+on the way back AQE splits the side of the occurrences.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangevec.llm.common import id_and_text, table
@@ -28,15 +41,20 @@ from rangevec.llm.components import connected_components
 from rangevec.sources.scratch import materialize
 
 MIN_WORDS = 5
-RADIUS = 3
+#: Bits within which two fingerprints are sure to meet, and within which those that meet are verified.
+RADIUS, REACH = 4, 10
 SIMILARITY = 0.8
-LONG_WORDS = 4000
-#: (first bit, bits) of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: So many lines may be broadcast by place (some 40 bytes each) to fetch their texts; more are joined.
+BROADCAST_LINES = 1_000_000
+#: A bucket is hot with so many sampled fingerprints, one in SAMPLE being sampled, and this share of the sample.
+SAMPLE, HOT_ROWS, HOT_SHARE, SALTS = 128, 64, 1e-4, 64
+#: Thai to Burmese, Khmer, kana and Han: scripts that don't part words by spaces.
+_UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 
 
-def normalise(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def normalise(text: Column) -> Column:
+    """A text with its lines normalised but for blanks at their ends; a line gives the same as it does within its text."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), _UNSPACED, " $1 "), r"[^\p{L}\p{N}\n]+", " ")
 
 
 PART = 63
@@ -80,95 +98,159 @@ def with_simhash(rows: DataFrame, hashes: str = "hashes", out: str = "fp") -> Da
     return summed.withColumn(out, F.when(n <= PART, short).when(n <= 16383, wide).otherwise(widest)).drop(*names)
 
 
-def normalised(lines: DataFrame, min_words: int) -> DataFrame:
-    """Lines (column ``line``) of at least ``min_words`` words as norm and words."""
-    words = lines.withColumn("norm", normalise(F.col("line"))).drop("line").withColumn("words", F.split("norm", " "))
-    return words.where(F.size("words") >= min_words)
-
-
-def occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, norm, words) of lines with at least ``min_words`` words."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, norm, words) of all lines but empty ones."""
     rows = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    return normalised(rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")), min_words)
+    lines = rows.select("doc_id", F.posexplode(F.split(normalise(F.col("text")), "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", F.trim("line").alias("norm")).where("norm <> ''").withColumn("words", F.split("norm", " "))
 
 
-def block_keys(fp: str) -> Column:
+def block_keys(fp: str, radius: int = RADIUS) -> Column:
     """A key for each pair of blocks: which pair, and the bits of both."""
-    block = [F.shiftrightunsigned(fp, at).bitwiseAND((1 << n) - 1) for at, n in BLOCKS]
-    pairs = [F.lit(no << 26).bitwiseOR(F.shiftleft(block[a], 13)).bitwiseOR(block[b]).cast("int") for no, (a, b) in enumerate(combinations(range(5), 2))]
+    n = radius + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    wide = max(z - a for a, z in zip(edges, edges[1:]))
+    block = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (z - a)) - 1)) for a, z in zip(edges, edges[1:])]
+    pairs = [F.lit(no << 2 * wide).bitwiseOR(F.shiftleft(block[a], wide)).bitwiseOR(block[b]) for no, (a, b) in enumerate(combinations(range(n), 2))]
     return F.array(*pairs)
 
 
-def as_symbols(words: str) -> Column:
-    """An array of words as a string with one character for each word, by a hash of it to 20,480 characters."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20480)) + 19968), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+def edit_similar(a: str, b: str, similarity: float) -> Column:
+    """Edit similarity of at least ``similarity``, in characters, spaces left out: an exact banded distance, with a wider band only where a narrow one is not enough."""
+    a, b = F.translate(a, " ", ""), F.translate(b, " ", "")
+    slack = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - similarity) + 1e-9).cast("int")
+    near = F.lit(False)
+    for most in [16 * 4**i for i in reversed(range(14))]:  # up to 2**30, beyond any string
+        distance = F.levenshtein(a, b, most).bitwiseAND(F.lit(0x7FFFFFFF))  # -1, beyond the band, becomes the largest
+        near = F.when(distance <= slack, True).when(slack <= most, False).otherwise(near)
+    return F.when(F.abs(F.length(a) - F.length(b)) > slack, False).otherwise(near)
 
 
-def edit_similar(a: str, b: str, similarity: float, long_words: int = LONG_WORDS) -> Column:
-    """Edit similarity of at least ``similarity``, in words (columns of ``as_symbols``); beyond ``long_words``, where edit distance is too dear, the same share of equal five-word runs."""
-    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    slack = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
-    def runs(c: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 4)), lambda i: F.substring(F.col(c), i, F.lit(5))))
 
-    both = F.size(F.array_intersect(runs(a), runs(b)))
-    share = both / F.greatest(F.lit(1), F.size(runs(a)) + F.size(runs(b)) - both)
-    near = F.lit(False)
-    for most in (1 << 10, 256, 64, 16):  # a narrow band is cheap and settles most pairs; a wider one is tried only where it is not enough
-        found = F.levenshtein(a, b, most)
-        near = F.when(found >= 0, found <= slack).when(slack <= most, False).otherwise(near)
-    return F.when(longer - shorter > slack, False).when(longer <= long_words, near).otherwise(share >= similarity)
+def line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, norm) of the wanted lines (id, doc_id, line_no, h; a written table)."""
+    at = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("id", "line_no", "h")).alias("wanted"))
+    if wanted.count() <= BROADCAST_LINES:
+        at = F.broadcast(at)
+    rows = id_and_text(docs, id_col, text_col).join(at, "doc_id")
+    both = F.array(F.struct(F.split("text", "\n").alias("lines"), F.col("wanted")))  # binds the split, so it is made once
+    found = F.flatten(F.transform(both, lambda x: F.transform(x["wanted"], lambda w: F.struct(w["id"].alias("id"), w["h"].alias("h"), F.get(x["lines"], w["line_no"]).alias("line")))))
+    texts = rows.select(F.explode(found).alias("x")).select("x.id", "x.h", F.trim(normalise(F.col("x.line"))).alias("norm"))
+    # rows that share an id can hold another line at the place; the digest tells them apart
+    return texts.where(F.unhex(F.md5("norm")) == F.col("h")).groupBy("id").agg(F.first("norm").alias("norm"))
 
 
-def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, keep_doc, keep_line) of every line that has another occurrence, itself included."""
-    if radius > 3 or similarity < 1 - (1 << 10) / LONG_WORDS:
-        raise ValueError("five blocks in pairs find partners within three bits, and edit distances are told up to 1024")
-    rows = occurrences(docs, min_words, id_col, text_col)
-    seen = rows.select("doc_id", "line_no", F.xxhash64("norm").alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    seen = materialize(with_simhash(seen).drop("hashes"), "lines")
-    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")
-    distinct = seen.groupBy("h", "fp").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n"))
-    distinct = materialize(distinct, "distinct-lines")
-    keyed = distinct.select("h", "fp", F.explode(block_keys("fp")).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius))
-    pairs = materialize(met.select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct(), "line-pairs")
-    ends = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float, id_col: str, text_col: str, name: str) -> DataFrame:
+    """Those of the pairs (u, v; ids of lines) whose texts are similar."""
+    pairs = materialize(pairs.distinct(), f"{name}-pairs")
+    ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     doc = F.floor(F.col("place") / F.lit(1 << 31)).cast("long")
-    at = distinct.join(ends, "h").select("h", doc.alias("doc_id"), (F.col("place") - doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int").alias("line_no"))
-    wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
-    lines = id_and_text(docs, id_col, text_col).join(wanted, "doc_id").select(F.split("text", "\n").alias("_lines"), F.explode("wanted").alias("w"))
-    texts = normalised(lines.select("w.h", F.get("_lines", F.col("w.line_no")).alias("line")), min_words)
-    # rows that share an id can hold another line at the place; the hash tells them apart
-    texts = texts.where(F.xxhash64("norm") == F.col("h")).groupBy("h").agg(F.min(as_symbols("words")).alias("norm"))
-    texts = materialize(texts, "line-texts")
-    left, right = texts.select(F.col("h").alias("u"), F.col("norm").alias("norm_u")), texts.select(F.col("h").alias("v"), F.col("norm").alias("norm_v"))
+    line = (F.col("place") - doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int")
+    wanted = materialize(distinct.join(ends, "id").select("id", doc.alias("doc_id"), line.alias("line_no"), "h"), f"{name}-wanted")
+    texts = line_texts(docs, wanted, id_col, text_col)
+    left, right = texts.select(F.col("id").alias("u"), F.col("norm").alias("norm_u")), texts.select(F.col("id").alias("v"), F.col("norm").alias("norm_v"))
     links = pairs.join(left, "u").join(right, "v").where(edit_similar("norm_u", "norm_v", similarity)).select("u", "v")
+    return materialize(links, f"{name}-links")
+
+
+def _keyed(fps: DataFrame, radius: int) -> DataFrame:
+    """(key, salt, fp): each fingerprint under its pairs of blocks, those of hot buckets dealt to salts from 1 on, others under salt 0."""
+    key = F.explode(block_keys("fp", radius)).alias("key")
+    sample = fps.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(SAMPLE)) == 0)
+    # a fingerprint is in as many buckets as there are pairs of blocks, so this share bounds the number of hot ones
+    least = max(HOT_ROWS, int(sample.count() * HOT_SHARE))
+    hot = sample.select(key).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("key", F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    return fps.select(key, "fp").join(F.broadcast(hot), "key", "left").select("key", salt.alias("salt"), "fp")
+
+
+def _meetings(fps: DataFrame, radius: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Near fingerprints: (key, salt, fp, pivot) of those near their bucket's pivot, and for hot buckets of all; (a, b) of others with any near one of their bucket."""
+    w = Window.partitionBy("key", "salt")
+    rows = _keyed(fps, radius).withColumn("pivot", F.min("fp").over(w)).withColumn("whole", F.count(F.lit(1)).over(w)).where("whole > 1 OR salt > 0")
+    rows = rows.withColumn("near", (F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= reach))
+    a, b = rows.where("NOT near AND fp <> pivot AND salt = 0").alias("a"), rows.where("salt = 0").alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & (F.col("b.near") | (F.col("a.fp") < F.col("b.fp"))) & (_apart("a.fp", "b.fp") <= reach)
+    pairs = a.join(b, on).select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("salt"), "a.fp", F.col("b.fp").alias("pivot"))
+    met = materialize(rows.where("near OR salt > 0").select("key", "salt", "fp", "pivot").union(pairs), "meetings")
+    return met.where("key IS NOT NULL"), met.where("key IS NULL").select(F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")).distinct()
+
+
+def line_links(docs: DataFrame, distinct: DataFrame, radius: int, reach: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (u, v) that connect all similar lines of ``distinct`` (id, h, fp, len, place) that meet."""
+    check = lambda pairs, name: _verified(pairs, docs, distinct, similarity, id_col, text_col, name)
+    lines = distinct.where("fp IS NOT NULL").select("id", "fp", "len")
+    fps = lines.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("len").alias("lo"), F.max("len").alias("hi"))
+    fps = materialize(fps, "fingerprints")
+    bucketed, pairs = _meetings(fps.select("fp"), radius, reach)
+    hot = bucketed.where("salt > 0").groupBy("key").agg(F.min("pivot").alias("_top"))
+    bucketed = bucketed.join(F.broadcast(hot), "key", "left").select("key", "salt", "fp", "pivot", F.coalesce("_top", "pivot").alias("top"))
+    near = bucketed.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).union(bucketed.where("salt > 0").select("pivot", "top")).where((F.col("a") != F.col("b")) & (_apart("a", "b") <= reach))
+    end = lambda x: fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("m").alias(f"m_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
+    like = (F.col("hi_a") >= F.floor(F.col("lo_b") * similarity)) & (F.col("hi_b") >= F.floor(F.col("lo_a") * similarity))
+    near = materialize(near.union(pairs).distinct().join(end("a"), "a").join(end("b"), "b").where(like).select("a", "b", "rep_a", "rep_b", ((F.col("m_a") > 1) | (F.col("m_b") > 1)).alias("many")), "near")
+    alike = lines.join(fps.where("m > 1").select("fp", "rep"), "fp").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    links = check(near.select(F.greatest("rep_a", "rep_b").alias("u"), F.least("rep_a", "rep_b").alias("v")).union(alike), "pivot")
+    # what is left, by components: lines near their bucket's pivot but not in its component, and lines that share a fingerprint
     found = connected_components(links)
-    grouped = distinct.join(found, distinct["h"] == found["node"], "left").select("h", "fp", "place", "n", F.coalesce("component", "h").alias("group"))
-    first = grouped.groupBy("group").agg(F.min("place").alias("keep"), F.sum("n").alias("whole")).where("whole > 1")
+    rooted = materialize(lines.join(found, lines["id"] == found["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("root")), "roots")
+    classes = rooted.groupBy("fp", "root").agg(F.count(F.lit(1)).alias("n"))
+    theirs = classes.select(F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
+    tops = fps.select(F.col("fp").alias("top"), "rep").join(rooted.select(F.col("id").alias("rep"), F.col("root").alias("top_root")), "rep").select("top", "top_root")
+    wide = bucketed.select("key", "fp", "top").union(bucketed.select("key", F.col("pivot").alias("fp"), "top")).distinct().join(classes, "fp").join(tops, "top")
+    wide = materialize(wide.select("key", "fp", "root", "top", "top_root", "n"), "bucket-roots")
+    a, b = wide.where("root <> top_root").alias("a"), wide.alias("b")
+    ours = F.struct("a.fp", "a.root") < F.struct("b.fp", "b.root")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.top") == F.col("b.top")) & (F.col("a.root") != F.col("b.root")) & (_apart("a.fp", "b.fp") <= reach) & ((F.col("b.root") == F.col("b.top_root")) | ours)
+    met = a.join(b, on).select("a.fp", "a.root", F.col("b.fp").alias("fp_b"), F.col("b.root").alias("root_b"))
+    many = near.where("many").select(F.col("a").alias("fp"), F.col("b").alias("fp_b")).join(classes.select("fp", "root"), "fp").join(theirs, "fp_b").where("root <> root_b")
+    split = classes.join(fps.where("m > 1").select("fp", "rep"), "fp").join(rooted.select(F.col("id").alias("rep"), F.col("root").alias("rep_root")), "rep").where("root <> rep_root")
+    same = split.select("fp", "root", F.col("fp").alias("fp_b")).join(theirs, "fp_b").where("root <> root_b")
+    rest = met.unionByName(many.select("fp", "root", "fp_b", "root_b")).unionByName(same.select("fp", "root", "fp_b", "root_b")).distinct()
+    theirs = rooted.select(F.col("id").alias("v"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
+    rest = rest.join(rooted.withColumnRenamed("id", "u"), ["fp", "root"]).join(theirs, ["fp_b", "root_b"]).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    tested = near.select(F.greatest("rep_a", "rep_b").alias("u"), F.least("rep_a", "rep_b").alias("v"))
+    return links.union(check(rest.join(tested, ["u", "v"], "left_anti"), "rest"))
+
+
+def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, reach: int = REACH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no, keep_doc, keep_line) of every line that has another occurrence, itself included."""
+    rows = occurrences(docs, id_col, text_col)
+    seen = with_simhash(rows.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), F.size("words").alias("n"), (F.length("norm") - F.size("words") + 1).alias("len"), F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)).alias("hashes")))
+    seen = materialize(seen.withColumn("fp", F.when(F.col("n") >= min_words, F.col("fp"))).drop("hashes", "n"), "lines")
+    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")
+    distinct = seen.groupBy("h", "fp", "len").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n"))
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+    found = connected_components(line_links(docs, distinct, radius, reach, similarity, id_col, text_col))
+    grouped = distinct.join(found, distinct["id"] == found["node"], "left")
+    # the smallest line of a component is no node of ``found``, but its group is
+    tops = found.select(F.col("component").alias("id")).distinct().withColumn("_top", F.lit(True))
+    grouped = grouped.join(tops, "id", "left").where("n > 1 OR component IS NOT NULL OR _top").select("h", "place", "n", F.coalesce("component", "id").alias("group"))
+    first = grouped.groupBy("group").agg(F.min("place").alias("keep"))
     keep_doc = F.floor(F.col("keep") / F.lit(1 << 31)).cast("long")
-    keeps = grouped.join(first, "group").select("h", "fp", keep_doc.alias("keep_doc"), (F.col("keep") - keep_doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int").alias("keep_line"))
+    keeps = grouped.join(first, "group").select("h", keep_doc.alias("keep_doc"), (F.col("keep") - keep_doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int").alias("keep_line"))
     keeps = materialize(keeps, "line-keeps")
-    return seen.join(keeps, ["h", "fp"]).select("doc_id", "line_no", "keep_doc", "keep_line")
+    return seen.join(keeps, "h").select("doc_id", "line_no", "keep_doc", "keep_line")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, dropped (line numbers from 0, comma-joined).
 
-    Null text counts as empty and is one empty line. Lines of fewer than
-    ``min_words`` words, empty ones included, are never dropped. Of a group the
-    occurrence in the smallest document, then the smallest line, stays; equal
-    lines of one document are occurrences like any other. Rows that share an id
-    count as one document and share the numbers; rows with a null id lose no
-    line. Other columns are not read. An empty table gives an empty result.
+    Null text counts as empty and is one empty line. Lines without a letter or
+    digit are never dropped; lines of fewer than ``min_words`` words are dropped
+    only for an equal one. Of a group the occurrence in the smallest document,
+    then the smallest line, stays; equal lines of one document are occurrences
+    like any other. Lines may be of any length. Rows that share an id count as
+    one document and share the numbers; rows with a null id lose no line. Other
+    columns are not read. An empty table gives an empty result.
     """
     groups = line_groups(docs, id_col=id_col, text_col=text_col, **options)
     drops = groups.where("doc_id <> keep_doc OR line_no <> keep_line").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    ends = F.length("text") - F.length(F.translate("text", "\n", ""))
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", (ends + 1).cast("long").alias("n_lines"))
     return rows.join(drops, "doc_id", "left").select(
         "doc_id",
         "n_lines",
@@ -178,11 +260,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_lines(docs: DataFrame, dedup: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the dropped lines of ``line_dedup``'s result taken out of the text."""
-    gone = dedup.where("n_dropped > 0").select(F.col("doc_id").alias("_gone_id"), F.split("dropped", ",").cast("array<int>").alias("_gone")).dropDuplicates(["_gone_id"])
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).drop("_gone_id", "_gone")
+    """``docs`` with the dropped lines of ``line_dedup``'s result taken out of the text; columns and their names stay."""
+    ident, lost = (f"{'_' * max(map(len, docs.columns))}_{c}" for c in ("id", "lost"))  # longer than any name there
+    gone = dedup.where("n_dropped > 0").select(F.col("doc_id").alias(ident), F.split("dropped", ",").cast("array<int>").alias(lost)).dropDuplicates([ident])
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(lost), i)), "\n")
+    joined = docs.join(gone, docs[id_col].cast("long") == gone[ident], "left")
+    return joined.withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(left)).drop(ident, lost)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

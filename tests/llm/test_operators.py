@@ -225,14 +225,37 @@ def test_all_planted_passages_are_found(spark):
 # fuzzy lines
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+def similar_pairs(pairs, similarity=0.8):
+    """Which pairs of normalised lines have the edit similarity, by DuckDB's whole distance matrix."""
+    import duckdb
+    import pandas as pd
+
+    t = pd.DataFrame([(x.replace(" ", ""), y.replace(" ", "")) for x, y in pairs], columns=["a", "b"])  # noqa: F841
+    cut = f"floor(greatest(length(a), length(b)) * {1 - similarity} + 1e-9)"
+    return [r[0] for r in duckdb.sql(f"SELECT levenshtein(a, b) <= {cut} FROM t").fetchall()] if pairs else []
+
+
+def line_drops(spark, d, min_words=5):
+    """Dropped lines by document: every pair of lines that meet is looked at."""
+    occ = lines.occurrences(d, "doc_id", "text").select("doc_id", "line_no", "norm", F.size("words").alias("n"), F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)).alias("h"))
+    occ = sorted(lines.with_simhash(occ, "h").drop("h").collect(), key=lambda r: (r.doc_id, r.line_no))
+    edges = [64 * i // 6 for i in range(7)]
+    blocks = [[(r.fp >> x) & ((1 << (z - x)) - 1) for x, z in zip(edges, edges[1:])] for r in occ]
+
+    def meet(i, j):
+        a, b = occ[i], occ[j]
+        if min(a.n, b.n) < min_words or ((a.fp ^ b.fp) & (2**64 - 1)).bit_count() > lines.REACH:
+            return False
+        return sum(x == y for x, y in zip(blocks[i], blocks[j])) >= 2
+
+    pairs = [(i, j) for i in range(len(occ)) for j in range(i) if occ[i].norm != occ[j].norm and meet(i, j)]
+    ok = {p for p, good in zip(pairs, similar_pairs([(occ[i].norm, occ[j].norm) for i, j in pairs])) if good}
+    root = linked(range(len(occ)), lambda a, b: occ[a].norm == occ[b].norm or (max(a, b), min(a, b)) in ok)
+    drop = {}
+    for i, c in root.items():
+        if i != c:
+            drop.setdefault(occ[i].doc_id, []).append(occ[i].line_no)
+    return {i: ",".join(map(str, sorted(x))) for i, x in drop.items()}
 
 
 def test_line_simhash_lanes(spark):
@@ -248,9 +271,10 @@ def test_line_simhash_lanes(spark):
 
 def test_lines_equal_brute_force(spark, docs, empty):
     base = "this is one rather common line of text that many pages share with each other every day of the week"
+    han = "他们说这个城市的天气总是很好所以每年都有许多人来这里旅行"
     rows = [
-        (1, f"{base}\nshort one\n{base}"),
-        (2, f"other words entirely stand in this line here\n{base.upper()}!!\n\nshort one"),
+        (1, f"{base}\nshort one\n{base}\n{han}"),
+        (2, f"other words entirely stand in this line here\n{base.upper()}!!\n\nshort one\n{han[:9]}坏{han[10:]}"),
         (3, base.replace("week", "weeks") + "\n" + base.replace("common", "comon") + "\nlast words entirely stand in that line there"),
         (4, None),
         (5, ""),
@@ -258,22 +282,52 @@ def test_lines_equal_brute_force(spark, docs, empty):
     ]
     d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, line_no int")
     got = {r.doc_id: (r.n_lines, r.dropped) for r in lines.line_dedup(d).collect()}
-    occ = lines.occurrences(d, 5, "doc_id", "text").select("doc_id", "line_no", "norm", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    occ = lines.with_simhash(occ, "h").collect()
-    occ = sorted(occ, key=lambda r: (r.doc_id, r.line_no))
-    near = lambda a, b: occ[a].norm == occ[b].norm or ((occ[a].fp ^ occ[b].fp) & (2**64 - 1)).bit_count() <= 3 and distance(occ[a].norm.split(), occ[b].norm.split()) <= int(max(len(occ[a].norm.split()), len(occ[b].norm.split())) * 0.2 + 1e-9)
-    root = linked(range(len(occ)), near)
-    drop = {}
-    for i, c in root.items():
-        if i != c:
-            drop.setdefault(occ[i].doc_id, []).append(occ[i].line_no)
-    assert {i: x for i, (_, x) in got.items() if x} == {i: ",".join(map(str, sorted(x))) for i, x in drop.items()}
-    assert got[1] == (3, "2") and got[2][1] == "1" and got[4] == (1, "") and got[None] == (1, "")
-    kept = {r.doc_id: r.text for r in lines.without_lines(d, lines.line_dedup(d)).collect()}
-    assert kept[1] == f"{base}\nshort one" and kept[4] is None and kept[None] == base
+    assert {i: x for i, (_, x) in got.items() if x} == line_drops(spark, d)
+    assert got[1] == (4, "2") and {"1", "3", "4"} <= set(got[2][1].split(",")) and got[4] == (1, "") and got[None] == (1, "")
+    d2 = d.withColumnRenamed("line_no", "_id")
+    kept = {r.doc_id: r.text for r in lines.without_lines(d2, lines.line_dedup(d2)).collect()}
+    assert kept[1] == f"{base}\nshort one\n{han}" and kept[4] is None and kept[None] == base
     assert lines.line_dedup(docs).count() == len(TEXTS) and lines.line_dedup(empty).count() == 0
 
 
+def test_lines_of_large_groups(spark, monkeypatch):
+    """A group of 500 near lines, permuted and scattered ones, as pairs by brute force; hot buckets salted and not."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(300)]
+    stem = [words[i] for i in rng.choice(300, 24)]
+    texts = [" ".join([*stem[:20], str(int(rng.integers(1000))), *stem[21:], words[int(rng.integers(300))]]) for _ in range(500)]
+    texts += [" ".join(rng.permutation(stem)) for _ in range(12)]  # one fingerprint, far apart in edits
+    texts += [" ".join(stem[:k] + stem[k + 1 :]) for k in range(20)] + [" ".join(words[i] for i in rng.choice(300, 12)) for _ in range(30)]
+    d = spark.createDataFrame([(int(i), "\n".join(texts[i : i + 7])) for i in range(0, len(texts), 7)], "doc_id long, text string")
+    want = line_drops(spark, d)
+    got = lambda: {r.doc_id: r.dropped for r in lines.line_dedup(d).where("dropped <> ''").collect()}
+    assert got() == want
+    monkeypatch.setattr(lines, "SAMPLE", 1)
+    monkeypatch.setattr(lines, "HOT_ROWS", 3)
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    assert got() == want
+
+
+def test_lines_found_again(spark):
+    """Share of near lines (one word of n replaced) that are found, with no regard to fingerprints, and a line of 10,000 words."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(2, 10)))
+    share = {}
+    for n in (12, 25, 50, 100):
+        texts = []
+        for _ in range(150):
+            one = [word() for _ in range(n)]
+            texts += [" ".join(one), " ".join([*one[: n // 3], word(), *one[n // 3 + 1 :]])]
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        share[n] = lines.line_dedup(d).where("n_dropped > 0").count() / 150
+    assert share[12] > 0.3 and share[25] > 0.6 and share[50] > 0.8 and share[100] > 0.9, share
+    one = [word() for _ in range(10_000)]
+    two = [word() if i % 50 == 7 else w for i, w in enumerate(one)]
+    d = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(reversed(one)))], "doc_id long, text string")
+    assert [r.n_dropped for r in lines.line_dedup(d).orderBy("doc_id").collect()] == [0, 1, 0]
+
+
+
 # packing
 
 
