@@ -4,7 +4,8 @@ Lines are normalised (lower case, runs of anything but letters and digits to one
 space; in scripts without spaces each character is a word). Equal normalised
 lines are one distinct line, whatever their length; only the empty line is left
 alone. Distinct lines of at least ``min_words`` words have a 64-bit SimHash of
-their distinct words (repeats of common words would make all lines look alike), cut into ``radius + 2`` blocks: fingerprints that differ in at most
+their words of four bytes and more (short ones, common to all lines, would make
+lines look alike), cut into ``radius + 2`` blocks: fingerprints that differ in at most
 ``radius`` bits agree in two blocks at least and meet under that pair of blocks.
 Of those that meet, all that differ in at most ``reach`` bits are verified by
 the edit similarity of their characters (spaces left out); of each connected
@@ -20,9 +21,7 @@ Buckets that are found hot in a sample of fingerprints are salted, each salt
 with a pivot of its own, and take part whole in that second step.
 
 The SimHash is counted in lanes: a word's hash, shifted and masked, adds one to
-each of eight counters packed into a long, so eight sums over a line's words
-count all 64 bits. Longer lines are summed in parts of 63 words, whose counters
-are then widened to 16 bits and added; beyond 16383 words the counters have 32.
+each of four counters packed into a long, so sixteen sums count all 64 bits.
 
 A line's identity is the 128-bit digest of its content, and a number that is
 written with it. Occurrences of a very common line are combined on the map side;
@@ -41,8 +40,9 @@ from rangevec.llm.components import connected_components
 from rangevec.sources.scratch import materialize
 
 MIN_WORDS = 5
+LONG_WORD = 4
 #: Bits within which two fingerprints are sure to meet, and within which those that meet are verified.
-RADIUS, REACH = 4, 10
+RADIUS, REACH = 3, 10
 SIMILARITY = 0.8
 #: So many lines may be broadcast by place (some 40 bytes each) to fetch their texts; more are joined.
 BROADCAST_LINES = 1_000_000
@@ -53,56 +53,76 @@ _UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DB
 
 
 def normalise(text: Column) -> Column:
-    """A text with its lines normalised but for blanks at their ends; a line gives the same as it does within its text."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), _UNSPACED, " $1 "), r"[^\p{L}\p{N}\n]+", " ")
+    """A text, of one line or many, in lower case with runs of anything but letters and digits as one space."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
-PART = 63
-_BYTES = sum(1 << at for at in range(0, 64, 8))
-_WIDE = sum(0xFF << at for at in range(0, 64, 16)) & ((1 << 63) - 1)
+def parted(line: Column) -> Column:
+    """A normalised line without blanks at its ends; characters of unspaced scripts stand alone where most of a line is of three bytes a character."""
+    apart = F.regexp_replace(F.regexp_replace(line, _UNSPACED, " $1 "), " +", " ")
+    return F.trim(F.when(F.octet_length(line) >= 2 * F.length(line), apart).otherwise(line))
 
 
-def _over_half(total: Column, n: Column, width: int) -> Column:
-    """One at the lowest bit of each lane of ``width`` bits whose count is over n / 2; counts stay below a quarter of the lane."""
-    ones, flag = sum(1 << at for at in range(0, 64, width)), width - 2
-    return F.shiftrightunsigned(total + F.lit(ones) * (F.lit((1 << flag) - 1) - F.floor(n / 2)), flag).bitwiseAND(F.lit(ones))
+#: Words that a counter of 16 bits can count, with room for the comparison.
+MOST = 16383
+LANES = [f"_lane{j}" for j in range(16)]
+
+
+def _ones(width: int) -> Column:
+    return F.lit(sum(1 << at for at in range(0, 64, width)))
 
 
-def _lane_sum(hashes, j: int, ones: int) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones)))
+def _over_half(total: Column, n: Column, width: int) -> Column:
+    """One at the lowest bit of each lane of ``width`` bits whose count is over n / 2; counts stay below a quarter of the lane."""
+    flag = width - 2
+    return F.shiftrightunsigned(total + _ones(width) * (F.lit((1 << flag) - 1) - F.floor(n / 2)), flag).bitwiseAND(_ones(width))
 
 
-def _join(bits: list[Column]) -> Column:
+def _fingerprint(lanes: list, n: Column) -> Column:
+    width = len(lanes)
+    bits = [F.shiftleft(_over_half(x, n, width), j) for j, x in enumerate(lanes)]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
     return out
 
 
-def _part_sums(hashes: str, j: int) -> Column:
-    """Lane sums of each part of 63 hashes."""
-    parts = F.sequence(F.lit(0), F.ceil(F.size(hashes) / PART).cast("int") - 1)
-    return F.transform(parts, lambda i: _lane_sum(F.slice(F.col(hashes), i * PART + 1, F.lit(PART)), j, _BYTES))
+def with_simhash(rows: DataFrame, hashes: str = "hashes", out: str = "fp") -> DataFrame:
+    """``rows`` with the SimHash of an array column of 64-bit hashes (not empty), of any number."""
+    lane = lambda j: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(_ones(32)))
+    return rows.withColumn(out, _fingerprint([lane(j) for j in range(32)], F.size(hashes)))
 
 
-def with_simhash(rows: DataFrame, hashes: str = "hashes", out: str = "fp") -> DataFrame:
-    """``rows`` with the SimHash of an array column of 64-bit hashes (not empty)."""
-    names = [f"_lanes{j}" for j in range(8)]
-    summed = rows.withColumns({c: _part_sums(hashes, j) for j, c in enumerate(names)})
-    n = F.size(hashes)
-    short = _join([F.shiftleft(_over_half(F.get(c, F.lit(0)), n, 8), j) for j, c in enumerate(names)])
-    add = lambda c, shift: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(_WIDE)))
-    wide = _join([F.shiftleft(_over_half(add(c, shift), n, 16), j + shift) for j, c in enumerate(names) for shift in (0, 8)])
-    ones = sum(1 << at for at in range(0, 64, 32))
-    widest = _join([F.shiftleft(_over_half(_lane_sum(hashes, j, ones), n, 32), j) for j in range(32)])
-    return summed.withColumn(out, F.when(n <= PART, short).when(n <= 16383, wide).otherwise(widest)).drop(*names)
+def telling(words: str = "words") -> Column:
+    """A line's words of four bytes and more, which tell lines apart, if there are five; else all."""
+    long = F.filter(words, lambda w: F.octet_length(w) >= LONG_WORD)
+    return F.when(F.size(long) >= MIN_WORDS, long).otherwise(F.col(words))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, norm, words) of all lines but empty ones."""
     rows = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
     lines = rows.select("doc_id", F.posexplode(F.split(normalise(F.col("text")), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.trim("line").alias("norm")).where("norm <> ''").withColumn("words", F.split("norm", " "))
+    return lines.select("doc_id", "line_no", parted(F.col("line")).alias("norm")).where("norm <> ''").withColumn("words", F.split("norm", " "))
+
+
+def fingerprinted(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, h, len, fp) of all lines but empty ones; no fingerprint for those of fewer words.
+
+    Lines of up to MOST words are counted by an aggregate, a row for each word
+    until the map side combines them; of longer ones each is one row throughout.
+    """
+    size = F.size("words").alias("n")
+    about = lambda lines: lines.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), (F.length("norm") - F.size("words") + 1).alias("len"), size, telling().alias("words"))
+    lines = about(occurrences(docs, id_col, text_col).where(F.size("words") <= MOST)).withColumn("rid", F.monotonically_increasing_id())
+    keys = ["rid", "doc_id", "line_no", "h", "len", "n"]
+    each = lines.select(*keys, F.explode("words").alias("w")).select(*keys, F.xxhash64("w").alias("x"))
+    sums = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(_ones(16))).alias(c) for j, c in enumerate(LANES)]
+    counted = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *sums).withColumn("fp", _fingerprint([F.col(c) for c in LANES], F.col("m")))
+    wide = about(occurrences(docs.where(F.octet_length(F.col(text_col)) > 2 * MOST), id_col, text_col).where(F.size("words") > MOST))
+    wide = with_simhash(wide.withColumn("words", F.transform("words", lambda w: F.xxhash64(w))), "words")
+    out = ["doc_id", "line_no", "h", "len", F.when(F.col("n") >= min_words, F.col("fp")).alias("fp")]
+    return counted.select(*out).unionByName(wide.select(*out))
 
 
 def block_keys(fp: str, radius: int = RADIUS) -> Column:
@@ -116,14 +136,56 @@ def block_keys(fp: str, radius: int = RADIUS) -> Column:
 
 
 def edit_similar(a: str, b: str, similarity: float) -> Column:
-    """Edit similarity of at least ``similarity``, in characters, spaces left out: an exact banded distance, with a wider band only where a narrow one is not enough."""
-    a, b = F.translate(a, " ", ""), F.translate(b, " ", "")
-    slack = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - similarity) + 1e-9).cast("int")
+    """Edit similarity of at least ``similarity``, in characters, spaces left out; columns of normalised lines.
+
+    Most pairs are settled by words: held against each other in order, from the
+    left up to some word and from the right beyond it, what differs bounds the
+    distance from above. Else the exact banded distance decides, with a wider
+    band only where a narrow one is not enough.
+    """
+    x, y = F.translate(a, " ", ""), F.translate(b, " ", "")
+    slack = F.floor(F.greatest(F.length(x), F.length(y)) * (1 - similarity) + 1e-9).cast("int")
+    bands = [16]
+    while bands[-1] < 1 << 30:  # beyond any string
+        bands.append(bands[-1] * 5 // 4)
     near = F.lit(False)
-    for most in [16 * 4**i for i in reversed(range(14))]:  # up to 2**30, beyond any string
-        distance = F.levenshtein(a, b, most).bitwiseAND(F.lit(0x7FFFFFFF))  # -1, beyond the band, becomes the largest
-        near = F.when(distance <= slack, True).when(slack <= most, False).otherwise(near)
-    return F.when(F.abs(F.length(a) - F.length(b)) > slack, False).otherwise(near)
+    for most in reversed(bands):
+        distance = F.levenshtein(x, y, most).bitwiseAND(F.lit(0x7FFFFFFF))  # -1, beyond the band, becomes the largest
+        near = F.when(slack <= most, distance <= slack).otherwise(near)
+    return F.when(F.abs(F.length(x) - F.length(y)) > slack, False).when(_in_order(a, b) <= slack, True).when(word_bound(a, b) <= slack, True).otherwise(near)
+
+
+def _unequal(u, v):
+    return F.when(u == v, 0).otherwise(F.greatest(F.length(u), F.length(v)))
+
+
+def _in_order(a: str, b: str) -> Column:
+    """An upper bound of the distance of lines of equally many words, each held against the one in its place; null for others."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    return F.when(F.size(x) == F.size(y), F.aggregate(F.zip_with(x, y, _unequal), F.lit(0), lambda t, c: t + c))
+
+
+def word_bound(a: str, b: str) -> Column:
+    """An upper bound of the distance in characters: the cheapest way to keep words in order from both ends, with one gap.
+
+    If p words are compared from the left and all others of the shorter line
+    from the right, the distance is at most what differs there, the longer word
+    of each unequal pair, and the words in the gap of the longer line.
+    """
+    swap = F.size(F.split(a, " ")) <= F.size(F.split(b, " "))
+    both = F.array(F.struct(F.split(F.when(swap, F.col(a)).otherwise(F.col(b)), " ").alias("s"), F.split(F.when(swap, F.col(b)).otherwise(F.col(a)), " ").alias("l")))
+    def prepared(r):
+        n, extra = F.size(r["s"]), F.size(r["l"]) - F.size(r["s"])
+        left = F.zip_with(r["s"], F.slice(r["l"], F.lit(1), n), _unequal)
+        right = F.zip_with(r["s"], F.slice(r["l"], extra + 1, n), _unequal)
+        # the gap moves past a word: that word is now compared from the left, and the gap loses a word and gains the one behind it
+        gone, come = F.slice(r["l"], F.lit(1), n), F.slice(r["l"], extra + 1, n)
+        moves = F.zip_with(F.zip_with(left, right, lambda u, v: u - v), F.zip_with(gone, come, lambda u, v: F.length(v) - F.length(u)), lambda u, v: u + v)
+        start = F.aggregate(right, F.lit(0), lambda t, v: t + v) + F.aggregate(F.slice(r["l"], F.lit(1), extra), F.lit(0), lambda t, v: t + F.length(v))
+        return F.struct(moves.alias("moves"), start.alias("start"))
+
+    steps = F.transform(F.transform(both, prepared), lambda p: F.aggregate(p["moves"], F.struct(p["start"].alias("now"), p["start"].alias("least")), lambda t, m: F.struct((t["now"] + m).alias("now"), F.least(t["least"], t["now"] + m).alias("least")))["least"])
+    return F.element_at(steps, 1)
 
 
 def _apart(a: str, b: str) -> Column:
@@ -138,70 +200,94 @@ def line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     rows = id_and_text(docs, id_col, text_col).join(at, "doc_id")
     both = F.array(F.struct(F.split("text", "\n").alias("lines"), F.col("wanted")))  # binds the split, so it is made once
     found = F.flatten(F.transform(both, lambda x: F.transform(x["wanted"], lambda w: F.struct(w["id"].alias("id"), w["h"].alias("h"), F.get(x["lines"], w["line_no"]).alias("line")))))
-    texts = rows.select(F.explode(found).alias("x")).select("x.id", "x.h", F.trim(normalise(F.col("x.line"))).alias("norm"))
+    texts = rows.select(F.explode(found).alias("x")).select("x.id", "x.h", parted(normalise(F.col("x.line"))).alias("norm"))
     # rows that share an id can hold another line at the place; the digest tells them apart
     return texts.where(F.unhex(F.md5("norm")) == F.col("h")).groupBy("id").agg(F.first("norm").alias("norm"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float, id_col: str, text_col: str, name: str) -> DataFrame:
-    """Those of the pairs (u, v; ids of lines) whose texts are similar."""
-    pairs = materialize(pairs.distinct(), f"{name}-pairs")
-    ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    doc = F.floor(F.col("place") / F.lit(1 << 31)).cast("long")
-    line = (F.col("place") - doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int")
-    wanted = materialize(distinct.join(ends, "id").select("id", doc.alias("doc_id"), line.alias("line_no"), "h"), f"{name}-wanted")
-    texts = line_texts(docs, wanted, id_col, text_col)
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, ok) of pairs of lines (u, v): whether their texts (id, norm) are similar."""
     left, right = texts.select(F.col("id").alias("u"), F.col("norm").alias("norm_u")), texts.select(F.col("id").alias("v"), F.col("norm").alias("norm_v"))
-    links = pairs.join(left, "u").join(right, "v").where(edit_similar("norm_u", "norm_v", similarity)).select("u", "v")
-    return materialize(links, f"{name}-links")
+    pairs = materialize(pairs.select("u", "v").distinct(), "line-pairs")
+    return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", edit_similar("norm_u", "norm_v", similarity).alias("ok")), "tested")
 
 
 def _keyed(fps: DataFrame, radius: int) -> DataFrame:
-    """(key, salt, fp): each fingerprint under its pairs of blocks, those of hot buckets dealt to salts from 1 on, others under salt 0."""
+    """(key, fp): each fingerprint under its pairs of blocks; the low bits of a key are 0, or in hot buckets the salt from 1 on."""
     key = F.explode(block_keys("fp", radius)).alias("key")
     sample = fps.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(SAMPLE)) == 0)
     # a fingerprint is in as many buckets as there are pairs of blocks, so this share bounds the number of hot ones
     least = max(HOT_ROWS, int(sample.count() * HOT_SHARE))
     hot = sample.select(key).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("key", F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
-    return fps.select(key, "fp").join(F.broadcast(hot), "key", "left").select("key", salt.alias("salt"), "fp")
+    hot = materialize(hot, "hot-buckets")
+    keyed = fps.select(key, "fp")
+    salt = F.lit(0)
+    if hot.head(1):
+        keyed = keyed.join(F.broadcast(hot), "key", "left")
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)) + 1).otherwise(0)
+    return keyed.select((F.col("key").cast("long") * (2 * SALTS) + salt).alias("key"), "fp")
+
+
+SALTED = f"key % {2 * SALTS} > 0"
 
 
 def _meetings(fps: DataFrame, radius: int, reach: int) -> tuple[DataFrame, DataFrame]:
-    """Near fingerprints: (key, salt, fp, pivot) of those near their bucket's pivot, and for hot buckets of all; (a, b) of others with any near one of their bucket."""
-    w = Window.partitionBy("key", "salt")
-    rows = _keyed(fps, radius).withColumn("pivot", F.min("fp").over(w)).withColumn("whole", F.count(F.lit(1)).over(w)).where("whole > 1 OR salt > 0")
+    """Near fingerprints: (key, fp, pivot) of those near their bucket's pivot, and for hot buckets of all; (a, b) of others with any near one of their bucket."""
+    w = Window.partitionBy("key")
+    rows = _keyed(fps, radius).withColumn("pivot", F.min("fp").over(w)).withColumn("whole", F.count(F.lit(1)).over(w))
     rows = rows.withColumn("near", (F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= reach))
-    a, b = rows.where("NOT near AND fp <> pivot AND salt = 0").alias("a"), rows.where("salt = 0").alias("b")
+    rows = materialize(rows.where(f"near OR whole > 2 OR {SALTED}"), "buckets")
+    few = rows.where(f"whole > 2 AND NOT {SALTED}")
+    a, b = few.where("NOT near AND fp <> pivot").alias("a"), few.alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & (F.col("b.near") | (F.col("a.fp") < F.col("b.fp"))) & (_apart("a.fp", "b.fp") <= reach)
-    pairs = a.join(b, on).select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("salt"), "a.fp", F.col("b.fp").alias("pivot"))
-    met = materialize(rows.where("near OR salt > 0").select("key", "salt", "fp", "pivot").union(pairs), "meetings")
-    return met.where("key IS NOT NULL"), met.where("key IS NULL").select(F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")).distinct()
+    pairs = a.join(b, on).select(F.greatest("a.fp", "b.fp").alias("a"), F.least("a.fp", "b.fp").alias("b")).distinct()
+    return rows.where(f"near OR {SALTED}").select("key", "fp", "pivot"), pairs
+
+
+def _tops(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """(node, component) of a forest of links (u, v) to parents, one for each u: pointers jump until all end at a top."""
+    links = materialize(links, "jumps")
+    for _ in range(max_rounds):
+        up = links.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        new = materialize(links.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), "jumps")
+        if not new.where("moved").head(1):
+            return new.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        links = new.select("u", "v")
+    raise RuntimeError(f"links aren't a forest: pointers still move after {max_rounds} rounds")
 
 
-def line_links(docs: DataFrame, distinct: DataFrame, radius: int, reach: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Links (u, v) that connect all similar lines of ``distinct`` (id, h, fp, len, place) that meet."""
-    check = lambda pairs, name: _verified(pairs, docs, distinct, similarity, id_col, text_col, name)
-    lines = distinct.where("fp IS NOT NULL").select("id", "fp", "len")
+def line_classes(docs: DataFrame, distinct: DataFrame, radius: int, reach: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, group) of lines of ``distinct`` (id, h, fp, len, place) that meet another: similar ones are connected."""
+    lines = distinct.where("fp IS NOT NULL")
     fps = lines.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("len").alias("lo"), F.max("len").alias("hi"))
     fps = materialize(fps, "fingerprints")
     bucketed, pairs = _meetings(fps.select("fp"), radius, reach)
-    hot = bucketed.where("salt > 0").groupBy("key").agg(F.min("pivot").alias("_top"))
-    bucketed = bucketed.join(F.broadcast(hot), "key", "left").select("key", "salt", "fp", "pivot", F.coalesce("_top", "pivot").alias("top"))
-    near = bucketed.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).union(bucketed.where("salt > 0").select("pivot", "top")).where((F.col("a") != F.col("b")) & (_apart("a", "b") <= reach))
+    whole = F.col("key") - F.col("key") % (2 * SALTS)  # the bucket without its salt
+    hot = bucketed.where(SALTED).groupBy(whole.alias("key")).agg(F.min("pivot").alias("_top"))
+    bucketed = bucketed.withColumn("salted", F.expr(SALTED)).withColumn("key", whole).join(F.broadcast(hot), "key", "left").select("key", "salted", "fp", "pivot", F.coalesce("_top", "pivot").alias("top"))
+    near = bucketed.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).union(bucketed.where("salted").select("pivot", "top")).where((F.col("a") != F.col("b")) & (_apart("a", "b") <= reach))
     end = lambda x: fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("m").alias(f"m_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
     like = (F.col("hi_a") >= F.floor(F.col("lo_b") * similarity)) & (F.col("hi_b") >= F.floor(F.col("lo_a") * similarity))
     near = materialize(near.union(pairs).distinct().join(end("a"), "a").join(end("b"), "b").where(like).select("a", "b", "rep_a", "rep_b", ((F.col("m_a") > 1) | (F.col("m_b") > 1)).alias("many")), "near")
+    # from here on only lines that meet any: a small part of all, with their texts
+    some = near.select(F.col("a").alias("fp")).union(near.select("b")).union(fps.where("m > 1").select("fp")).distinct()
+    doc = F.floor(F.col("place") / F.lit(1 << 31)).cast("long")
+    line = (F.col("place") - doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int")
+    lines = materialize(lines.join(some, "fp").select("id", "fp", doc.alias("doc_id"), line.alias("line_no"), "h"), "lines-met")
+    fps = materialize(fps.join(some, "fp").select("fp", "rep", "m"), "fingerprints-met")
+    texts = materialize(line_texts(docs, lines.drop("fp"), id_col, text_col), "line-texts")
+    # each fingerprint's smallest partner first, and each line's first one of its fingerprint: a forest
     alike = lines.join(fps.where("m > 1").select("fp", "rep"), "fp").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    links = check(near.select(F.greatest("rep_a", "rep_b").alias("u"), F.least("rep_a", "rep_b").alias("v")).union(alike), "pivot")
-    # what is left, by components: lines near their bucket's pivot but not in its component, and lines that share a fingerprint
-    found = connected_components(links)
+    parent = near.groupBy("a").agg(F.min(F.struct("b", "rep_a", "rep_b")).alias("x")).select(F.col("x.rep_a").alias("u"), F.col("x.rep_b").alias("v"))
+    tested = _verified(parent.union(alike), texts, similarity)
+    found = _tops(tested.where("ok").select("u", "v"))
     rooted = materialize(lines.join(found, lines["id"] == found["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("root")), "roots")
+    # what is left, by components: lines near their bucket's pivot but not in its component, and lines that share a fingerprint
     classes = rooted.groupBy("fp", "root").agg(F.count(F.lit(1)).alias("n"))
     theirs = classes.select(F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
     tops = fps.select(F.col("fp").alias("top"), "rep").join(rooted.select(F.col("id").alias("rep"), F.col("root").alias("top_root")), "rep").select("top", "top_root")
     wide = bucketed.select("key", "fp", "top").union(bucketed.select("key", F.col("pivot").alias("fp"), "top")).distinct().join(classes, "fp").join(tops, "top")
-    wide = materialize(wide.select("key", "fp", "root", "top", "top_root", "n"), "bucket-roots")
+    wide = materialize(wide.select("key", "fp", "root", "top", "top_root"), "bucket-roots")
     a, b = wide.where("root <> top_root").alias("a"), wide.alias("b")
     ours = F.struct("a.fp", "a.root") < F.struct("b.fp", "b.root")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.top") == F.col("b.top")) & (F.col("a.root") != F.col("b.root")) & (_apart("a.fp", "b.fp") <= reach) & ((F.col("b.root") == F.col("b.top_root")) | ours)
@@ -211,25 +297,33 @@ def line_links(docs: DataFrame, distinct: DataFrame, radius: int, reach: int, si
     same = split.select("fp", "root", F.col("fp").alias("fp_b")).join(theirs, "fp_b").where("root <> root_b")
     rest = met.unionByName(many.select("fp", "root", "fp_b", "root_b")).unionByName(same.select("fp", "root", "fp_b", "root_b")).distinct()
     theirs = rooted.select(F.col("id").alias("v"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-    rest = rest.join(rooted.withColumnRenamed("id", "u"), ["fp", "root"]).join(theirs, ["fp_b", "root_b"]).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    tested = near.select(F.greatest("rep_a", "rep_b").alias("u"), F.least("rep_a", "rep_b").alias("v"))
-    return links.union(check(rest.join(tested, ["u", "v"], "left_anti"), "rest"))
+    rest = rest.join(rooted.withColumnRenamed("id", "u"), ["fp", "root"]).join(theirs, ["fp_b", "root_b"]).select("u", "v")
+    either = lambda d: d.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    rest = either(rest.unionByName(near.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")))).distinct().join(either(tested), ["u", "v"], "left_anti")
+    group = rooted.select("id", F.col("root").alias("group"))
+    # one pair for each two groups, twice, since most others are connected by then; then all that are left
+    for turn in range(3):
+        of = lambda x: group.select(F.col("id").alias(x), F.col("group").alias(f"g_{x}"))
+        rest = materialize(rest.select("u", "v").join(of("u"), "u").join(of("v"), "v").where("g_u <> g_v"), "rest")
+        two = [F.least("g_u", "g_v").alias("p"), F.greatest("g_u", "g_v").alias("q")]
+        now = rest.groupBy(*two).agg(F.min(F.struct("u", "v")).alias("x")).select("x.u", "x.v") if turn < 2 else rest
+        tested = _verified(now, texts, similarity)
+        joined = tested.where("ok").join(of("u"), "u").join(of("v"), "v").select(F.col("g_u").alias("u"), F.col("g_v").alias("v"))
+        top = connected_components(joined)
+        group = materialize(group.join(top, group["group"] == top["node"], "left").select("id", F.coalesce("component", "group").alias("group")), "groups")
+        rest = rest.join(tested.select("u", "v"), ["u", "v"], "left_anti")
+    return group
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, reach: int = REACH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, keep_doc, keep_line) of every line that has another occurrence, itself included."""
-    rows = occurrences(docs, id_col, text_col)
-    seen = with_simhash(rows.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), F.size("words").alias("n"), (F.length("norm") - F.size("words") + 1).alias("len"), F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)).alias("hashes")))
-    seen = materialize(seen.withColumn("fp", F.when(F.col("n") >= min_words, F.col("fp"))).drop("hashes", "n"), "lines")
+    seen = materialize(fingerprinted(docs, min_words, id_col, text_col), "lines")
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")
     distinct = seen.groupBy("h", "fp", "len").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n"))
     distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
-    found = connected_components(line_links(docs, distinct, radius, reach, similarity, id_col, text_col))
-    grouped = distinct.join(found, distinct["id"] == found["node"], "left")
-    # the smallest line of a component is no node of ``found``, but its group is
-    tops = found.select(F.col("component").alias("id")).distinct().withColumn("_top", F.lit(True))
-    grouped = grouped.join(tops, "id", "left").where("n > 1 OR component IS NOT NULL OR _top").select("h", "place", "n", F.coalesce("component", "id").alias("group"))
-    first = grouped.groupBy("group").agg(F.min("place").alias("keep"))
+    found = line_classes(docs, distinct, radius, reach, similarity, id_col, text_col)
+    grouped = materialize(distinct.join(found, "id", "left").select("h", "place", "n", F.coalesce("group", "id").alias("group")), "grouped")
+    first = grouped.groupBy("group").agg(F.min("place").alias("keep"), F.sum("n").alias("whole")).where("whole > 1")
     keep_doc = F.floor(F.col("keep") / F.lit(1 << 31)).cast("long")
     keeps = grouped.join(first, "group").select("h", keep_doc.alias("keep_doc"), (F.col("keep") - keep_doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int").alias("keep_line"))
     keeps = materialize(keeps, "line-keeps")
