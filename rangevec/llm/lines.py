@@ -8,7 +8,7 @@ their words of four bytes and more (short ones, common to all lines, would make
 lines look alike), cut into ``radius + 2`` blocks: fingerprints that differ in at most
 ``radius`` bits agree in two blocks at least and meet under that pair of blocks.
 Of those that meet, all that differ in at most ``reach`` bits are verified by
-the edit similarity of their characters (spaces left out); of each connected
+edit similarity, in characters or in words; of each connected
 group only the first occurrence stays.
 
 A bucket of equal blocks never emits all its pairs. Fingerprints near the
@@ -41,6 +41,8 @@ from rangevec.sources.scratch import materialize
 
 MIN_WORDS = 5
 LONG_WORD = 4
+#: Different words that a pair of lines may have to be compared word by word: as many as there are characters to stand for them.
+MOST_DISTINCT = 1_000_000
 #: Bits within which two fingerprints are sure to meet, and within which those that meet are verified.
 RADIUS, REACH = 3, 10
 SIMILARITY = 0.8
@@ -103,11 +105,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, norm, words) of all lines but empty ones."""
     rows = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
     lines = rows.select("doc_id", F.posexplode(F.split(normalise(F.col("text")), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", parted(F.col("line")).alias("norm")).where("norm <> ''").withColumn("words", F.split("norm", " "))
+    lines = lines.where("line NOT IN ('', ' ')")  # told before the rest, which would else be done twice
+    return lines.select("doc_id", "line_no", parted(F.col("line")).alias("norm")).withColumn("words", F.split("norm", " "))
 
 
 def fingerprinted(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, h, len, fp) of all lines but empty ones; no fingerprint for those of fewer words.
+    """(doc_id, line_no, h, len, n, fp) of all lines but empty ones; no fingerprint for those of fewer words.
 
     Lines of up to MOST words are counted by an aggregate, a row for each word
     until the map side combines them; of longer ones each is one row throughout.
@@ -121,7 +124,7 @@ def fingerprinted(docs: DataFrame, min_words: int, id_col: str, text_col: str) -
     counted = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *sums).withColumn("fp", _fingerprint([F.col(c) for c in LANES], F.col("m")))
     wide = about(occurrences(docs.where(F.octet_length(F.col(text_col)) > 2 * MOST), id_col, text_col).where(F.size("words") > MOST))
     wide = with_simhash(wide.withColumn("words", F.transform("words", lambda w: F.xxhash64(w))), "words")
-    out = ["doc_id", "line_no", "h", "len", F.when(F.col("n") >= min_words, F.col("fp")).alias("fp")]
+    out = ["doc_id", "line_no", "h", "len", "n", F.when(F.col("n") >= min_words, F.col("fp")).alias("fp")]
     return counted.select(*out).unionByName(wide.select(*out))
 
 
@@ -136,44 +139,70 @@ def block_keys(fp: str, radius: int = RADIUS) -> Column:
 
 
 def edit_similar(a: str, b: str, similarity: float) -> Column:
-    """Edit similarity of at least ``similarity``, in characters, spaces left out; columns of normalised lines.
+    """Whether two normalised lines have the edit similarity, in characters or in words.
 
-    Most pairs are settled by words: held against each other in order, from the
-    left up to some word and from the right beyond it, what differs bounds the
-    distance from above. Else the exact banded distance decides, with a wider
-    band only where a narrow one is not enough.
+    In characters: what has to be edited with words in order from both ends
+    around one gap (``word_bound``) is at most the share 1 - ``similarity`` of the
+    longer line, spaces left out. In words: so is the edit distance of the
+    sequences of words, found exactly in a band no wider than need be. Both are
+    the same at any length; the first alone forgives two misspelt words of five.
     """
-    x, y = F.translate(a, " ", ""), F.translate(b, " ", "")
-    slack = F.floor(F.greatest(F.length(x), F.length(y)) * (1 - similarity) + 1e-9).cast("int")
-    bands = [16]
-    while bands[-1] < 1 << 30:  # beyond any string
-        bands.append(bands[-1] * 5 // 4)
-    near = F.lit(False)
-    for most in reversed(bands):
-        distance = F.levenshtein(x, y, most).bitwiseAND(F.lit(0x7FFFFFFF))  # -1, beyond the band, becomes the largest
-        near = F.when(slack <= most, distance <= slack).otherwise(near)
-    return F.when(F.abs(F.length(x) - F.length(y)) > slack, False).when(_in_order(a, b) <= slack, True).when(word_bound(a, b) <= slack, True).otherwise(near)
+    slack = lambda n: F.floor(n * (1 - similarity) + 1e-9).cast("int")
+    spaces = lambda c: F.size(F.split(c, " ")) - 1
+    letters = slack(F.greatest(F.length(a) - spaces(a), F.length(b) - spaces(b)))
+    return F.when(_in_order(a, b) <= letters, True).when(word_bound(a, b) <= letters, True).otherwise(_near_in_words(a, b, slack))
+
+
+def _near_in_words(a: str, b: str, slack) -> Column:
+    """Whether the edit distance in words is within the slack: each different word of the pair is one character."""
+    bands = [2]
+    while bands[-1] < MOST_DISTINCT:
+        bands.append(bands[-1] * 5 // 4 + 1)
+    pair = F.array(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")))
+    known = F.transform(pair, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.array_distinct(F.concat(x["a"], x["b"])).alias("known")))
+
+    def spelt(words, known):
+        # code points from 1 on, without the surrogates
+        code = lambda w: F.array_position(known, w) + F.when(F.array_position(known, w) >= 0xD800, 0x800).otherwise(0)
+        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(code(w)), 8, "0")), "")), "UTF-32")
+
+    def near(x):
+        most = slack(F.greatest(F.size(x["a"]), F.size(x["b"])))
+        both = F.array(F.struct(spelt(x["a"], x["known"]).alias("a"), spelt(x["b"], x["known"]).alias("b"), most.alias("most")))
+
+        def within(y):
+            out = F.lit(False)
+            for band in reversed(bands):
+                distance = F.levenshtein(y["a"], y["b"], band).bitwiseAND(F.lit(0x7FFFFFFF))  # -1, beyond the band, becomes the largest
+                out = F.when(y["most"] <= band, distance <= y["most"]).otherwise(out)
+            return out
+
+        fits = (F.abs(F.size(x["a"]) - F.size(x["b"])) <= most) & (F.size(x["known"]) < MOST_DISTINCT)
+        return F.when(fits, F.element_at(F.transform(both, within), 1)).otherwise(False)
+
+    return F.element_at(F.transform(known, near), 1)
 
 
 def _unequal(u, v):
-    return F.when(u == v, 0).otherwise(F.greatest(F.length(u), F.length(v)))
+    return F.when(u == v, 0).otherwise(F.levenshtein(u, v))
 
 
 def _in_order(a: str, b: str) -> Column:
-    """An upper bound of the distance of lines of equally many words, each held against the one in its place; null for others."""
+    """What has to be edited of lines of equally many words, each held against the one in its place; null for others."""
     x, y = F.split(a, " "), F.split(b, " ")
     return F.when(F.size(x) == F.size(y), F.aggregate(F.zip_with(x, y, _unequal), F.lit(0), lambda t, c: t + c))
 
 
 def word_bound(a: str, b: str) -> Column:
-    """An upper bound of the distance in characters: the cheapest way to keep words in order from both ends, with one gap.
+    """The characters to edit, at the least, if words are kept in order from both ends with one gap: an upper bound of the distance.
 
-    If p words are compared from the left and all others of the shorter line
-    from the right, the distance is at most what differs there, the longer word
-    of each unequal pair, and the words in the gap of the longer line.
+    p words are compared from the left and all others of the shorter line from
+    the right; what counts is the distance within each pair and the words in the
+    gap of the longer line; the best p is taken.
     """
     swap = F.size(F.split(a, " ")) <= F.size(F.split(b, " "))
     both = F.array(F.struct(F.split(F.when(swap, F.col(a)).otherwise(F.col(b)), " ").alias("s"), F.split(F.when(swap, F.col(b)).otherwise(F.col(a)), " ").alias("l")))
+
     def prepared(r):
         n, extra = F.size(r["s"]), F.size(r["l"]) - F.size(r["s"])
         left = F.zip_with(r["s"], F.slice(r["l"], F.lit(1), n), _unequal)
@@ -259,15 +288,16 @@ def _tops(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 def line_classes(docs: DataFrame, distinct: DataFrame, radius: int, reach: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(id, group) of lines of ``distinct`` (id, h, fp, len, place) that meet another: similar ones are connected."""
     lines = distinct.where("fp IS NOT NULL")
-    fps = lines.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("len").alias("lo"), F.max("len").alias("hi"))
+    fps = lines.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("len").alias("lo"), F.max("len").alias("hi"), F.min("words").alias("wlo"), F.max("words").alias("whi"))
     fps = materialize(fps, "fingerprints")
     bucketed, pairs = _meetings(fps.select("fp"), radius, reach)
     whole = F.col("key") - F.col("key") % (2 * SALTS)  # the bucket without its salt
     hot = bucketed.where(SALTED).groupBy(whole.alias("key")).agg(F.min("pivot").alias("_top"))
     bucketed = bucketed.withColumn("salted", F.expr(SALTED)).withColumn("key", whole).join(F.broadcast(hot), "key", "left").select("key", "salted", "fp", "pivot", F.coalesce("_top", "pivot").alias("top"))
     near = bucketed.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).union(bucketed.where("salted").select("pivot", "top")).where((F.col("a") != F.col("b")) & (_apart("a", "b") <= reach))
-    end = lambda x: fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("m").alias(f"m_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
-    like = (F.col("hi_a") >= F.floor(F.col("lo_b") * similarity)) & (F.col("hi_b") >= F.floor(F.col("lo_a") * similarity))
+    end = lambda x: fps.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("m").alias(f"m_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "wlo", "whi")])
+    sized = lambda lo, hi: (F.col(f"{hi}_a") >= F.floor(F.col(f"{lo}_b") * similarity)) & (F.col(f"{hi}_b") >= F.floor(F.col(f"{lo}_a") * similarity))
+    like = sized("lo", "hi") | sized("wlo", "whi")
     near = materialize(near.union(pairs).distinct().join(end("a"), "a").join(end("b"), "b").where(like).select("a", "b", "rep_a", "rep_b", ((F.col("m_a") > 1) | (F.col("m_b") > 1)).alias("many")), "near")
     # from here on only lines that meet any: a small part of all, with their texts
     some = near.select(F.col("a").alias("fp")).union(near.select("b")).union(fps.where("m > 1").select("fp")).distinct()
@@ -279,13 +309,16 @@ def line_classes(docs: DataFrame, distinct: DataFrame, radius: int, reach: int,
     # each fingerprint's smallest partner first, and each line's first one of its fingerprint: a forest
     alike = lines.join(fps.where("m > 1").select("fp", "rep"), "fp").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     parent = near.groupBy("a").agg(F.min(F.struct("b", "rep_a", "rep_b")).alias("x")).select(F.col("x.rep_a").alias("u"), F.col("x.rep_b").alias("v"))
-    tested = _verified(parent.union(alike), texts, similarity)
-    found = _tops(tested.where("ok").select("u", "v"))
-    rooted = materialize(lines.join(found, lines["id"] == found["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("root")), "roots")
-    # what is left, by components: lines near their bucket's pivot but not in its component, and lines that share a fingerprint
-    classes = rooted.groupBy("fp", "root").agg(F.count(F.lit(1)).alias("n"))
+    first = _verified(parent.union(alike), texts, similarity)
+    found = _tops(first.where("ok").select("u", "v"))
+    group = materialize(lines.join(found, lines["id"] == found["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("group")), "groups")
+    others = _either(near.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), _apart("a", "b").alias("bits")))
+    others = materialize(others.join(_either(first), ["u", "v"], "left_anti"), "others")
+    group, second = _settled(others, group, texts, similarity, True)
+    # what is left, by groups: lines near their bucket's pivot but not in its group, and lines that share a fingerprint
+    classes = group.groupBy("fp", F.col("group").alias("root")).agg(F.count(F.lit(1)).alias("n"))
     theirs = classes.select(F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-    tops = fps.select(F.col("fp").alias("top"), "rep").join(rooted.select(F.col("id").alias("rep"), F.col("root").alias("top_root")), "rep").select("top", "top_root")
+    tops = fps.select(F.col("fp").alias("top"), "rep").join(group.select(F.col("id").alias("rep"), F.col("group").alias("top_root")), "rep").select("top", "top_root")
     wide = bucketed.select("key", "fp", "top").union(bucketed.select("key", F.col("pivot").alias("fp"), "top")).distinct().join(classes, "fp").join(tops, "top")
     wide = materialize(wide.select("key", "fp", "root", "top", "top_root"), "bucket-roots")
     a, b = wide.where("root <> top_root").alias("a"), wide.alias("b")
@@ -293,33 +326,39 @@ def line_classes(docs: DataFrame, distinct: DataFrame, radius: int, reach: int,
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.top") == F.col("b.top")) & (F.col("a.root") != F.col("b.root")) & (_apart("a.fp", "b.fp") <= reach) & ((F.col("b.root") == F.col("b.top_root")) | ours)
     met = a.join(b, on).select("a.fp", "a.root", F.col("b.fp").alias("fp_b"), F.col("b.root").alias("root_b"))
     many = near.where("many").select(F.col("a").alias("fp"), F.col("b").alias("fp_b")).join(classes.select("fp", "root"), "fp").join(theirs, "fp_b").where("root <> root_b")
-    split = classes.join(fps.where("m > 1").select("fp", "rep"), "fp").join(rooted.select(F.col("id").alias("rep"), F.col("root").alias("rep_root")), "rep").where("root <> rep_root")
+    split = classes.join(fps.where("m > 1").select("fp", "rep"), "fp").join(group.select(F.col("id").alias("rep"), F.col("group").alias("rep_root")), "rep").where("root <> rep_root")
     same = split.select("fp", "root", F.col("fp").alias("fp_b")).join(theirs, "fp_b").where("root <> root_b")
     rest = met.unionByName(many.select("fp", "root", "fp_b", "root_b")).unionByName(same.select("fp", "root", "fp_b", "root_b")).distinct()
-    theirs = rooted.select(F.col("id").alias("v"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-    rest = rest.join(rooted.withColumnRenamed("id", "u"), ["fp", "root"]).join(theirs, ["fp_b", "root_b"]).select("u", "v")
-    either = lambda d: d.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rest = either(rest.unionByName(near.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")))).distinct().join(either(tested), ["u", "v"], "left_anti")
-    group = rooted.select("id", F.col("root").alias("group"))
-    # one pair for each two groups, twice, since most others are connected by then; then all that are left
-    for turn in range(3):
-        of = lambda x: group.select(F.col("id").alias(x), F.col("group").alias(f"g_{x}"))
-        rest = materialize(rest.select("u", "v").join(of("u"), "u").join(of("v"), "v").where("g_u <> g_v"), "rest")
-        two = [F.least("g_u", "g_v").alias("p"), F.greatest("g_u", "g_v").alias("q")]
-        now = rest.groupBy(*two).agg(F.min(F.struct("u", "v")).alias("x")).select("x.u", "x.v") if turn < 2 else rest
-        tested = _verified(now, texts, similarity)
-        joined = tested.where("ok").join(of("u"), "u").join(of("v"), "v").select(F.col("g_u").alias("u"), F.col("g_v").alias("v"))
-        top = connected_components(joined)
-        group = materialize(group.join(top, group["group"] == top["node"], "left").select("id", F.coalesce("component", "group").alias("group")), "groups")
-        rest = rest.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-    return group
+    own = group.select(F.col("id").alias("u"), "fp", F.col("group").alias("root"))
+    theirs = group.select(F.col("id").alias("v"), F.col("fp").alias("fp_b"), F.col("group").alias("root_b"))
+    rest = _either(rest.join(own, ["fp", "root"]).join(theirs, ["fp_b", "root_b"]).select("u", "v", _apart("fp", "fp_b").alias("bits")))
+    rest = materialize(rest.union(others).distinct().join(_either(first.unionByName(second)), ["u", "v"], "left_anti"), "rest")
+    group, third = _settled(rest, group, texts, similarity, True)
+    return _settled(rest.join(_either(third), ["u", "v"], "left_anti"), group, texts, similarity, False)[0].select("id", "group")
+
+
+def _either(pairs: DataFrame) -> DataFrame:
+    """Pairs with the larger id first, and their bits if they have them."""
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), *[c for c in pairs.columns if c == "bits"])
+
+
+def _settled(pairs: DataFrame, group: DataFrame, texts: DataFrame, similarity: float, one: bool) -> tuple[DataFrame, DataFrame]:
+    """Groups (id, fp, group) after pairs (u, v, bits) of different groups were verified, and those that were; with ``one`` only the nearest pair of any two groups."""
+    of = lambda x: group.select(F.col("id").alias(x), F.col("group").alias(f"g_{x}"))
+    now = pairs.join(of("u"), "u").join(of("v"), "v").where("g_u <> g_v")
+    if one:
+        now = now.groupBy(F.least("g_u", "g_v"), F.greatest("g_u", "g_v")).agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v")
+    tested = _verified(now, texts, similarity)
+    top = connected_components(tested.where("ok").join(of("u"), "u").join(of("v"), "v").select(F.col("g_u").alias("u"), F.col("g_v").alias("v")))
+    new = group.join(top, group["group"] == top["node"], "left").select("id", "fp", F.coalesce("component", "group").alias("group"))
+    return materialize(new, "groups"), tested
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, reach: int = REACH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, keep_doc, keep_line) of every line that has another occurrence, itself included."""
     seen = materialize(fingerprinted(docs, min_words, id_col, text_col), "lines")
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")
-    distinct = seen.groupBy("h", "fp", "len").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n"))
+    distinct = seen.groupBy("h", "fp", "len", F.col("n").alias("words")).agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n"))
     distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     found = line_classes(docs, distinct, radius, reach, similarity, id_col, text_col)
     grouped = materialize(distinct.join(found, "id", "left").select("h", "place", "n", F.coalesce("group", "id").alias("group")), "grouped")
@@ -343,8 +382,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = line_groups(docs, id_col=id_col, text_col=text_col, **options)
     drops = groups.where("doc_id <> keep_doc OR line_no <> keep_line").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    ends = F.length("text") - F.length(F.translate("text", "\n", ""))
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", (ends + 1).cast("long").alias("n_lines"))
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     return rows.join(drops, "doc_id", "left").select(
         "doc_id",
         "n_lines",
