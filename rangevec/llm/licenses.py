@@ -13,6 +13,7 @@ built on the driver and broadcast.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from rangevec.llm.common import python_rows, real_ids, short_batches, table
+from rangevec.llm.license_texts import TEMPLATES
 
 # Phrases that stand for a label by themselves.
 PHRASES = {
@@ -30,30 +32,6 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Short grants and the public wording of well-known licence notices.
-TEMPLATES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    ],
-    "mit-grant": [
-        "Released under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-    ],
-    "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    ],
-    "cc-by-nc-4.0": [
-        "Licensed under CC BY-NC 4.0",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    ],
-    "bsd-grant": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ],
-}
-
 MIN_RUN = 3
 MAX_GAP = 6
 MIN_COVER = 0.75
@@ -204,7 +182,17 @@ class Scanner:
                     found.append((self.labels[no], start, end, cover))
                 else:
                     low = max(low, cover)
-        return found or ([("", 0, 0, low)] if low else [])
+        return self._best(found) or ([("", 0, 0, low)] if low else [])
+
+    @staticmethod
+    def _best(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+        """Spans without those of another label that lie half or more in a span of the same text that is better covered: licences share much of their wording."""
+        beaten = lambda s, t: t[0] != s[0] and t[3] > s[3] and min(s[2], t[2]) - max(s[1], t[1]) >= 0.5 * (s[2] - s[1])
+        found = sorted(found, key=lambda s: s[1])
+        starts = [s[1] for s in found]
+        longest = max((s[2] - s[1] for s in found), default=0)
+        around = lambda s: found[bisect_left(starts, s[1] - longest) : bisect_left(starts, s[2])]
+        return [s for s in found if not any(beaten(s, t) for t in around(s))]
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
         """(start, end, tokens covered) of chains: runs in order in both, with short gaps, overlaps counted once."""
@@ -235,8 +223,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     smallest and largest start of one (null without any). labels adds those of
     templates covered to ``min_cover`` or more; score is the best cover of a
     template (1 where a phrase stands whole and no template says more); spans
-    has label:first:last word of each. Null and empty texts have no words, no
-    labels and score 0. Repeated rows and null ids each give a row. Other
+    has label:first:last word of each. Where spans of different labels cover the
+    same words, the better covered one counts. Null and empty texts have no
+    words, no labels and score 0; texts may be of any length. Repeated rows and null ids each give a row. Other
     columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
