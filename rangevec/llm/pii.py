@@ -9,8 +9,10 @@ The trees are fitted on the driver from a bounded sample of candidates (about
 ``sample`` of them, by a hash) and become one SQL expression, so scoring stays in
 the JVM and moves no rows. Labels are distant: a candidate that is a base span
 is right; one that is a run the base rule dropped, or has a base span's kind but
-other borders, is wrong; one inside a dropped run is left out of fitting, and is
-what the trees are there to decide.
+other borders, is wrong. What base rules never see is taught by rewriting:
+sampled base spans are written otherwise within their surroundings (other signs
+for @ and dots, a number before a card, no country code), and candidates with the
+rewritten borders are right, others that overlap it wrong.
 
 Spans never cross a match's own characters, and positions come from the lengths
 of what lies between matches, all in code points.
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangevec.llm.common import id_and_text, table
+from rangevec.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -221,18 +224,62 @@ def fit(x: np.ndarray, y: np.ndarray, precision: float = PRECISION, rounds: int
     return Scorer(trees, bias, cuts, rate)
 
 
+# How a base span may be written otherwise, by a hash's remainder: what stands for @ and for a dot, what may stand before a card.
+AT_SIGNS, DOTS, BEFORE_CARD = (" (at) ", "(at)", " [at] ", " @ "), (".", " (dot) ", "[dot]", "."), "27 "
+#: Writings that look alike and are none.
+NOT_EMAIL = "look (at) home . now"
+WINDOW = 60
+
+
+def _rewritten(windows: DataFrame) -> DataFrame:
+    """(doc_id, text, k, s, e, y): windows (k, v, before, after, h) with the span written as the base rules don't read it, and where it stands; y = 0 where what stands there is none.
+
+    Emails get other signs, phones lose their country code, cards follow upon
+    another number.
+    """
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod("h", F.lit(len(values))) + 1).cast("int"))
+    local, domain = F.substring_index("v", "@", 1), F.substring_index("v", "@", -1)
+    email = F.concat(local, pick(AT_SIGNS), F.replace(domain, F.lit("."), pick(DOTS)))
+    phone = F.regexp_replace("v", r"^\+[0-9]{1,3}[ .-]?", "")
+    new = F.when(F.col("k") == 0, email).when(F.col("k") == 3, phone).otherwise(F.col("v"))
+    lead = F.when(F.col("k") == 2, F.lit(BEFORE_CARD)).otherwise(F.lit(""))
+    yes = windows.where("k <> 1").select("*", new.alias("new"), lead.alias("lead"), F.lit(1.0).alias("y"))
+    no = windows.where("k = 0").select("*", F.lit(NOT_EMAIL).alias("new"), F.lit("").alias("lead"), F.lit(0.0).alias("y"))
+    start = F.length("before") + F.length("lead")
+    return yes.union(no).select("doc_id", F.concat("before", "lead", "new", "after").alias("text"), "k", start.alias("s"), (start + F.length("new")).alias("e"), "y", "h")
+
+
+def _retold(windows: DataFrame) -> DataFrame:
+    """(h, y, f) of candidates at rewritten spans: right if they have its borders, wrong if they overlap it otherwise or it is none."""
+    found = _candidates(_spans(_rewritten(windows).select("doc_id", "text", F.struct("k", "s", "e", "y", "h").alias("t"))))
+    y = "CASE WHEN c.s = t.s AND c.e = t.e THEN t.y ELSE 0D END"
+    cands = f"transform(filter(cands, c -> (c.y IS NULL OR c.y = 0) AND c.k = t.k AND c.s < t.e AND t.s < c.e), c -> struct(t.h AS h, {y} AS y, c.f AS f))"
+    return found.select(F.explode(F.expr(cands)).alias("x")).select("x.h", "x.y", "x.f")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Fit the scorer on about ``sample`` labelled candidates of ``docs``, chosen by a hash."""
+    """Fit the scorer on about ``sample`` labelled candidates of ``docs`` and as many rewritten base spans, chosen by a hash.
+
+    One pass over the texts writes the labelled candidates and the base spans
+    with ``WINDOW`` characters to both sides; both samples are drawn from what is written.
+    """
     cands = _candidates(_spans(id_and_text(docs, id_col, text_col)))
-    rows = cands.select("doc_id", F.explode(F.expr("filter(cands, c -> c.y IS NOT NULL)")).alias("c"))
-    rows = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id", "c.s", "c.e", "c.k"), F.lit(1 << 30)))
-    # a sketch of the hashes by size tells below which hash about ``sample`` rows lie
-    ladder = rows.groupBy((F.length(F.bin("_h"))).alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r["n"] for r in ladder)
-    limit = (1 << 30) if total <= sample else max(1, int((1 << 30) * sample / total))
-    got = rows.where(F.col("_h") < limit).select("_h", "c.y", "c.f").toPandas().sort_values("_h")
+    own = "transform(filter(cands, c -> c.y IS NOT NULL), c -> struct(c.k AS k, c.s AS s, c.e AS e, c.y AS y, c.f AS f, cast(null as string) AS v, cast(null as string) AS before, cast(null as string) AS after))"
+    around = f"transform(base, b -> struct(b.k AS k, b.s AS s, b.e AS e, cast(null as double) AS y, cast(null as array<double>) AS f, b.v AS v, substring(text, greatest(1, b.s - {WINDOW - 1}), least(b.s, {WINDOW})) AS before, substring(text, b.e + 1, {WINDOW}) AS after))"
+    rows = cands.select("doc_id", F.explode(F.expr(f"concat({own}, {around})")).alias("c"))
+    rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", "c.s", "c.e", "c.k"), F.lit(1 << 30)).alias("h"), "c.*")
+    rows = materialize(rows, "pii-candidates")
+
+    def some(part: DataFrame) -> DataFrame:
+        total = part.count()
+        return part if total <= sample else part.where(F.col("h") < max(1, int((1 << 30) * sample / total)))
+
+    got = some(rows.where("y IS NOT NULL")).select("h", "y", "f")
+    again = _retold(some(rows.where("y IS NULL")).select("doc_id", "k", "v", "before", "after", "h"))
+    got = got.unionByName(again).toPandas()
     if not len(got):
         return Scorer([], 0.0, [np.inf] * len(KINDS), 0.3)
+    got = got.assign(shown=got["f"].map(lambda f: tuple(f))).sort_values(["h", "y", "shown"])
     return fit(np.stack(got["f"].map(np.asarray)), got["y"].to_numpy(), precision)
 
 
