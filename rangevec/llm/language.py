@@ -35,6 +35,8 @@ BITS = 16
 STEP = 32
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SLICE = 1 << 20
+#: Values that one step of fitting holds at once.
+_FIT_VALUES = 1 << 23
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -185,6 +187,25 @@ class Model:
         yield from settle()
 
 
+def _expected(scores: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each word, and expected transitions in all, of (sequences, words, languages)."""
+    e = np.exp(scores - scores.max(axis=2, keepdims=True))
+    n, length, k = e.shape
+    alpha = np.empty_like(e)
+    a = np.full((n, k), 1 / k)
+    for t in range(length):
+        a = _scaled((a @ m) * e[:, t])
+        alpha[:, t] = a
+    gamma, pair, b = np.empty_like(e), np.zeros((k, k)), np.ones((n, k))
+    for t in range(length - 1, -1, -1):
+        gamma[:, t] = _scaled(alpha[:, t] * b)
+        eb = e[:, t] * b
+        if t:
+            pair += _scaled(alpha[:, t - 1, :, None] * m * eb[:, None, :]).sum(axis=0)
+        b = _scaled(eb @ m.T)
+    return gamma, pair
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 1, rounds: int = 45, l2: float = 1e-3, length: int = 64, min_count: int = 3) -> Model:
     """Fit on (language, text) rows by gradient steps on the penalised log-likelihood of spliced sequences."""
     rng = np.random.default_rng(seed)
@@ -224,28 +245,17 @@ def fit(rows: list[tuple[str, str]], seed: int = 1, rounds: int = 45, l2: float
     scale = fair[labels] / labels.size
     truth_moves = np.zeros((k, k))
     np.add.at(truth_moves, (labels[:, :-1], labels[:, 1:]), 1.0)
+    at_once = max(1, min(n, _FIT_VALUES // (k * max(k, length))))
     for _ in range(rounds):
-        e = emissions(lists, weights)[words]
-        e = np.exp(e - e.max(axis=2, keepdims=True))
-        m = np.exp(moves)
-        alpha = np.empty_like(e)
-        a = np.full((n, k), 1 / k)
-        for t in range(length):
-            a = _scaled((a @ m) * e[:, t])
-            alpha[:, t] = a
-        gamma = np.empty_like(e)
-        pair = np.zeros((k, k))
-        b = np.ones((n, k))
-        for t in range(length - 1, -1, -1):
-            gamma[:, t] = _scaled(alpha[:, t] * b)
-            eb = e[:, t] * b
-            if t:
-                x = alpha[:, t - 1, :, None] * m * eb[:, None, :]
-                pair += _scaled(x).sum(axis=0)
-            b = _scaled(eb @ m.T)
-        gamma[np.arange(n)[:, None], np.arange(length), labels] -= 1
-        gamma *= scale[:, :, None]
-        by_word = np.stack([np.bincount(words.ravel(), gamma[:, :, y].ravel(), minlength=len(lists)) for y in range(k)], axis=1)
+        score_of, m = emissions(lists, weights), np.exp(moves)
+        by_word, pair = np.zeros((len(lists), k)), np.zeros((k, k))
+        for first in range(0, n, at_once):  # some sequences at a time, so memory doesn't grow with languages
+            part = slice(first, first + at_once)
+            gamma, more = _expected(score_of[words[part]], m)
+            gamma[np.arange(len(gamma))[:, None], np.arange(length), labels[part]] -= 1
+            gamma *= scale[part, :, None]
+            by_word += np.stack([np.bincount(words[part].ravel(), gamma[:, :, y].ravel(), minlength=len(lists)) for y in range(k)], axis=1)
+            pair += more
         grad = np.stack([np.bincount(flat, by_word[of_word, y], minlength=1 << BITS) for y in range(k)], axis=1) + l2 / labels.size * weights
         seen_w += grad**2
         weights -= 0.3 * grad / np.sqrt(seen_w)
@@ -260,9 +270,10 @@ def train(docs: DataFrame, learn, per_lang: int = 300, excerpt: int = 1500, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
     rows = rows.where("learn AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("doc_id", "rank")
+    chosen = rows.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("doc_id", "lang")
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
-    part = rows.join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", F.substring(F.col("text"), at, F.lit(excerpt)).alias("text"))
+    part = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "doc_id", F.substring(F.col("text"), at, F.lit(excerpt)).alias("text"))
+    part = part.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # one row for each id, however often it is repeated
     return fit([(r["lang"], r["text"]) for r in sorted(part.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"]))])
 
 
@@ -271,7 +282,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     The language is ``und`` with score 0 where text is null or has no letter.
     Ties go to the first language by name. Repeated rows and null ids each give
-    a row. An empty table gives an empty result.
+    a row. Texts may be of any length: words are read a part of the text at a
+    time. ``keep`` must not name a produced column; others aren't read. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     short_batches(spark)
