@@ -12,7 +12,7 @@ the list of tiles, whose number is bounded by the tile size, which grows with
 the table once there would be more than ``max_tiles`` of them.
 
 With ``similarity`` the fingerprints only find candidates: they have 256 bits,
-the radius is what that Jaccard similarity of shingle sets leads to (and seven
+the radius is what that Jaccard similarity of shingle sets leads to (and four
 standard deviations more), and cells hold documents by their number of distinct
 shingles, the population count of their sets: sets that similar differ in size
 by no more than that factor, so only a cell and the next are compared. Documents
@@ -158,13 +158,18 @@ class _Verified(_Links):
             stand = []
             for i, (a, b) in enumerate(zip(u[:step].tolist(), v[:step].tolist())):
                 x, y = self.find(a), self.find(b)
-                if x != y and jaccard(own[o[i]], guest[g[i]]) >= self.similarity - 1e-12:
+                if x != y and similar(own[o[i]], guest[g[i]], self.similarity):
                     self.root[max(x, y)] = min(x, y)
                     stand.append(i)
             self.add(u[stand], v[stand])
             u, v, o, g = u[step:], v[step:], o[step:], g[step:]
 
 
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets reach the Jaccard similarity; sizes alone rule most others out."""
+    return min(len(a), len(b)) >= (similarity - 1e-12) * max(len(a), len(b)) and jaccard(a, b) >= similarity - 1e-12
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two sets of sorted hashes; empty sets are equal."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -274,25 +279,26 @@ def near_links(reps: DataFrame, names: list[str], radii: tuple[int, int], neighb
         total += cut[c]
     beyond = {c: [] for c in cut}
     for a, b in neighbours(np.array(sorted(cut), np.int64)):
-        beyond[a] += range(first[b], first[b] + cut[b])
-    layout = spark.createDataFrame([(c, first[c], cut[c], beyond[c]) for c in sorted(cut)], "cell int, first int, cut int, beyond array<int>")
+        beyond[a].append((first[b], first[b] + cut[b] - 1))
+    # a row for each cell, with a pair of numbers for each neighbouring cell: its size doesn't depend on how many rows or tiles there are
+    layout = spark.createDataFrame([(c, first[c], cut[c], beyond[c]) for c in sorted(cut)], "cell int, first int, cut int, beyond array<struct<a:int,z:int>>")
     placed = (
         reps.join(F.broadcast(layout), "cell")
         .withColumn("tile", F.col("first") + F.pmod(F.xxhash64(*names), F.col("cut")).cast("int"))
         .withColumn("later", F.when(F.col("tile") + 1 < F.col("first") + F.col("cut"), F.sequence(F.col("tile") + 1, F.col("first") + F.col("cut") - 1)).otherwise(F.array().cast("array<int>")))
     )
     carried = names if similarity is None else [*names, "set"]
-    homes = F.concat(F.array(F.struct(F.col("tile").alias("home"), F.lit(0).alias("guest"))), F.transform(F.concat("later", "beyond"), lambda h: F.struct(h.alias("home"), F.lit(1).alias("guest"))))
+    homes = F.concat(F.array(F.struct(F.col("tile").alias("home"), F.lit(0).alias("guest"))), F.transform(F.concat("later", F.flatten(F.transform("beyond", lambda x: F.sequence(x["a"], x["z"])))), lambda h: F.struct(h.alias("home"), F.lit(1).alias("guest"))))
     sent = placed.select(F.explode(homes).alias("to"), "rep", *carried).select("to.home", "to.guest", "rep", *carried)
     spread = min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 64)))
     return sent.repartition(spread, "home").sortWithinPartitions("home", "guest").mapInPandas(_tile_links(radii, names, similarity), "u long, v long")
 
 
 def wide_radii(similarity: float, words: int) -> tuple[int, int]:
-    """Radii of the first word and of all that sets of this Jaccard similarity keep, five and seven deviations over their mean."""
+    """Radii of the first word and of all that sets of this Jaccard similarity keep, four deviations over their mean: one pair in 16,000 at the very limit isn't a candidate."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    reach = lambda bits, times: math.floor(bits * share + times * math.sqrt(bits * share * (1 - share)))
-    return reach(64, 5), reach(64 * words, 7)
+    reach = lambda bits: math.floor(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+    return reach(64), reach(64 * words)
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
