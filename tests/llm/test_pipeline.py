@@ -47,3 +47,18 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([(1, "some words that stand for an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts and a column with a clashing name go through all stages."""
+    long = " ".join(f"the{i % 977} of{i % 13}ing" for i in range(20_000))
+    rows = [(1, "the words that was with from the and it is on", "en", 5), (1, "the words that was with from the and it is on", "en", 6), (None, "was the and of that with from by it is", "en", 7), (3, None, None, 8), (4, "", "en", 9), (5, long, "en", 1), (6, "x", "en", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, cell int")
+    spark.createDataFrame([(1, "some words that stand for an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns, name
+            assert {r.cell for r in out.collect()} <= {r[3] for r in rows} and 1 in {r.cell for r in out.collect()}
+        else:
+            assert out.select("doc_id").distinct().count() == 6
