@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold: texts can be very long, so batches are short.
-BATCH_ROWS = 512
+#: Rows and bytes an Arrow batch may hold: texts can be very long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts within a Python worker's memory."""
+    """Keep Arrow batches of long texts within a Python worker's memory: a batch ends with the row that reaches either bound.
+
+    These are settings of the session; vector searches put short batches together themselves.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,9 @@ RADIUS, REACH = 3, 10
 SIMILARITY = 0.8
 #: So many lines may be broadcast by place (some 40 bytes each) to fetch their texts; more are joined.
 BROADCAST_LINES = 1_000_000
+#: From so many pairs on that are left in the end, one for each two groups goes first.
+MANY_LEFT = 50_000
+PAIRS_A_TASK = 1000
 #: A bucket is hot with so many sampled fingerprints, one in SAMPLE being sampled, and this share of the sample.
 SAMPLE, HOT_ROWS, HOT_SHARE, SALTS = 128, 64, 1e-4, 64
 #: Thai to Burmese, Khmer, kana and Han: scripts that don't part words by spaces.
@@ -138,19 +141,24 @@ def block_keys(fp: str, radius: int = RADIUS) -> Column:
     return F.array(*pairs)
 
 
-def edit_similar(a: str, b: str, similarity: float) -> Column:
-    """Whether two normalised lines have the edit similarity, in characters or in words.
+def with_similar(pairs: DataFrame, a: str, b: str, similarity: float) -> DataFrame:
+    """``pairs`` with ``ok`` in place of the normalised lines ``a`` and ``b``: whether they have the edit similarity, in words or, word by word, in characters.
 
-    In characters: what has to be edited with words in order from both ends
-    around one gap (``word_bound``) is at most the share 1 - ``similarity`` of the
-    longer line, spaces left out. In words: so is the edit distance of the
-    sequences of words, found exactly in a band no wider than need be. Both are
-    the same at any length; the first alone forgives two misspelt words of five.
+    In words: the edit distance of the sequences of words is at most the share
+    1 - ``similarity`` of the longer one, found exactly in a band no wider than
+    need be. In characters: lines of equally many words, each edited into the one
+    in its place, take at most that share of the longer line, spaces left out;
+    this forgives two misspelt words of five. Both are the same at any length.
     """
     slack = lambda n: F.floor(n * (1 - similarity) + 1e-9).cast("int")
-    spaces = lambda c: F.size(F.split(c, " ")) - 1
-    letters = slack(F.greatest(F.length(a) - spaces(a), F.length(b) - spaces(b)))
-    return F.when(_in_order(a, b) <= letters, True).when(word_bound(a, b) <= letters, True).otherwise(_near_in_words(a, b, slack))
+    kept = [c for c in pairs.columns if c not in (a, b)]
+    letters = lambda c: F.length(c) - F.size(F.split(c, " ")) + 1
+    split = pairs.select(*kept, F.split(a, " ").alias("_x"), F.split(b, " ").alias("_y"), slack(F.greatest(letters(a), letters(b))).alias("_letters"))
+    # words that the other line hasn't at all have to be edited
+    missing = F.greatest(F.size(F.array_except("_x", "_y")), F.size(F.array_except("_y", "_x")))
+    hopeless = missing > slack(F.greatest(F.size("_x"), F.size("_y")))
+    ok = F.when(_in_order("_x", "_y") <= F.col("_letters"), True).when(hopeless, False).otherwise(_near_in_words("_x", "_y", slack))
+    return split.select(*kept, ok.alias("ok"))
 
 
 def _near_in_words(a: str, b: str, slack) -> Column:
@@ -158,7 +166,7 @@ def _near_in_words(a: str, b: str, slack) -> Column:
     bands = [2]
     while bands[-1] < MOST_DISTINCT:
         bands.append(bands[-1] * 5 // 4 + 1)
-    pair = F.array(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")))
+    pair = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
     known = F.transform(pair, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.array_distinct(F.concat(x["a"], x["b"])).alias("known")))
 
     def spelt(words, known):
@@ -187,36 +195,11 @@ def _unequal(u, v):
     return F.when(u == v, 0).otherwise(F.levenshtein(u, v))
 
 
-def _in_order(a: str, b: str) -> Column:
+def _in_order(x: str, y: str) -> Column:
     """What has to be edited of lines of equally many words, each held against the one in its place; null for others."""
-    x, y = F.split(a, " "), F.split(b, " ")
     return F.when(F.size(x) == F.size(y), F.aggregate(F.zip_with(x, y, _unequal), F.lit(0), lambda t, c: t + c))
 
 
-def word_bound(a: str, b: str) -> Column:
-    """The characters to edit, at the least, if words are kept in order from both ends with one gap: an upper bound of the distance.
-
-    p words are compared from the left and all others of the shorter line from
-    the right; what counts is the distance within each pair and the words in the
-    gap of the longer line; the best p is taken.
-    """
-    swap = F.size(F.split(a, " ")) <= F.size(F.split(b, " "))
-    both = F.array(F.struct(F.split(F.when(swap, F.col(a)).otherwise(F.col(b)), " ").alias("s"), F.split(F.when(swap, F.col(b)).otherwise(F.col(a)), " ").alias("l")))
-
-    def prepared(r):
-        n, extra = F.size(r["s"]), F.size(r["l"]) - F.size(r["s"])
-        left = F.zip_with(r["s"], F.slice(r["l"], F.lit(1), n), _unequal)
-        right = F.zip_with(r["s"], F.slice(r["l"], extra + 1, n), _unequal)
-        # the gap moves past a word: that word is now compared from the left, and the gap loses a word and gains the one behind it
-        gone, come = F.slice(r["l"], F.lit(1), n), F.slice(r["l"], extra + 1, n)
-        moves = F.zip_with(F.zip_with(left, right, lambda u, v: u - v), F.zip_with(gone, come, lambda u, v: F.length(v) - F.length(u)), lambda u, v: u + v)
-        start = F.aggregate(right, F.lit(0), lambda t, v: t + v) + F.aggregate(F.slice(r["l"], F.lit(1), extra), F.lit(0), lambda t, v: t + F.length(v))
-        return F.struct(moves.alias("moves"), start.alias("start"))
-
-    steps = F.transform(F.transform(both, prepared), lambda p: F.aggregate(p["moves"], F.struct(p["start"].alias("now"), p["start"].alias("least")), lambda t, m: F.struct((t["now"] + m).alias("now"), F.least(t["least"], t["now"] + m).alias("least")))["least"])
-    return F.element_at(steps, 1)
-
-
 def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
@@ -238,7 +221,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """(u, v, ok) of pairs of lines (u, v): whether their texts (id, norm) are similar."""
     left, right = texts.select(F.col("id").alias("u"), F.col("norm").alias("norm_u")), texts.select(F.col("id").alias("v"), F.col("norm").alias("norm_v"))
     pairs = materialize(pairs.select("u", "v").distinct(), "line-pairs")
-    return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", edit_similar("norm_u", "norm_v", similarity).alias("ok")), "tested")
+    both = pairs.join(left, "u").join(right, "v").repartition(1 + pairs.count() // PAIRS_A_TASK)  # dealt by number: comparing takes long, however few bytes there are
+    return materialize(with_similar(both, "norm_u", "norm_v", similarity).select("u", "v", "ok"), "tested")
 
 
 def _keyed(fps: DataFrame, radius: int) -> DataFrame:
@@ -333,8 +317,10 @@ def line_classes(docs: DataFrame, distinct: DataFrame, radius: int, reach: int,
     theirs = group.select(F.col("id").alias("v"), F.col("fp").alias("fp_b"), F.col("group").alias("root_b"))
     rest = _either(rest.join(own, ["fp", "root"]).join(theirs, ["fp_b", "root_b"]).select("u", "v", _apart("fp", "fp_b").alias("bits")))
     rest = materialize(rest.union(others).distinct().join(_either(first.unionByName(second)), ["u", "v"], "left_anti"), "rest")
-    group, third = _settled(rest, group, texts, similarity, True)
-    return _settled(rest.join(_either(third), ["u", "v"], "left_anti"), group, texts, similarity, False)[0].select("id", "group")
+    if rest.count() > MANY_LEFT:  # the rows are the same without this step, which connects most pairs by one of them
+        group, third = _settled(rest, group, texts, similarity, True)
+        rest = rest.join(_either(third), ["u", "v"], "left_anti")
+    return _settled(rest, group, texts, similarity, False)[0].select("id", "group")
 
 
 def _either(pairs: DataFrame) -> DataFrame:
