@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents.
+
+In every stage: decisions are made by id, so rows that share an id share them,
+and rows without an id are judged as one, kept if any of them is. Null text
+counts as empty. Empty texts have no language and go in the first stage. Texts
+may be of any length. Ties go to the smaller id. Other columns, whatever their
+names, are carried along and never read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +31,14 @@ def _with(docs: DataFrame, verdict: DataFrame, keep) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language go on; those without letters, or with no language to speak of, go."""
+    """Documents in a language go on; those without letters, or with no language to speak of, go. Without labelled documents all are undetermined and go."""
     learn = F.pmod(crc_of_id(), F.lit(4)) != 2
     said = language.predict(docs, language.train(docs, learn))
     return _with(docs, said, (F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, then that of the smallest id. Rows that repeat its id stay."""
     return _with(docs, exact_dedup.exact_dedup(docs), F.col("kept"))
 
 
@@ -43,12 +49,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Without a benchmark all stay."""
     return _with(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), ~F.col("contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; each row is packed by itself, repeated ones too."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

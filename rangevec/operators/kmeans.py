@@ -79,14 +79,56 @@ def lloyd_step(rows: DataFrame, centroids: np.ndarray, vec: str = "embedding", w
     return out
 
 
+def mean_vectors(rows: DataFrame, ident: str = "fine_id", vec: str = "embedding") -> DataFrame:
+    """(ident, new, n): the mean vector of each list, from one row of sums for each list and input partition."""
+    dims = rows.select(F.size(vec)).first()
+    sums = [F.avg(V.vector(vec)[i]).alias(f"_d{i}") for i in range(dims[0] if dims else 0)]
+    means = rows.groupBy(ident).agg(*sums, F.count(F.lit(1)).alias("n"))
+    return means.select(ident, F.array(*[f"_d{i}" for i in range(len(sums))]).cast("array<double>").alias("new"), "n")
+
+
+def scalar_step(rows: DataFrame, centroids: DataFrame, weight: float, span_weight: float, scale: float, ident: str = "fine_id") -> DataFrame:
+    """One round that heeds scalars: (ident, centroid, centre, low, high, n), from the same columns of ``centroids`` but n.
+
+    A row's cost is its squared distance, the attribute term to the list's mean
+    scalar and the penalty for widening the list's span (null span: none). Lists
+    without rows stay as they are.
+    """
+    from rangevec.operators.assign import assign
+
+    def cost(c):
+        span = F.when(c["low"].isNull(), 0.0).otherwise(V.span_term("scalar", c["low"], c["high"], F.lit(scale), span_weight))
+        return V.l2_sq("_x", c["centroid"]) + V.attribute_term("scalar", c["centre"], F.lit(scale), weight) + span
+
+    near = assign(rows, centroids.select(ident, V.vector("centroid").alias("centroid"), "centre", "low", "high"), ident, cost=cost, keep=("embedding", "scalar"))
+    scalars = near.groupBy(ident).agg(F.avg("scalar").alias("_centre"), F.min("scalar").alias("_low"), F.max("scalar").alias("_high"))
+    new = centroids.join(mean_vectors(near, ident), ident, "left").join(scalars, ident, "left")
+    return new.select(ident, F.coalesce("new", V.vector("centroid")).alias("centroid"), *[F.coalesce(f"_{c}", c).alias(c) for c in ("centre", "low", "high")], F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def fit_scalar(rows: DataFrame, centroids: DataFrame, weight: float = 0.0, span_weight: float = 0.0, scale: float | None = None, rounds: int = 20, ident: str = "fine_id") -> DataFrame:
+    """Rounds of ``scalar_step`` from (ident, centroid, centre); the scale is the scalars' deviation. Centroids, bounded by training, are carried by the driver."""
+    if scale is None:
+        scale = rows.agg(V.scale_of(F.stddev_pop("scalar")).alias("s")).first()["s"] or 1.0
+    kind = f"{ident} int, centroid array<double>, centre double, low double, high double"
+    none = F.lit(None).cast("double")
+    now = centroids.select(ident, V.vector("centroid").alias("centroid"), "centre", none.alias("low"), none.alias("high"))
+    held = sorted(now.collect())
+    for _ in range(rounds):
+        table = rows.sparkSession.createDataFrame(held, kind)
+        new = sorted(scalar_step(rows, table, weight, span_weight, scale, ident).drop("n").collect())
+        if np.allclose([r["centroid"] for r in new], [r["centroid"] for r in held], atol=1e-9):
+            break
+        held = new
+    return rows.sparkSession.createDataFrame(held, kind)
+
+
 def lloyd_step_sql(rows: DataFrame, centroids: DataFrame, ident: str = "fine_id") -> DataFrame:
     """One round as a plan of DataFrame functions: (ident, centroid, n)."""
     from rangevec.operators.assign import assign
 
-    near = assign(rows, centroids, ident)
-    spread = rows.join(near, "vec_id").select(ident, F.posexplode(V.vector("embedding")).alias("i", "x"))
-    mean = spread.groupBy(ident, "i").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    new = mean.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("new"), F.max("n").alias("n"))
+    near = assign(rows, centroids, ident, keep=("embedding",))
+    new = mean_vectors(near, ident)
     return centroids.join(new, ident, "left").select(ident, F.coalesce("new", V.vector("centroid")).alias("centroid"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -6,21 +6,20 @@ Tables are immutable: each operator returns what the table is afterwards, and
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangevec.functions import vectors as V
-from rangevec.operators import stats
-from rangevec.operators.assign import assign, assign_rows
-from rangevec.operators.search import top_k
+from rangevec.operators import kmeans, stats
+from rangevec.operators.assign import assign, assign_arrow, assign_rows, nearest_of
 
 
 def insert(rows: DataFrame, batch: DataFrame, centroids: DataFrame, batch_id: int = 0, segment: str = "delta") -> DataFrame:
-    """``rows`` with the batch assigned to lists. An id that is there already, or twice in the batch, is an error."""
-    near = assign_rows(batch, centroids).select("vec_id", "fine_id")
-    new = batch.select("vec_id", "embedding", "scalar").join(near, "vec_id").withColumn("segment", F.lit(segment)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    both = rows.unionByName(new.select(rows.columns)) if rows is not None else new
-    return both
+    """``rows`` with the batch assigned to lists, without a shuffle. Callers refuse the ids that ``duplicate_ids`` finds before."""
+    near = assign_rows(batch, centroids, keep=("embedding", "scalar"))
+    new = near.select("vec_id", "embedding", "scalar", "fine_id", F.lit(segment).alias("segment"), F.lit(batch_id).cast("long").alias("batch_id"))
+    return rows.unionByName(new.select(rows.columns)) if rows is not None else new
 
 
 def duplicate_ids(rows: DataFrame, batch: DataFrame) -> DataFrame:
@@ -38,8 +37,8 @@ def number(batch: DataFrame, first: int, order: str) -> DataFrame:
 
 
 def merge_segments(rows: DataFrame) -> DataFrame:
-    """The delta segment taken into the main one, in order of list, scalar and id within each partition."""
-    return rows.withColumn("segment", F.lit("main")).repartition("fine_id").sortWithinPartitions("fine_id", "scalar", "vec_id")
+    """The delta segment taken into the main one, in order of list, scalar and id; a large list is dealt to several partitions by scalar."""
+    return rows.withColumn("segment", F.lit("main")).repartitionByRange("fine_id", "scalar", "vec_id").sortWithinPartitions("fine_id", "scalar", "vec_id")
 
 
 def merge_due(rows: DataFrame, cap: int = 256, first: int = 32) -> DataFrame:
@@ -101,8 +100,9 @@ def evenly_spaced(rows: DataFrame, sizes: DataFrame, m: int) -> DataFrame:
 def migrate(members: DataFrame, centroids: DataFrame, lists: DataFrame, n: int, gain: float = 0.0) -> DataFrame:
     """Moves (vec_id, fine_id, to_id) of the farthest rows of the given lists to a nearer centroid, if it is nearer by the share ``gain``."""
     far = farthest(members.join(F.broadcast(lists.select("fine_id")), "fine_id", "left_semi"), n)
-    best = assign(far.select("vec_id", "embedding"), centroids).select("vec_id", F.col("fine_id").alias("to_id"), F.col("dist_sq").alias("to_sq"))
-    moved = far.join(best, "vec_id")
+    own = far.select("vec_id", "embedding", F.col("fine_id").alias("own_id"), F.col("dist_sq").alias("own_sq"))
+    best = assign(own, centroids, keep=("own_id", "own_sq"))
+    moved = best.select("vec_id", F.col("own_id").alias("fine_id"), F.col("own_sq").alias("dist_sq"), F.col("fine_id").alias("to_id"), F.col("dist_sq").alias("to_sq"))
     return moved.where((F.col("to_id") != F.col("fine_id")) & (F.sqrt("to_sq") < (1 - gain) * F.sqrt("dist_sq"))).select("vec_id", "fine_id", "to_id")
 
 
@@ -158,9 +158,34 @@ def soft_reconcile(fines: DataFrame, coarse: DataFrame, tau: float = 0.06, alpha
     return new, own.join(best, "fine_id").select("fine_id", F.when(go, F.col("best")).otherwise(F.col("coarse_id")).alias("coarse_id"))
 
 
-def nearest_neighbours_of(centroids: DataFrame, k: int) -> DataFrame:
-    """The k nearest other centroids of each: the neighbour table that upkeep looks rows up in."""
-    a = centroids.select(F.col("fine_id").alias("src"), V.vector("centroid").alias("_a"))
-    b = centroids.select("fine_id", V.vector("centroid").alias("_b"))
-    d = a.join(F.broadcast(b), F.col("src") != F.col("fine_id")).select("src", "fine_id", V.l2_sq("_a", "_b").alias("dist_sq"))
-    return top_k(d, k, by="src", order="dist_sq", ident="fine_id")
+def local_recluster(rows: DataFrame, centroids: DataFrame, list_id: int, parts: int, rounds: int = 20, start: np.ndarray | None = None) -> DataFrame:
+    """Moves (vec_id, fine_id, to_id): one list cut into ``parts`` by k-means of its own, each part sent to the list whose centroid is nearest to the part's.
+
+    Without ``start`` the parts start from the rows of smallest hash.
+    """
+    own = rows.where(F.col("fine_id") == list_id)
+    start = kmeans.sample_start(own, parts) if start is None else start
+    none = rows.sparkSession.createDataFrame([], "vec_id long, fine_id int, to_id int")
+    if len(start) < 2:
+        return none
+    subs = kmeans.fit(own, start, rounds, tolerance=1e-12)
+    table = centroids.select("fine_id", V.vector("centroid").alias("c")).orderBy("fine_id").collect()  # bounded by training
+    target = np.array([r["fine_id"] for r in table])[nearest_of(subs, np.array([r["c"] for r in table]))[0]]
+    to = F.element_at(F.array(*[F.lit(int(t)) for t in target]), F.col("part") + 1)
+    moved = assign_arrow(own.select("vec_id", "embedding"), subs, np.arange(len(subs)), ident="part").select("vec_id", F.lit(list_id).alias("fine_id"), to.cast("int").alias("to_id"))
+    return moved.where("to_id <> fine_id")
+
+
+def coarse_from_fine(fines: DataFrame, before: DataFrame, coarse: DataFrame, threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Coarse centroids and the mapping after fine ones moved: plain means where any moved by more than the threshold, or all by half of it on average.
+
+    ``fines`` and ``before`` have fine_id and centroid. The mapping (fine_id,
+    coarse_id) is made anew in any case, by the former coarse centroids.
+    """
+    moved = stats.drift(fines, before).agg(F.max("shift").alias("top"), F.avg("shift").alias("mean")).first()
+    mapped = assign(fines, coarse, "coarse_id", key="fine_id", vec="centroid").select("fine_id", "coarse_id")
+    if moved["top"] is None or not (moved["top"] > threshold or moved["mean"] > 0.5 * threshold):
+        return coarse.select("coarse_id", V.vector("centroid").alias("centroid")), mapped
+    mean = stats.weighted_mean(fines.join(mapped, "fine_id").withColumn("one", F.lit(1)), "coarse_id", "one").withColumnRenamed("centroid", "_new")
+    new = coarse.select("coarse_id", V.vector("centroid").alias("_was")).join(mean, "coarse_id", "left")
+    return new.select("coarse_id", F.coalesce("_new", "_was").alias("centroid")), mapped

@@ -97,6 +97,23 @@ def selectivity(low: Column, high: Column, lo: float, hi: float) -> Column:
     return F.when(F.col("cnt") > 0, F.least(F.lit(1.0), hit_estimate(low, high, lo, hi) / F.col("cnt"))).otherwise(0.0)
 
 
+def selectivity_open(hist: str, low: Column, high: Column, lo: float, hi: float, bins: int = BINS) -> Column:
+    """Share of a list's rows in the range by its ``histogram_open`` as an array of bins + 2 counts: whole outer slots, inner ones by share; 1 without a domain or rows."""
+    total = F.aggregate(hist, F.lit(0).cast("long"), lambda s, x: s + x)
+    scale = bins / (hi - lo) if hi > lo else 0.0
+    left, right = F.greatest(F.lit(0.0), (low - lo) * scale), F.least(F.lit(float(bins)), (high - lo) * scale)
+    inner = F.transform(F.slice(hist, 2, bins), lambda n, i: n * F.greatest(F.lit(0.0), F.least(right, i + 1.0) - F.greatest(left, i * 1.0)))
+    outer = F.when(low < lo, F.get(F.col(hist), F.lit(0))).otherwise(0) + F.when(high > hi, F.get(F.col(hist), F.lit(bins + 1))).otherwise(0)
+    whole = F.when((high < lo) | (low > hi), outer.cast("double")).otherwise(outer + F.aggregate(inner, F.lit(0.0), lambda s, x: s + x))
+    return F.when(F.lit(not hi > lo) | (total == 0), 1.0).when(low > high, 0.0).otherwise(whole / total)
+
+
+def centroid_update_threshold(drifts: DataFrame, base: float = 0.1) -> DataFrame:
+    """Mean and half a deviation of the shifts, between half and twice the base (the base without shifts): threshold."""
+    mean = F.avg("shift") + 0.5 * F.stddev_pop("shift")
+    return drifts.agg(F.coalesce(F.greatest(F.lit(0.5 * base), F.least(F.lit(2.0 * base), mean)), F.lit(base)).alias("threshold"))
+
+
 def utility(low: Column, high: Column, lo: float, hi: float) -> Column:
     """How promising a list is for a range, 0 to 1: expected mass, density, nearness of the mean and overlap, damped for small lists."""
     n = F.greatest(F.lit(1), F.col("cnt")).cast("double")
@@ -134,6 +151,21 @@ def sums(rows: DataFrame, ident: str = "fine_id") -> DataFrame:
     return spread.groupBy(ident, "dim").agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+def change_sums(held: DataFrame, changes: DataFrame, sign: int = 1, ident: str = "fine_id") -> DataFrame:
+    """``sums`` after rows (given by their own ``sums``) were added (sign 1) or taken out (-1); what has no rows left goes."""
+    more = changes.select(ident, "dim", (F.col("total") * sign).alias("total"), (F.col("n") * sign).alias("n"))
+    both = held.unionByName(more).groupBy(ident, "dim").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return both.where("n > 0")
+
+
+def refresh_from_sums(centroids: DataFrame, sums: DataFrame, dirty: DataFrame | None = None, ident: str = "fine_id") -> DataFrame:
+    """Centroids with those of the ``dirty`` lists (all without) moved to their sums' means; lists without rows stay."""
+    if dirty is not None:
+        sums = sums.join(F.broadcast(dirty.select(ident)), ident, "left_semi")
+    mean = sums.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", (F.col("total") / F.col("n")).alias("x")))), lambda p: p["x"]).alias("_new"))
+    return centroids.join(mean, ident, "left").withColumn("centroid", F.coalesce("_new", V.vector("centroid"))).drop("_new")
+
+
 def weighted_mean(vectors: DataFrame, group: str, weight: str, vec: str = "centroid") -> DataFrame:
     """Weighted mean vector of each group; a weight of zero counts as one."""
     w = F.greatest(F.lit(1), F.col(weight)).cast("double")

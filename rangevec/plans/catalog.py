@@ -1,7 +1,7 @@
 """Registered queries over the index operators, each with the SQL it must agree with.
 
 The base relation joins ``embeddings`` with ``events``: an event's value is the
-row's scalar. Every 25th row is a query, with a range of 20 about its own
+row's scalar. Every row whose id is divisible by 20 is a query, with a range of 20 about its own
 scalar. Rows 0 to 31 serve as fine centroids and 0 to 7 as coarse ones, so that
 whole searches can be written in SQL.
 """
@@ -32,10 +32,10 @@ def base(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def asked(b: DataFrame, shared: tuple | None = None, ranged: bool = True) -> DataFrame:
-    low, high = (F.lit(shared[0]), F.lit(shared[1])) if shared else (F.col("scalar") - 20, F.col("scalar") + 20)
+def asked(b: DataFrame, shared: tuple | None = None, ranged: bool = True, width: float = 20) -> DataFrame:
+    low, high = (F.lit(shared[0]), F.lit(shared[1])) if shared else (F.col("scalar") - width, F.col("scalar") + width)
     none = F.lit(None).cast("double")
-    return b.where("vec_id % 25 = 0").select(
+    return b.where("vec_id % 20 = 0").select(
         F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), (low if ranged else none).alias("range_min"), (high if ranged else none).alias("range_max")
     )
 
@@ -46,7 +46,7 @@ def centroids(b: DataFrame, n: int, ident: str) -> DataFrame:
 
 def listed(b: DataFrame) -> DataFrame:
     """The base with each row's list and distance to it."""
-    return b.join(A.assign(b, centroids(b, 32, "fine_id")), "vec_id")
+    return A.assign(b, centroids(b, 32, "fine_id"), keep=("embedding", "label", "scalar", "ts"))
 
 
 def parents(b: DataFrame) -> DataFrame:
@@ -56,6 +56,12 @@ def parents(b: DataFrame) -> DataFrame:
     return fine.join(near, "fine_id")
 
 
+def _with_queries(b: DataFrame, q: DataFrame) -> DataFrame:
+    """Every row with every query, in blocks of queries that are small enough to broadcast."""
+    parts = [b.crossJoin(F.broadcast(part)) for part in search.blocks(q)]
+    return search._union(parts)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Doubles to six places, integers as longs: what both engines can show alike."""
     shown = {"double": lambda c: F.round(c, 6) + 0.0, "float": lambda c: F.round(c.cast("double"), 6) + 0.0, "int": lambda c: c.cast("long"), "decimal": lambda c: c.cast("long")}
@@ -63,7 +69,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 WITH = """WITH base AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS emb, e.label, v.value AS scalar FROM embeddings e JOIN events v ON e.vec_id = v.event_id),
-q AS (SELECT vec_id AS qid, emb AS qv, scalar - 20 AS lo, scalar + 20 AS hi FROM base WHERE vec_id % 25 = 0),
+q AS (SELECT vec_id AS qid, emb AS qv, scalar - 20 AS lo, scalar + 20 AS hi FROM base WHERE vec_id % 20 = 0),
 fine AS (SELECT vec_id AS fine_id, emb AS c FROM base WHERE vec_id < 32),
 coarse AS (SELECT vec_id AS coarse_id, emb AS c FROM base WHERE vec_id < 8),
 pairs AS (SELECT q.qid, q.lo, q.hi, b.vec_id, b.scalar, list_distance(q.qv, b.emb) AS dist FROM q, base b),
@@ -80,11 +86,13 @@ syn AS (SELECT fine_id, count(*) AS cnt, min(scalar) AS min_s, max(scalar) AS ma
 TOP = "SELECT qid, rnk, vec_id, round(dist, 6) AS dist FROM (SELECT qid, vec_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rnk FROM {src}) WHERE rnk <= {k}"
 
 
-def query(sql: str | None):
+def query(sql: str | None, width: int = 20):
+    """Register a query with its SQL; the queries' own ranges are of ``width`` to both sides."""
+
     def add(f):
         QUERIES[f.__name__] = lambda spark, d: plain(f(spark, d))
         if sql:
-            ORACLES[f.__name__] = (WITH + sql) if not sql.startswith("WITH RECURSIVE") else sql
+            ORACLES[f.__name__] = WITH.replace("scalar - 20 AS lo, scalar + 20 AS hi", f"scalar - {width} AS lo, scalar + {width} AS hi") + sql
         return f
 
     return add
@@ -99,6 +107,19 @@ def exact_knn(spark, d):
     return search.knn(b, asked(b, ranged=False), K)
 
 
+@query(TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN lo AND hi)", k=K))
+def exact_knn_jvm(spark, d):
+    b = base(spark, d)
+    return search.knn(b, asked(b), K, kernel=False)
+
+
+@query(""", b2 AS (SELECT vec_id + i * 1000000 AS vec_id, emb, scalar FROM base, range(4) t(i)), p2 AS (SELECT q.qid, b2.vec_id, list_distance(q.qv, b2.emb) AS dist FROM q, b2) """ + TOP.format(src="p2", k=6))
+def exact_knn_ties(spark, d):
+    b = base(spark, d)
+    four = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("vec_id", F.col("vec_id") + F.col("i") * 1_000_000).drop("i")
+    return search.knn(four, asked(b, ranged=False), 6)
+
+
 @query(TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN 10 AND 60)", k=K))
 def exact_knn_range_shared(spark, d):
     b = base(spark, d)
@@ -117,6 +138,22 @@ def exact_knn_kernel(spark, d):
     return search.knn(b, asked(b), K, kernel=True)
 
 
+@query(", near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM pairs) WHERE r <= 40) " + TOP.format(src="(SELECT * FROM near WHERE scalar BETWEEN lo AND hi)", k=K))
+def post_filter_search(spark, d):
+    b = base(spark, d)
+    return search.post_filter(b, asked(b), K, 40)
+
+
+@query(""", o AS (SELECT p.*, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS pos, count(*) OVER (PARTITION BY qid) AS n, (hi - lo) / 10000 AS share FROM pairs p),
+o2 AS (SELECT *, CASE WHEN share < 0.01 THEN 80 WHEN share < 0.05 THEN 60 WHEN share < 0.1 THEN 50 ELSE 30 END AS wide, 10 * greatest(8, floor(1 / greatest(share, 0.001))) AS wider FROM o),
+o3 AS (SELECT *, pos <= CASE WHEN n > wide THEN wide WHEN n > 30 THEN 30 ELSE n END AS early FROM o2 WHERE scalar BETWEEN lo AND hi),
+o4 AS (SELECT *, sum(early::INT) OVER (PARTITION BY qid) AS hits FROM o3) """ + TOP.format(src="(SELECT * FROM o4 WHERE early OR (hits < 10 AND pos <= wider))", k=K))
+def over_fetch_search(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    return search.over_fetch(search.candidates(b, q, filtered=False), q, K)
+
+
 @query(TOP.format(src="(SELECT * FROM pairs WHERE scalar BETWEEN lo AND hi AND dist <= 1.3)", k=1000))
 def radius_search(spark, d):
     b = base(spark, d)
@@ -132,17 +169,17 @@ def hybrid_weighted(spark, d):
     return search.hybrid_search(b, asked(b), K, 0.3)
 
 
-@query("SELECT vec_id, fine_id, round(list_distance(emb, c), 6) AS dist FROM base, fine WHERE vec_id % 5 = 0")
+@query("SELECT vec_id, fine_id, round(list_distance(emb, c), 6) AS dist FROM base, fine")
 def pairwise_distance(spark, d):
     b = base(spark, d)
-    return b.where("vec_id % 5 = 0").crossJoin(F.broadcast(centroids(b, 32, "fine_id"))).select("vec_id", "fine_id", V.l2("embedding", "centroid").alias("dist"))
+    return b.crossJoin(F.broadcast(centroids(b, 32, "fine_id"))).select("vec_id", "fine_id", V.l2("embedding", "centroid").alias("dist"))
 
 
 @query("""SELECT qid, rnk, vec_id, round(ip, 6) AS ip FROM (SELECT qid, vec_id, ip, row_number() OVER (PARTITION BY qid ORDER BY -round(ip, 9), vec_id) AS rnk
 FROM (SELECT q.qid, b.vec_id, list_inner_product(q.qv, b.emb) AS ip FROM q, base b)) WHERE rnk <= 10""")
 def inner_product_topk(spark, d):
     b = base(spark, d)
-    x = b.crossJoin(F.broadcast(asked(b))).select("qid", "vec_id", V.inner_product("qvec", "embedding").alias("ip"))
+    x = _with_queries(b, asked(b)).select("qid", "vec_id", V.inner_product("qvec", "embedding").alias("ip"))
     return search.top_k(x.withColumn("o", -F.round("ip", 9)), K, order="o").select("qid", "rnk", "vec_id", "ip")
 
 
@@ -150,7 +187,7 @@ def inner_product_topk(spark, d):
 FROM (SELECT q.qid, b.vec_id, list_inner_product(q.qv, b.emb) - list_inner_product(b.emb, b.emb) / 2 AS score FROM q, base b)) WHERE rnk <= 10""")
 def half_norm_rank(spark, d):
     b = base(spark, d)
-    x = b.crossJoin(F.broadcast(asked(b))).select("qid", "vec_id", V.half_norm_score("qvec", "embedding").alias("score"))
+    x = _with_queries(b, asked(b)).select("qid", "vec_id", V.half_norm_score("qvec", "embedding").alias("score"))
     return search.top_k(x.withColumn("o", -F.round("score", 9)), K, order="o").select("qid", "rnk", "vec_id", "score")
 
 
@@ -247,8 +284,44 @@ def weighted_centroids(spark, d):
     return c.select("coarse_id", F.posexplode("centroid").alias("dim", "x"))
 
 
-@query(None)
+_SCALAR = _SCALE + """, c2 AS (SELECT f.fine_id, f.c, b.scalar AS centre, b.scalar - 5 AS low, b.scalar + 5 AS high FROM fine f JOIN base b ON b.vec_id = f.fine_id),
+x AS (SELECT b.vec_id, b.emb, b.scalar, f.fine_id, pow(list_distance(b.emb, f.c), 2) + 0.3 * pow((b.scalar - f.centre) / s, 2) + 0.2 * pow((greatest(f.high, b.scalar) - least(f.low, b.scalar)) / s, 2) AS cost FROM base b, c2 f, sc),
+a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, fine_id) AS rn FROM x) WHERE rn = 1),
+m2 AS (SELECT fine_id, i, avg(v) AS v FROM (SELECT fine_id, unnest(range(64)) AS i, unnest(emb) AS v FROM a2) GROUP BY ALL), s2 AS (SELECT fine_id, avg(scalar) AS centre, min(scalar) AS low, max(scalar) AS high, count(*) AS n FROM a2 GROUP BY fine_id),
+old AS (SELECT fine_id, unnest(range(64)) AS dim, unnest(c) AS v, centre, low, high FROM c2)"""
+
+
+@query(_SCALAR + """ SELECT o.fine_id, o.dim, round(coalesce(m2.v, o.v), 6) AS x, round(coalesce(s2.centre, o.centre), 6) AS centre, round(coalesce(s2.low, o.low), 6) AS low, round(coalesce(s2.high, o.high), 6) AS high, coalesce(s2.n, 0) AS n
+FROM old o LEFT JOIN m2 ON m2.fine_id = o.fine_id AND m2.i = o.dim LEFT JOIN s2 ON s2.fine_id = o.fine_id""")
+def kmeans_scalar_step(spark, d):
+    b = base(spark, d)
+    own = b.select(F.col("vec_id").cast("int").alias("fine_id"), F.col("scalar").alias("centre"), (F.col("scalar") - 5).alias("low"), (F.col("scalar") + 5).alias("high"))
+    c = kmeans.scalar_step(b, centroids(b, 32, "fine_id").join(own, "fine_id"), 0.3, 0.2, _scale(b))
+    return c.select("fine_id", F.posexplode("centroid").alias("dim", "x"), "centre", "low", "high", "n")
+
+
+def _rounds(n: int) -> str:
+    """SQL of n Lloyd rounds over the first 16 rows as starts: relations k0 to kn."""
+    sql = ", k0 AS (SELECT vec_id AS fine_id, emb AS c FROM base WHERE vec_id < 16)"
+    for i in range(n):
+        sql += f""", a{i} AS (SELECT vec_id, emb, fine_id FROM (SELECT b.vec_id, b.emb, f.fine_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(list_distance(b.emb, f.c), 12), f.fine_id) AS rn FROM base b, k{i} f) WHERE rn = 1),
+m{i} AS (SELECT fine_id, list(x ORDER BY i) AS c FROM (SELECT fine_id, i, avg(x) AS x FROM (SELECT fine_id, unnest(range(64)) AS i, unnest(emb) AS x FROM a{i}) GROUP BY ALL) GROUP BY fine_id),
+k{i + 1} AS (SELECT k.fine_id, coalesce(m.c, k.c) AS c FROM k{i} k LEFT JOIN m{i} m USING (fine_id))"""
+    return sql
+
+
+@query(_rounds(3) + " SELECT fine_id, unnest(range(64)) AS dim, round(unnest(c), 6) AS x FROM k3")
 def kmeans_fit(spark, d):
+    import numpy as np
+
+    b = base(spark, d)
+    start = np.array([r["centroid"] for r in centroids(b, 16, "fine_id").orderBy("fine_id").collect()])
+    fine = kmeans.fit(b, start, 3)
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fine)], "fine_id int, c array<double>").select("fine_id", F.posexplode("c").alias("dim", "x"))
+
+
+@query(None)
+def kmeans_two_level(spark, d):
     b = base(spark, d)
     two = kmeans.fit_two_level(b, 16, 4, rounds=5, plus_plus=True)
     return spark.createDataFrame([(i, int(p), [float(x) for x in c]) for i, (p, c) in enumerate(zip(two.parent, two.fine))], "fine_id int, coarse_id int, centroid array<double>")
@@ -354,7 +427,7 @@ ELSE least(s.cnt, ceil(round((SELECT sum(h.n * greatest(0, least(least(q.hi, dhi
 def _hits(b: DataFrame):
     dom = stats.domain(b)
     s = stats.synopsis(listed(b), *dom)
-    return s.crossJoin(F.broadcast(asked(b).drop("qvec"))), dom
+    return asked(b).drop("qvec").crossJoin(F.broadcast(s)), dom  # a row for each list
 
 
 @query(_HITS + " SELECT qid, fine_id, hit, round(least(1, hit / cnt), 6) AS selectivity FROM hits")
@@ -431,6 +504,49 @@ def adaptive_threshold(spark, d):
     return stats.adaptive_threshold(s, 2.0, 10.0, 5.0, 30.0)
 
 
+@query("""SELECT fine_id, qid, round(CASE WHEN sum(n) = 0 THEN 1 WHEN lo > hi THEN 0 ELSE (sum(CASE WHEN slot = 0 THEN (lo < 10)::INT * n WHEN slot = 33 THEN (hi > 60)::INT * n
+WHEN hi < 10 OR lo > 60 THEN 0 ELSE n * greatest(0, least(least(32, (hi - 10) * 0.64), slot) - greatest(greatest(0, (lo - 10) * 0.64), slot - 1)) END)) / sum(n) END, 6) AS selectivity
+FROM (SELECT fine_id, CASE WHEN scalar < 10 THEN 0 WHEN scalar > 60 THEN 33 ELSE least(31, greatest(0, floor((scalar - 10) * 32 / 50)))::BIGINT + 1 END AS slot, count(*) AS n FROM asg GROUP BY ALL), q GROUP BY fine_id, qid, lo, hi""".replace("sum(n) END", "sum(n) END"))
+def list_selectivity34(spark, d):
+    b = base(spark, d)
+    slots = stats.histogram_open(listed(b), *SHARED).groupBy("fine_id").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("n"))), F.lit(0)) for i in range(34)]).alias("hist"))
+    x = asked(b).crossJoin(F.broadcast(slots))
+    return x.select("fine_id", "qid", stats.selectivity_open("hist", F.col("range_min"), F.col("range_max"), *SHARED).alias("selectivity"))
+
+
+@query(_DRIFT + " SELECT round(greatest(0.05, least(0.2, avg(shift) + 0.5 * stddev_pop(shift))), 6) AS threshold FROM dr")
+def centroid_update_threshold(spark, d):
+    return stats.centroid_update_threshold(_drift(base(spark, d)))
+
+
+@query("SELECT fine_id, dim, round(sum(x), 6) AS total, count(*) AS n FROM (SELECT fine_id, unnest(range(64)) AS dim, unnest(emb) AS x FROM asg WHERE vec_id % 3 <> 0) GROUP BY ALL")
+def sums_subtract(spark, d):
+    rows = listed(base(spark, d))
+    whole = stats.change_sums(stats.sums(rows.where("vec_id % 2 = 0")), stats.sums(rows.where("vec_id % 2 = 1")))
+    return stats.change_sums(whole, stats.sums(rows.where("vec_id % 3 = 0")), -1)
+
+
+@query(_STEP + " SELECT f.fine_id, unnest(range(64)) AS dim, round(unnest(CASE WHEN f.fine_id % 2 = 0 THEN n1.c ELSE f.c END), 6) AS x FROM fine f JOIN new1 n1 USING (fine_id)")
+def refresh_dirty(spark, d):
+    b = base(spark, d)
+    fine = centroids(b, 32, "fine_id")
+    return stats.refresh_from_sums(fine, stats.sums(listed(b)), fine.where("fine_id % 2 = 0")).select("fine_id", F.posexplode("centroid").alias("dim", "x"))
+
+
+@query(_DRIFT + " SELECT round(avg(shift), 6) AS drift FROM dr")
+def graph_drift(spark, d):
+    b = base(spark, d)
+    fine = centroids(b, 32, "fine_id")
+    return spark.createDataFrame([(graph.drift_since(kmeans.lloyd_step_sql(b, fine), fine),)], "drift double")
+
+
+@query("SELECT x.vec_id, coalesce(v.value, -1.0) AS scalar FROM (SELECT vec_id + 7 AS vec_id FROM embeddings) x LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 0) v ON v.event_id = x.vec_id")
+def scalar_lookup(spark, d):
+    e, v = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("embeddings", "events"))
+    known = v.where("event_id % 2 = 0").select(F.col("event_id").alias("vec_id"), F.col("value").alias("scalar"))
+    return e.select((F.col("vec_id") + 7).alias("vec_id")).join(known, "vec_id", "left").select("vec_id", F.coalesce("scalar", F.lit(-1.0)).alias("scalar"))
+
+
 # --- routed search ---------------------------------------------------------
 
 _NEAR = ", nl AS (SELECT qid, fine_id, d, rank FROM (SELECT q.qid, f.fine_id, pow(list_distance(q.qv, f.c), 2) AS d, row_number() OVER (PARTITION BY q.qid ORDER BY list_distance(q.qv, f.c), f.fine_id) AS rank FROM q, fine f) WHERE rank <= {n})"
@@ -457,18 +573,65 @@ def two_level_search(spark, d):
     return scan.search_lists(_two(b, q), q, listed(b), K)
 
 
-_PRUNE = """, okl AS (SELECT tl.*, s.cnt IS NOT NULL AND NOT (q.hi < s.min_s OR q.lo > s.max_s) AS ok FROM tl JOIN q USING (qid) LEFT JOIN syn s USING (fine_id)),
-pr AS (SELECT qid, fine_id, d, rank FROM (SELECT *, max(ok::INT) OVER (PARTITION BY qid) AS any_ok FROM okl) WHERE ok OR any_ok = 0)"""
+_PRUNE = """, okl AS (SELECT q.qid, p.fine_id, pow(list_distance(q.qv, p.c), 2) AS d, s.cnt IS NOT NULL AND NOT (q.hi < s.min_s OR q.lo > s.max_s) AS ok FROM nc JOIN par p USING (coarse_id) JOIN q USING (qid) LEFT JOIN syn s USING (fine_id)),
+sh AS (SELECT *, sum(ok::INT) OVER (PARTITION BY qid) AS n_in, count(*) OVER (PARTITION BY qid) AS n_all FROM okl),
+pr AS (SELECT qid, fine_id, d, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), fine_id) AS rank FROM sh WHERE ok OR n_in = 0 OR n_all - n_in < 0.05 * n_all) WHERE rank <= 12)"""
 
 
 @query(_TWO + _PRUNE + _FOUND.format(lists="pr") + " " + TOP.format(src="found", k=K))
 def two_level_range_pruned(spark, d):
     b = base(spark, d)
     q, rows = asked(b), listed(b)
-    lists = route.prune(_two(b, q), q, stats.synopsis(rows, *stats.domain(b)))
+    lists = route.pruned_first(q, parents(b), centroids(b, 8, "coarse_id"), stats.synopsis(rows, *stats.domain(b)), 4, 12)
     return scan.search_lists(lists, q, rows, K)
 
 
+@query(_TWO + """, okl AS (SELECT tl.*, s.cnt IS NOT NULL AND NOT (q.hi < s.min_s OR q.lo > s.max_s) AS ok FROM tl JOIN q USING (qid) LEFT JOIN syn s USING (fine_id)),
+pr AS (SELECT qid, fine_id, d, rank FROM (SELECT *, max(ok::INT) OVER (PARTITION BY qid) AS any_ok FROM okl) WHERE ok OR any_ok = 0) SELECT qid, fine_id, rank FROM pr""")
+def pruned_lists(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    return route.prune(_two(b, q), q, stats.synopsis(listed(b), *stats.domain(b))).select("qid", "fine_id", "rank")
+
+
+_SMALL = _NEAR.format(n=8) + ", sm AS (SELECT nl.qid, nl.fine_id, nl.d, row_number() OVER (PARTITION BY nl.qid ORDER BY s.n, nl.rank) AS rank FROM nl JOIN sizes s USING (fine_id))"
+
+
+@query(_SMALL + " SELECT qid, fine_id, rank FROM sm")
+def smallest_first_lists(spark, d):
+    b = base(spark, d)
+    fine = centroids(b, 32, "fine_id")
+    return route.smallest_first(route.nearest_lists(asked(b), fine, 8), stats.list_sizes(listed(b), fine)).select("qid", "fine_id", "rank")
+
+
+_STOPPED = """, sz AS (SELECT qid, fine_id, rank, count(*) AS size FROM found GROUP BY ALL),
+go AS (SELECT qid, fine_id FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given, max(rank) OVER (PARTITION BY qid) AS lists FROM sz) WHERE given < {n} OR rank - 1 < {share} * lists),
+kept AS (SELECT f.* FROM found f JOIN go USING (qid, fine_id))"""
+
+
+@query(_SMALL + _FOUND.format(lists="sm") + _STOPPED.format(n=30, share=0) + " " + TOP.format(src="kept", k=K))
+def single_level_search(spark, d):
+    b = base(spark, d)
+    rows, fine = listed(b), centroids(b, 32, "fine_id")
+    return scan.single_level(asked(b), fine, rows, stats.list_sizes(rows, fine), K, 8, 30)
+
+
+@query(_NEAR.format(n=8) + _FOUND.format(lists="nl") + _STOPPED.format(n=5, share=0.5) + " SELECT qid, fine_id, vec_id, round(dist, 6) AS dist FROM kept")
+def mid_filter_scan(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    found = scan.list_rows(route.nearest_lists(q, centroids(b, 32, "fine_id"), 8), q, listed(b))
+    return scan.stop_after(found, 5, 0.5).select("qid", "fine_id", "vec_id", "dist")
+
+
+@query(_NEAR.format(n=8) + _FOUND.format(lists="nl") + " SELECT qid, vec_id, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM found) WHERE r <= 20")
+def trimmed_scan(spark, d):
+    b = base(spark, d)
+    q = asked(b)
+    found = scan.list_rows(route.nearest_lists(q, centroids(b, 32, "fine_id"), 8), q, listed(b))
+    return scan.trim(found, 20).select("qid", "vec_id", "dist")
+
+
 @query(_TWO + _NEAR.format(n=5) + """, ids AS (SELECT nc.qid, p.fine_id FROM nc JOIN par p USING (coarse_id) UNION SELECT qid, fine_id FROM nl),
 un AS (SELECT i.qid, i.fine_id, 1 AS rank FROM ids i)""" + _FOUND.format(lists="un") + " " + TOP.format(src="found", k=K))
 def candidate_union_search(spark, d):
@@ -512,8 +675,9 @@ def early_stop_lists(spark, d):
     return scan.stop_after(found, 15).select("qid", "fine_id", "vec_id", "dist")
 
 
-_SCORED = _UTIL + _NEAR.format(n=8) + """, sco AS (SELECT l.qid, l.fine_id, l.d, l.rank, CASE WHEN coalesce(u.u, 0) = 0 AND s.cnt IS NOT NULL AND NOT (q.hi < s.min_s OR q.lo > s.max_s) THEN 0.005 ELSE coalesce(u.u, 0) END AS utility
+_SCO = """, sco AS (SELECT l.qid, l.fine_id, l.d, l.rank, CASE WHEN coalesce(u.u, 0) = 0 AND s.cnt IS NOT NULL AND NOT (q.hi < s.min_s OR q.lo > s.max_s) THEN 0.005 ELSE coalesce(u.u, 0) END AS utility
 FROM nl l JOIN q USING (qid) LEFT JOIN syn s USING (fine_id) LEFT JOIN util u ON u.qid = l.qid AND u.fine_id = l.fine_id)"""
+_SCORED = _UTIL + _NEAR.format(n=8) + _SCO
 
 
 def _scored(b: DataFrame, q: DataFrame) -> DataFrame:
@@ -534,30 +698,62 @@ def utility_rerank(spark, d):
 
 
 @query(""", r AS (SELECT q.qid, k.coarse_id, pow(list_distance(q.qv, k.c), 2) AS d, row_number() OVER (PARTITION BY q.qid ORDER BY list_distance(q.qv, k.c), k.coarse_id) AS rank FROM q, coarse k)
-SELECT r.qid, sum((r.rank BETWEEN 4 AND 6 AND r.d <= l.d * 1.1)::INT)::BIGINT AS extra FROM r JOIN r l ON l.qid = r.qid AND l.rank = 3 GROUP BY r.qid""")
+SELECT l.qid, CASE WHEN n.d - l.d <= 0.05 * greatest(1, l.d) THEN 2 ELSE 0 END::BIGINT AS extra FROM r l JOIN r n ON n.qid = l.qid AND n.rank = 4 WHERE l.rank = 3""")
 def adaptive_fanout(spark, d):
     b = base(spark, d)
-    return route.fan_out(route.nearest_lists(asked(b), centroids(b, 8, "coarse_id"), 8, "coarse_id"), 3, ratio=0.1)
+    return route.fan_out(route.nearest_lists(asked(b), centroids(b, 8, "coarse_id"), 8, "coarse_id"), 3, rows=8_600_000, ratio=0.05)
 
 
-@query(None)
+@query(_UTIL + _NEAR.format(n=16) + _SCO + """, g AS (SELECT qid, avg((utility > 0)::INT) AS overlap, avg((utility > 0.0051)::INT) AS positive, max(utility) / greatest(1e-6, avg(utility)) AS contrast FROM sco WHERE (rank - 1) % 3 = 0 AND (rank - 1) // 3 < 5 GROUP BY qid),
+g2 AS (SELECT *, NOT (overlap > 0.85 OR positive > 0.65 OR (overlap > 0.70 AND contrast < 1.30)) AS aware FROM g),
+fl AS (SELECT l.qid, avg((s.cnt IS NOT NULL AND NOT (q.hi < s.min_s OR q.lo > s.max_s))::INT) > 0.90 AS flat FROM nl l JOIN q USING (qid) LEFT JOIN syn s USING (fine_id) WHERE l.rank <= 8 GROUP BY l.qid)
+SELECT qid, round(overlap, 6) AS overlap, round(positive, 6) AS positive, round(contrast, 6) AS contrast, aware, aware AND overlap <= 0.80 AS prune, flat FROM g2 JOIN fl USING (qid)""", width=3)
 def filter_gate(spark, d):
     b = base(spark, d)
-    q, dom = asked(b), stats.domain(b)
-    gate = route.filter_gate(route.nearest_lists(q, centroids(b, 32, "fine_id"), 16), q, stats.synopsis(listed(b), *dom), *dom)
-    return gate.join(route.choose_flat(gate), "qid")
+    q, dom = asked(b, width=3), stats.domain(b)
+    lists, syn = route.nearest_lists(q, centroids(b, 32, "fine_id"), 16), stats.synopsis(listed(b), *dom)
+    return route.filter_gate(lists, q, syn, *dom, sample=5).join(route.choose_flat(lists, q, syn, 8), "qid")
+
+
+_TARGETED = _HITS + _NEAR.format(n=8) + _FOUND.format(lists="nl") + """, sn AS (SELECT nl.qid, nl.fine_id, nl.rank, greatest(1, coalesce(h.cnt, 0)) AS cnt, coalesce(h.hit, 0) AS hit, h.cnt IS NOT NULL AND NOT (h.hi < h.min_s OR h.lo > h.max_s) AS over FROM nl LEFT JOIN hits h ON h.qid = nl.qid AND h.fine_id = nl.fine_id),
+ga AS (SELECT qid, avg(over::INT) <= 0.85 AND avg((hit > 0)::INT) <= 0.65 AS pays, 60.0::DOUBLE / count(*) AS mean FROM sn GROUP BY qid),
+t1 AS (SELECT sn.*, mean, exp(-(rank - 1) / 48.0::DOUBLE) AS decay FROM sn JOIN ga USING (qid) WHERE pays), t2 AS (SELECT *, greatest(8, mean * decay, 3 * sqrt(hit) + 4) AS wanted FROM t1),
+t3 AS (SELECT *, ceil(round(least(cnt, wanted), 9))::BIGINT AS base, ceil(round(least(cnt, greatest(wanted, 2 * hit + 16, 3 * mean)), 9))::BIGINT AS cap, decay * ln(1 + hit) * sqrt(least(1, hit / cnt)) * cnt / (cnt + 32) AS gain FROM t2),
+t4 AS (SELECT *, sum(base) OVER w AS spent, sum(gain) OVER w AS mass FROM t3 WINDOW w AS (PARTITION BY qid)),
+dn AS (SELECT *, greatest(1, floor(round(base * 60 / spent, 9)))::BIGINT AS b1 FROM t4 WHERE spent > 60),
+dn2 AS (SELECT *, sum(b1) OVER (PARTITION BY qid) - 60 AS much, CASE WHEN b1 > 1 THEN sum((b1 > 1)::INT) OVER (PARTITION BY qid ORDER BY rank) END AS turn FROM dn),
+up AS (SELECT *, CASE WHEN cap > base AND gain > 0 THEN round((60 - spent) * gain / mass, 9) END AS share FROM t4 WHERE spent <= 60),
+up2 AS (SELECT *, CASE WHEN share IS NULL THEN 0 ELSE least(cap - base, floor(share))::BIGINT END AS more FROM up),
+up3 AS (SELECT *, 60 - spent - sum(more) OVER (PARTITION BY qid) AS rest, row_number() OVER (PARTITION BY qid ORDER BY share IS NULL, -(share - more), rank) AS turn FROM up2),
+one AS (SELECT qid, fine_id, rest, row_number() OVER (PARTITION BY qid ORDER BY t, turn) AS nth FROM (SELECT qid, fine_id, rest, turn, unnest(range(cap - base - more)) AS t FROM up3 WHERE share IS NOT NULL)),
+ex AS (SELECT qid, fine_id, count(*) AS extra FROM one WHERE nth <= rest GROUP BY ALL),
+bud AS (SELECT qid, fine_id, 60 AS budget FROM sn JOIN ga USING (qid) WHERE NOT pays UNION ALL SELECT qid, fine_id, b1 - coalesce(turn <= much, false)::INT FROM dn2
+UNION ALL SELECT u.qid, u.fine_id, u.base + u.more + coalesce(ex.extra, 0) FROM up3 u LEFT JOIN ex ON ex.qid = u.qid AND ex.fine_id = u.fine_id)"""
+
+
+@query(_TARGETED + " SELECT qid, fine_id, budget::BIGINT AS budget FROM bud", width=3)
+def targeted_budgets(spark, d):
+    return _budgets(base(spark, d))[2]
+
+
+def _budgets(b: DataFrame):
+    q, dom = asked(b, width=3), stats.domain(b)
+    lists, rows = route.nearest_lists(q, centroids(b, 32, "fine_id"), 8), listed(b)
+    seen = route.with_synopsis(lists, q, stats.synopsis(rows, *dom))
+    low, high = F.col("range_min"), F.col("range_max")
+    seen = seen.withColumn("hit", stats.hit_estimate(low, high, *dom)).withColumn("over", F.col("cnt").isNotNull() & stats.overlaps(low, high))
+    return lists, scan.list_rows(lists, q, rows), scan.targeted(seen, 60)
 
 
-@query(None)
+@query(_TARGETED + """, sz AS (SELECT qid, fine_id, rank, count(*) AS size FROM found GROUP BY ALL),
+acc AS (SELECT sz.*, sum(size) OVER w AS s, least(60, sum(budget) OVER w) AS b FROM sz JOIN bud USING (qid, fine_id) WINDOW w AS (PARTITION BY qid ORDER BY rank)),
+dn3 AS (SELECT *, s + least(0, min(b - s) OVER (PARTITION BY qid ORDER BY rank)) AS done FROM acc),
+tk AS (SELECT qid, fine_id, done - coalesce(lag(done) OVER (PARTITION BY qid ORDER BY rank), 0) AS take FROM dn3),
+kept AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY qid, fine_id ORDER BY scalar, vec_id) AS nth FROM found) f JOIN tk USING (qid, fine_id) WHERE nth <= take)
+SELECT qid, fine_id, vec_id, round(dist, 6) AS dist FROM kept""", width=3)
 def targeted_budget_scan(spark, d):
-    b = base(spark, d)
-    q, dom = asked(b), stats.domain(b)
-    lists = route.nearest_lists(q, centroids(b, 32, "fine_id"), 8)
-    rows = listed(b)
-    seen = route.with_synopsis(lists, q, stats.synopsis(rows, *dom))
-    hit = stats.hit_estimate(F.col("range_min"), F.col("range_max"), *dom)
-    budgets = scan.targeted(seen.where("cnt IS NOT NULL").withColumn("hit", hit), 60)
-    return scan.prefix_budgeted(scan.list_rows(lists, q, rows), budgets, 60).select("qid", "fine_id", "vec_id", "dist")
+    _, found, budgets = _budgets(base(spark, d))
+    return scan.prefix_budgeted(found, budgets, 60).select("qid", "fine_id", "vec_id", "dist")
 
 
 _STATS = _NEAR.format(n=8) + _FOUND.format(lists="nl") + """, st AS (SELECT nl.qid, count(DISTINCT nl.fine_id) AS lists, count(DISTINCT f.fine_id) AS lists_hit, count(f.vec_id) AS distances FROM nl LEFT JOIN found f USING (qid, fine_id) GROUP BY nl.qid)"""
@@ -692,7 +888,85 @@ def spaced_sample(spark, d):
     return mutate.evenly_spaced(rows, rows.groupBy("fine_id").agg(F.count(F.lit(1)).alias("n")), 4).select("fine_id", "vec_id", "pos")
 
 
-@query(None)
+@query(_STEP + """, st AS (SELECT b.vec_id AS part, emb AS c FROM asg b WHERE fine_id = 3 AND vec_id IN (SELECT vec_id FROM asg WHERE fine_id = 3 ORDER BY vec_id LIMIT 2)),
+p1 AS (SELECT * FROM (SELECT a.vec_id, a.emb, st.part, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.emb, st.c), 12), st.part) AS rn FROM asg a, st WHERE a.fine_id = 3) WHERE rn = 1),
+sc2 AS (SELECT part, list(x ORDER BY i) AS c FROM (SELECT part, i, avg(x) AS x FROM (SELECT part, unnest(range(64)) AS i, unnest(emb) AS x FROM p1) GROUP BY ALL) GROUP BY part),
+tg AS (SELECT part, fine_id AS to_id FROM (SELECT sc2.part, f.fine_id, row_number() OVER (PARTITION BY sc2.part ORDER BY round(list_distance(sc2.c, f.c), 12), f.fine_id) AS rn FROM sc2, fine f) WHERE rn = 1),
+p2 AS (SELECT * FROM (SELECT a.vec_id, s.part, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.emb, s.c), 12), s.part) AS rn FROM asg a, sc2 s WHERE a.fine_id = 3) WHERE rn = 1)
+SELECT vec_id, 3::BIGINT AS fine_id, to_id FROM p2 JOIN tg USING (part) WHERE to_id <> 3""")
+def local_recluster(spark, d):
+    import numpy as np
+
+    b = base(spark, d)
+    rows = listed(b)
+    start = np.array([r["embedding"] for r in rows.where("fine_id = 3").orderBy("vec_id").limit(2).collect()])
+    return mutate.local_recluster(rows, centroids(b, 32, "fine_id"), 3, 2, 1, start)
+
+
+_COARSE = _STEP + """, mp AS (SELECT fine_id, c, coarse_id FROM (SELECT n1.fine_id, n1.c, k.coarse_id, row_number() OVER (PARTITION BY n1.fine_id ORDER BY round(list_distance(n1.c, k.c), 12), k.coarse_id) AS rn FROM new1 n1, coarse k) WHERE rn = 1),
+mv AS (SELECT max(list_distance(n1.c, f.c)) > 0.1 OR avg(list_distance(n1.c, f.c)) > 0.05 AS go FROM fine f JOIN new1 n1 USING (fine_id)),
+mm AS (SELECT coarse_id, i, avg(x) AS x FROM (SELECT coarse_id, unnest(range(64)) AS i, unnest(c) AS x FROM mp) GROUP BY ALL)"""
+
+
+@query(_COARSE + " SELECT o.coarse_id, o.dim, round(CASE WHEN go THEN coalesce(mm.x, o.x) ELSE o.x END, 6) AS x FROM (SELECT coarse_id, unnest(range(64)) AS dim, unnest(c) AS x FROM coarse) o CROSS JOIN mv LEFT JOIN mm ON mm.coarse_id = o.coarse_id AND mm.i = o.dim")
+def coarse_update(spark, d):
+    b = base(spark, d)
+    fine = centroids(b, 32, "fine_id")
+    new, _ = mutate.coarse_from_fine(kmeans.lloyd_step_sql(b, fine).select("fine_id", "centroid"), fine, centroids(b, 8, "coarse_id"))
+    return new.select("coarse_id", F.posexplode("centroid").alias("dim", "x"))
+
+
+def _index(spark, b: DataFrame):
+    import numpy as np
+
+    from rangevec.plans.index import RangeIndex
+
+    fine = np.array([r["centroid"] for r in centroids(b, 32, "fine_id").orderBy("fine_id").collect()])
+    return RangeIndex(spark, n_fine=32, n_coarse=8, n_probe=32, n_probe_coarse=8).train_with(fine)
+
+
+_REPLACED = """, nw AS (SELECT vec_id, fine_id, CASE WHEN vec_id % 5 = 0 THEN scalar / 2 ELSE scalar END AS scalar FROM asg)"""
+
+
+@query(_REPLACED + " SELECT fine_id, count(*) AS cnt, round(min(scalar), 6) AS min_s, round(max(scalar), 6) AS max_s, round(sum(scalar), 4) AS total FROM nw GROUP BY fine_id")
+def replaced_synopsis(spark, d):
+    b = base(spark, d).select("vec_id", "embedding", "scalar")
+    index = _index(spark, b).add(b)
+    index.add(b.where("vec_id % 5 = 0").withColumn("scalar", F.col("scalar") / 2), replace=True)
+    return index.synopsis.select("fine_id", "cnt", "min_s", "max_s", F.round(F.col("cnt") * F.col("mean_s"), 4).alias("total"))
+
+
+@query(_REPLACED + ", pn AS (SELECT q.qid, b.vec_id, list_distance(q.qv, b.emb) AS dist FROM q, base b JOIN nw USING (vec_id) WHERE nw.scalar BETWEEN q.lo AND q.hi AND b.vec_id % 9 <> 0) " + TOP.format(src="pn", k=K))
+def insert_replace(spark, d):
+    b = base(spark, d).select("vec_id", "embedding", "scalar")
+    index = _index(spark, b).add(b.where("vec_id % 2 = 0")).add(b.where("vec_id % 2 = 1"))
+    index.add(b.where("vec_id % 5 = 0").withColumn("scalar", F.col("scalar") / 2), replace=True)
+    return index.remove(b.where("vec_id % 9 = 0").select("vec_id")).search(asked(base(spark, d)), K)
+
+
+@query("SELECT 0::BIGINT AS vec_id, round(scalar, 6) AS scalar FROM base WHERE vec_id = 0 UNION ALL SELECT row_number() OVER (ORDER BY scalar), round(scalar, 6) FROM base WHERE vec_id > 0")
+def auto_ids(spark, d):
+    b = base(spark, d).select("vec_id", "embedding", "scalar")
+    index = _index(spark, b).add(b.where("vec_id = 0").drop("vec_id")).add(b.where("vec_id > 0").drop("vec_id"))
+    return index.rows.select("vec_id", "scalar")
+
+
+@query("SELECT vec_id FROM asg WHERE fine_id = 3 AND scalar BETWEEN 10 AND 60")
+def list_ids_in_range(spark, d):
+    b = base(spark, d).select("vec_id", "embedding", "scalar")
+    return _index(spark, b).add(b).ids_of(3, *SHARED)
+
+
+_SOFT = """, wt AS (SELECT p.*, greatest(1, s.n)::DOUBLE AS w FROM par p JOIN sizes s USING (fine_id)), rad AS (SELECT sqrt(sum(w * d2) / sum(w)) AS radius FROM wt),
+tgt AS (SELECT coarse_id, list(x ORDER BY i) AS t FROM (SELECT coarse_id, i, sum(w * x) / sum(w) AS x FROM (SELECT coarse_id, w, unnest(range(64)) AS i, unnest(c) AS x FROM wt) GROUP BY ALL) GROUP BY coarse_id),
+cw AS (SELECT k.coarse_id, k.c, coalesce(t.t, k.c) AS t, coalesce(x.w, 1) AS w FROM coarse k LEFT JOIN tgt t USING (coarse_id) LEFT JOIN (SELECT coarse_id, sum(w) AS w FROM wt GROUP BY coarse_id) x USING (coarse_id)),
+sf AS (SELECT sum(w * list_distance(c, t)) / sum(w) AS shift FROM cw),
+nk AS (SELECT coarse_id, CASE WHEN shift / greatest(radius, 1e-6) >= 0.06 THEN list_transform(list_zip(c, t), lambda p: p[1] + 0.35 * (p[2] - p[1])) ELSE c END AS c FROM cw, sf, rad),
+bst AS (SELECT fine_id, coarse_id AS best, b2 FROM (SELECT f.fine_id, k.coarse_id, pow(list_distance(f.c, k.c), 2) AS b2, row_number() OVER (PARTITION BY f.fine_id ORDER BY round(list_distance(f.c, k.c), 12), k.coarse_id) AS rn FROM fine f, nk k) WHERE rn = 1),
+own AS (SELECT p.fine_id, p.coarse_id, pow(list_distance(p.c, k.c), 2) AS o2 FROM par p JOIN nk k USING (coarse_id))"""
+
+
+@query(_SOFT + " SELECT fine_id, CASE WHEN o2 - b2 > pow(0.04 * radius, 2) AND (o2 - b2) / greatest(1e-12, o2) >= 0.12 THEN best ELSE coarse_id END AS coarse_id FROM own JOIN bst USING (fine_id) CROSS JOIN rad")
 def soft_reconcile(spark, d):
     b = base(spark, d)
     fines = parents(b).join(stats.list_sizes(listed(b), centroids(b, 32, "fine_id")), "fine_id")
@@ -732,6 +1006,15 @@ def pq_adc_topk(spark, d):
     return search.top_k(found.drop("rnk"), K).select("qid", "rnk", "vec_id", "dist")
 
 
+@query(_BOOK + """, dc AS (SELECT e.vec_id, list(x ORDER BY e.seg, i) AS v FROM (SELECT e.vec_id, e.seg, unnest(range(8)) AS i, unnest(k.sub) AS x FROM enc e JOIN book k USING (seg, code)) e GROUP BY e.vec_id)
+SELECT vec_id, unnest(range(64)) AS dim, round(unnest(CASE WHEN vec_id % 2 = 0 THEN emb ELSE v END), 6) AS x FROM base JOIN dc USING (vec_id)""")
+def row_vectors(spark, d):
+    b = base(spark, d)
+    book = _book(b)
+    some = b.withColumn("embedding", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")))
+    return pq.row_vectors(some, pq.encode(b, book, 8), book).select("vec_id", F.posexplode("embedding").alias("dim", "x"))
+
+
 # --- evaluation ------------------------------------------------------------
 
 
@@ -754,8 +1037,28 @@ def groundtruth_by_size(spark, d):
     return store.groundtruth(sized, 390).select("qid", "rnk", "vec_id")
 
 
-@query(None)
+_TUNED = """, z AS (SELECT (SELECT count(*) FROM base) AS n, avg(n)::DOUBLE * 100 AS mean, max(n)::DOUBLE * 100 AS most FROM sizes),
+pp AS (SELECT * FROM (VALUES ('balanced', 0.5::DOUBLE, 0.5::DOUBLE), ('recall', 0.7::DOUBLE, 0.3::DOUBLE), ('speed', 0.4::DOUBLE, 0.7::DOUBLE)) t(preset, target, w), (VALUES (NULL::DOUBLE), (0.2::DOUBLE), (0.45::DOUBLE), (0.65::DOUBLE), (0.95::DOUBLE)) r(recall), z),
+q1 AS (SELECT *, CASE WHEN n > 100 THEN trunc(10 * (1 + ln(n / 100.0::DOUBLE) / ln(20))) ELSE 10 END AS p1 FROM pp), q2 AS (SELECT *, CASE WHEN mean > 1000 THEN trunc(p1 * (1 + (mean - 1000) / 2000)) ELSE p1 END AS p2 FROM q1),
+q3 AS (SELECT *, greatest(10, least(CASE WHEN most / mean > 2 THEN trunc(p2 * (1 + 0.1::DOUBLE * (most / mean - 2))) ELSE p2 END, 100)) AS p FROM q2),
+q4 AS (SELECT *, CASE WHEN recall > target + 0.1::DOUBLE THEN CASE WHEN recall > 0.9 THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END ELSE 1 END AS share, CASE WHEN recall IS NULL THEN 1 WHEN recall < 0.3 THEN 1 + 2 * (0.3::DOUBLE - recall) WHEN recall < target THEN 1 + 0.5::DOUBLE * (target - recall)
+  WHEN recall <= target + 0.1::DOUBLE OR w < 0.5 THEN 1 WHEN recall > 0.9 THEN greatest(0.5::DOUBLE, 1 - (recall - target - 0.1::DOUBLE) * CASE WHEN w > 0.5 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END)
+  ELSE greatest(0.8::DOUBLE, 1 - (recall - target - 0.1::DOUBLE) * CASE WHEN w > 0.5 THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END) END AS f FROM q3)
+SELECT preset, recall, p::BIGINT AS n_probe, greatest(2000, least(50000, trunc(trunc(trunc(5000 * (1 + (p / 10 - 1) * share)) * f) * (1 + greatest(0, mean - 1000) / 3000))))::BIGINT AS budget FROM q4"""
+
+
+@query(_TUNED)
 def tuned_params(spark, d):
     b = base(spark, d)
     s = stats.size_stats(stats.list_sizes(listed(b), centroids(b, 32, "fine_id"))).first()
-    return tuning.table(spark, b.count(), s["avg_n"], s["max_n"])
+    return tuning.table(spark, b.count(), s["avg_n"] * 100, s["max_n"] * 100, (None, 0.2, 0.45, 0.65, 0.95), max_probe=100, max_budget=50_000, first_size=100)
+
+
+@query(""", g AS (SELECT n, m, (CASE WHEN n > 100000 THEN 1 + (n - 100000) / 100000 * 0.15 WHEN n > 50000 THEN 1 + (n - 50000) / 100000 * 0.10 WHEN n > 20000 THEN 1 + (n - 20000) / 100000 * 0.05 ELSE 1 END)::DOUBLE AS gp,
+(CASE WHEN n > 100000 THEN 1 + (n - 100000) / 100000 * 0.05 WHEN n > 50000 THEN 1 + (n - 50000) / 100000 * 0.03 ELSE 1 END)::DOUBLE AS gm, (CASE WHEN n > 100000 THEN 1 + (n - 100000) / 100000 * 0.15 WHEN n > 50000 THEN 1 + (n - 50000) / 100000 * 0.12 WHEN n > 20000 THEN 1 + (n - 20000) / 100000 * 0.08 ELSE 1 END)::DOUBLE AS gb
+FROM (VALUES (0::DOUBLE), (15000::DOUBLE), (37000::DOUBLE), (83000::DOUBLE), (254000::DOUBLE)) a(n), (VALUES (300::DOUBLE), (910::DOUBLE), (2570::DOUBLE)) b(m))
+SELECT n::BIGINT AS n, m AS mean_list, CASE WHEN n = 0 THEN 8 ELSE least(32, CASE WHEN m > 500 THEN trunc(trunc(8 * gp) * (1 + (m - 500) / 2000 * 0.05::DOUBLE)) ELSE trunc(8 * gp) END) END::BIGINT AS two_level,
+CASE WHEN n = 0 THEN 8 ELSE least(60, trunc(trunc(10 * (1 + greatest(0, m - 500) / 2000)) * gp)) END::BIGINT AS single_level, CASE WHEN n = 0 THEN 8 ELSE least(40, trunc(trunc(10 * gm) * (1 + greatest(0, m - 1500) / 5000))) END::BIGINT AS single_mid,
+least(6000, trunc(250 * gb))::BIGINT AS budget, least(3000, trunc(150 * gb))::BIGINT AS budget_mid FROM g""")
+def probe_rules(spark, d):
+    return tuning.rules(spark, (0, 15_000, 37_000, 83_000, 254_000), (300.0, 910.0, 2570.0))

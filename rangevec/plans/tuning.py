@@ -49,9 +49,17 @@ def scan_budget(k: int, n: int, mid: bool = False, base: int = 0) -> int:
     return max(1, min(int(max(base, floor) * growth(n, BUDGET_GROWTH)), 3000 if mid else 6000))
 
 
+# Target recall and weight of speed of each preset; growth of probes and budgets; feedback of recall.
+PRESETS = {"balanced": (0.5, 0.5), "recall": (0.7, 0.3), "speed": (0.4, 0.7)}
+SIZE_LOG, LONG_LIST, PROBE_LIST, BUDGET_LIST, UNEVEN, UNEVEN_RATE = 20, 1000, 2000, 3000, 2.0, 0.1
+FAR_BELOW, BELOW, MARGIN, HIGH = 2.0, 0.5, 0.1, 0.9
+#: By whether recall is above HIGH: lowest factor, cut with and without a preference for speed, share of the probes' factor that counts.
+ABOVE = {True: (0.5, 0.5, 0.3, 0.2), False: (0.8, 0.3, 0.15, 0.5)}
+
+
 @dataclass
 class Controller:
-    """Probe and budget for each query batch, with feedback from measured recall and speed."""
+    """Probe and budget for each query batch, with feedback from measured recall and speed. Values are cut to integers after each factor."""
 
     base_probe: int = 10
     min_probe: int = 10
@@ -62,42 +70,51 @@ class Controller:
     target_recall: float = 0.5
     min_recall: float = 0.3
     speed_weight: float = 0.5
-    first_size: int = 1000
+    first_size: int = 10_000
     recalls: list = field(default_factory=list)
     speeds: list = field(default_factory=list)
     probes: list = field(default_factory=list)
     budgets: list = field(default_factory=list)
 
-    PRESETS = {"balanced": {}, "recall": {"target_recall": 0.9, "min_recall": 0.6, "speed_weight": 0.2, "max_probe": 100, "max_budget": 50_000}, "speed": {"target_recall": 0.4, "min_recall": 0.2, "speed_weight": 0.8}}
-
     @classmethod
-    def preset(cls, name: str) -> Controller:
-        return cls(**cls.PRESETS[name])
+    def preset(cls, name: str, **options) -> Controller:
+        target, speed = PRESETS[name]
+        return cls(**({"target_recall": target, "speed_weight": speed} | options))
 
     def probe(self, n: int, mean_list: float, max_list: float) -> int:
-        x = float(self.base_probe)
+        factors = []
         if n > self.first_size:
-            x *= 1 + math.log(n / self.first_size) / math.log(20)
-        if mean_list > 1000:
-            x *= 1 + (mean_list - 1000) / 2000
-        if mean_list > 0 and max_list / mean_list > 2:
-            x *= 1 + 0.1 * (max_list / mean_list - 2)
-        return int(min(self.max_probe, max(self.min_probe, x)))
+            factors.append(1 + math.log(n / self.first_size) / math.log(SIZE_LOG))
+        if mean_list > LONG_LIST:
+            factors.append(1 + (mean_list - LONG_LIST) / PROBE_LIST)
+        if mean_list > 0 and max_list / mean_list > UNEVEN:
+            factors.append(1 + UNEVEN_RATE * (max_list / mean_list - UNEVEN))
+        x = self.base_probe
+        for f in factors:
+            x = int(x * f)
+        return max(self.min_probe, min(x, self.max_probe))
+
+    def feedback(self, recall: float | None) -> tuple[float, float]:
+        """The budget's factor by recall, and the share of the probes' growth that counts."""
+        if recall is None:
+            return 1.0, 1.0
+        if recall < self.min_recall:
+            return 1 + FAR_BELOW * (self.min_recall - recall), 1.0
+        if recall < self.target_recall:
+            return 1 + BELOW * (self.target_recall - recall), 1.0
+        if recall <= self.target_recall + MARGIN:
+            return 1.0, 1.0
+        least, fast, fair, share = ABOVE[recall > HIGH]
+        cut = 0.0 if self.speed_weight < 0.5 else fast if self.speed_weight > 0.5 else fair
+        return (max(least, 1 - cut * (recall - self.target_recall - MARGIN)) if cut else 1.0), share
 
     def budget(self, probe: int, mean_list: float, recall: float | None = None) -> int:
-        recall_factor, probe_factor = 1.0, probe / self.base_probe
-        if recall is not None:
-            high = recall - self.target_recall - 0.1
-            if recall < self.min_recall:
-                recall_factor = 1 + 2 * (self.min_recall - recall)
-            elif recall < self.target_recall:
-                recall_factor = 1 + 0.5 * (self.target_recall - recall)
-            elif high > 0 and self.speed_weight >= 0.5:
-                fast = self.speed_weight > 0.5
-                recall_factor = max(0.5, 1 - high * (0.5 if fast else 0.3)) if recall > 0.9 else max(0.8, 1 - high * (0.3 if fast else 0.15))
-                probe_factor = 1 + (probe_factor - 1) * (0.2 if recall > 0.9 else 0.5)
-        size_factor = 1 + max(0.0, mean_list - 1000) / 3000
-        return int(min(self.max_budget, max(self.min_budget, self.base_budget * probe_factor * recall_factor * size_factor)))
+        by_recall, share = self.feedback(recall)
+        long = 1 + max(0.0, mean_list - LONG_LIST) / BUDGET_LIST
+        x = self.base_budget
+        for f in (1 + (probe / self.base_probe - 1) * share, by_recall, long):
+            x = int(x * f)
+        return max(self.min_budget, min(x, self.max_budget))
 
     def next(self, n: int, mean_list: float, max_list: float) -> tuple[int, int]:
         probe = self.probe(n, mean_list, max_list)
@@ -125,10 +142,20 @@ class Controller:
             getattr(self, name).clear()
 
 
-def table(spark: SparkSession, n: int, mean_list: float, max_list: float) -> DataFrame:
+def table(spark: SparkSession, n: int, mean_list: float, max_list: float, recalls: tuple = (None,), **options) -> DataFrame:
+    """Probes and budgets of each preset, for each of the recalls that may have been measured last."""
     rows = []
-    for name in Controller.PRESETS:
-        c = Controller.preset(name)
-        probe, budget = c.next(n, mean_list, max_list)
-        rows.append((name, probe, budget, two_level_probe(10, n, mean_list, 8), scan_budget(10, n)))
-    return spark.createDataFrame(rows, "preset string, n_probe int, budget int, two_level_probe int, scan_budget int")
+    for name in PRESETS:
+        for recall in recalls:
+            c = Controller.preset(name, **options)
+            if recall is not None:
+                c.observe(recall, 0.0)
+            probe, budget = c.next(n, mean_list, max_list)
+            rows.append((name, recall, probe, budget))
+    return spark.createDataFrame(rows, "preset string, recall double, n_probe int, budget int")
+
+
+def rules(spark: SparkSession, sizes: tuple, means: tuple, base: int = 8, k: int = 100, lists: int = 200, n_coarse: int = 64) -> DataFrame:
+    """Probes and budgets by table size and mean list size."""
+    rows = [(n, m, two_level_probe(base, n, m, n_coarse), single_level_probe(base, n, m, lists), single_level_probe(base, n, m, lists, True), scan_budget(k, n), scan_budget(k, n, True)) for n in sizes for m in means]
+    return spark.createDataFrame(rows, "n long, mean_list double, two_level int, single_level int, single_mid int, budget int, budget_mid int")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; without one (tests, one machine) a folder of our own, noted in the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rangevec.scratch.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), f"rangevec-{uuid.uuid4().hex}")
         spark.conf.set("spark.rangevec.scratch.dir", found)

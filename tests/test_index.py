@@ -277,3 +277,126 @@ def test_controller():
     assert tuning.single_level_probe(10, 0, 0, 100) == 10 and tuning.single_level_probe(1, 10, 1, 100) == 5 and tuning.single_level_probe(90, 10, 1, 100) == 30
     assert tuning.single_level_probe(10, 200_000, 2500, 100) == 23 and tuning.single_level_probe(10, 200_000, 6500, 100, mid=True) == 20
     assert tuning.scan_budget(10, 100) == 25 and tuning.scan_budget(5000, 10**7, True) == 3000
+
+
+def test_presets_follow_the_rules():
+    said = {n: (tuning.Controller.preset(n).target_recall, tuning.Controller.preset(n).speed_weight) for n in tuning.PRESETS}
+    assert said == {"balanced": (0.5, 0.5), "recall": (0.7, 0.3), "speed": (0.4, 0.7)}
+    c = tuning.Controller(max_probe=1000, max_budget=10**6)
+    assert c.probe(10**6, 3333, 9999) == int(int(int(10 * (1 + math.log(100) / math.log(20))) * (1 + 2333 / 2000)) * (1 + 0.1 * (9999 / 3333 - 2)))
+    assert c.feedback(None) == (1.0, 1.0) and c.feedback(0.55) == (1.0, 1.0) and c.feedback(0.1)[0] == pytest.approx(1.4)
+
+
+def test_kernel_keeps_all_ties(spark):
+    base = spark.createDataFrame([(i, [1.0, 2.0, 0.1], 0.0) for i in range(500)], SCHEMA).repartition(3)
+    q = spark.createDataFrame([(0, [1.0, 2.0, 0.3])], "qid long, qvec array<double>")
+    for kernel in (True, False):
+        assert ids(search.knn(base, q, 2, kernel=kernel)) == {0: [0, 1]}
+    c = np.array([[1.0, 2.0, 0.1]] * 70)
+    at, dist = assign.nearest_of(np.array([[1.0, 2.0, 0.3], [9.0, 9.0, 9.0]]), c)
+    assert at.tolist() == [0, 0] and dist[0] == pytest.approx(0.04, abs=1e-12)
+
+
+def test_ids_go_on_after_zero(spark):
+    base = spark.createDataFrame([([0.0, 1.0], 1.0), ([1.0, 0.0], 2.0)], "embedding array<double>, scalar double")
+    index = RangeIndex(spark, n_fine=2, n_coarse=1, n_probe=2).train_with(np.eye(2))
+    index.add(base.limit(1)).add(base).add(base)
+    assert sorted(r.vec_id for r in index.rows.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_replacing_corrects_synopsis_and_codes(spark, rows):
+    base = spark.createDataFrame(rows, SCHEMA)
+    index = RangeIndex(spark, n_fine=6, n_coarse=2, n_probe=6).train(base, rounds=2).add(base)
+    index.train_pq(base, 2, 16)
+    new = base.where("vec_id < 20").withColumn("scalar", F.col("scalar") + 0.5)
+    index.add(new, replace=True).add(new, replace=True)
+    want = stats.synopsis(index.rows, *index.domain).orderBy("fine_id").collect()
+    assert [(r.fine_id, r.cnt, r.min_s, r.max_s, list(r.hist)) for r in index.synopsis.orderBy("fine_id").collect()] == [(r.fine_id, r.cnt, r.min_s, r.max_s, list(r.hist)) for r in want]
+    assert sum(r.cnt for r in want) == len(rows)
+    q = spark.createDataFrame([(0, rows[7][1])], "qid long, qvec array<double>")
+    got = [r.vec_id for r in index.search_pq(q, 4).orderBy("rnk").collect()]
+    assert got == brute(rows, rows[7][1], 4) and index.codes.count() == len(rows)
+
+
+def test_an_insertion_writes_only_its_own_files(spark, rows):
+    import os
+
+    base = spark.createDataFrame(rows, SCHEMA)
+    index = RangeIndex(spark, n_fine=4, n_coarse=2, n_probe=4).train(base, rounds=2).add(base.where("vec_id < 100"))
+    folder = index._folder.removeprefix("file://").removeprefix("file:")
+    before = {f: os.stat(f"{folder}/{f}").st_mtime_ns for f in os.listdir(folder) if f.endswith(".parquet")}
+    index.add(base.where("vec_id >= 100"))
+    after = {f: os.stat(f"{folder}/{f}").st_mtime_ns for f in os.listdir(folder) if f.endswith(".parquet")}
+    assert index._folder.endswith(folder.rsplit("/", 1)[1]) and before.items() <= after.items() and len(after) > len(before)
+    assert index.rows.where("vec_id >= 100").count() == len(rows) - 100 and sum(r["n"] for r in index.sizes().collect()) == len(rows)
+
+
+def test_named_graphs(spark, rows, tmp_path):
+    base = spark.createDataFrame(rows, SCHEMA)
+    index = RangeIndex(spark, n_fine=12, n_coarse=4, n_probe=6, graph_routing=True).train(base, rounds=3).add(base)
+    assert index.graph_drift("a") == math.inf
+    w = index.walker("a")
+    assert index.graph_drift("a") == 0 and index.graph_names() == ["a"]
+    index.save_graph(str(tmp_path / "g"), "a")
+    index.clear_graphs()
+    assert index.graph_names() == []
+    index.load_graph(str(tmp_path / "g"), "b")
+    again = index.walker("b")
+    assert again.edges == w.edges and again.seeds == w.seeds and again.coarse == w.coarse and np.allclose(again.points, w.points)
+
+
+def test_walk_equals_plain_walk(spark, rows):
+    """Beam repair never leaves a list out that is nearer than one it keeps, as far as it walked; with budget for all lists it is exact."""
+    base = spark.createDataFrame(rows, SCHEMA)
+    index = RangeIndex(spark, n_fine=16, n_coarse=4).train(base, rounds=3).add(base)
+    w = index.walker()
+    q = np.asarray(rows[11][1])
+    exact = sorted((float(((p - q) ** 2).sum()), i) for i, p in zip(w.ids, w.points))[:6]
+    far = sorted(w.ids, key=lambda i: -float(((w.points[w.at[i]] - q) ** 2).sum()))[:6]
+    got = w.repair(q, far, set(), 6, 16, 16, 16, 64)
+    assert [i for _, i in got] == [i for _, i in exact] and [d for d, _ in got] == pytest.approx([d for d, _ in exact])
+
+
+def test_search_options_agree(spark, rows, asked):
+    """Budgets, early stop, targeting, fan-out and the one-level search find the same rows where they leave room for all."""
+    base = spark.createDataFrame(rows, SCHEMA)
+    plain = RangeIndex(spark, n_fine=12, n_coarse=4, n_probe=12, n_probe_coarse=4).train(base, rounds=4).add(base)
+    want = ids(plain.search(asked, 5))
+    assert ids(plain.search(asked, 5, budget=1000)) == want
+    assert ids(plain.search(asked, 5, stop=1000, least_share=0.5)) == want
+    assert ids(plain.search_single_level(asked, 5, threshold=1000)) == want
+    plain.params.targeted = plain.params.fan_out = plain.params.filter_aware = True
+    assert ids(plain.search(asked, 5, budget=1000)) == want
+    assert plain.metrics().count() == 1 and plain.ids_of(0).count() == plain.sizes().where("fine_id = 0").first()["n"]
+
+
+def test_refresh_backs_off_and_rebuild_is_due(spark, rows):
+    base = spark.createDataFrame(rows, SCHEMA)
+    index = RangeIndex(spark, n_fine=12, n_coarse=4).train(base, rounds=1).add(base)
+    assert not index.refresh_if_due() and not index.rebuild_if_due()
+    index.since = {k: 10**9 for k in index.since}
+    index.imbalances = [1e-3]
+    assert index.rebuild_if_due() and index.counts["rebuilds"] == 1 and index.since["rebuilds"] == 0
+    g = index.imbalance().first()["g"]
+    due = index.refresh_if_due(least_gain=9.0)
+    assert due == (g > 0.5) and index.backoff == (2 if due else 1)
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from rangevec.sources import scratch
+
+    stub = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(stub)
+
+
+def test_a_set_is_loaded_as_one(spark, rows, tmp_path):
+    base = spark.createDataFrame(rows, SCHEMA)
+    base.write.parquet(str(tmp_path / "base"))
+    spark.createDataFrame([(0, rows[0][1], 1.0, 9.0)], "qid long, qvec array<double>, range_min double, range_max double").write.parquet(str(tmp_path / "queries"))
+    spark.createDataFrame([(100, "hybrid", 0, 1, 90), (240, "hybrid", 0, 1, 200)], "size long, kind string, qid long, rnk int, vec_id long").write.parquet(str(tmp_path / "truth"))
+    found = store.load_set(spark, str(tmp_path))
+    assert found.base.count() == found.train.count() == len(rows) and found.queries.count() == 1 and found.truth.first()["vec_id"] == 200
+    assert store.load_set(spark, str(tmp_path), 80).truth.first()["vec_id"] == -1
