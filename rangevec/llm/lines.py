@@ -318,8 +318,7 @@ def line_classes(docs: DataFrame, distinct: DataFrame, radius: int, reach: int,
     rest = _either(rest.join(own, ["fp", "root"]).join(theirs, ["fp_b", "root_b"]).select("u", "v", _apart("fp", "fp_b").alias("bits")))
     rest = materialize(rest.union(others).distinct().join(_either(first.unionByName(second)), ["u", "v"], "left_anti"), "rest")
     if rest.count() > MANY_LEFT:  # the rows are the same without this step, which connects most pairs by one of them
-        group, third = _settled(rest, group, texts, similarity, True)
-        rest = rest.join(_either(third), ["u", "v"], "left_anti")
+        group, _ = _settled(rest, group, texts, similarity, True)
     return _settled(rest, group, texts, similarity, False)[0].select("id", "group")
 
 
