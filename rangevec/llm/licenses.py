@@ -179,20 +179,20 @@ class Scanner:
             for start, end, got in self._chains(sorted(set(matches))):
                 cover = min(1.0, got / whole)
                 if cover >= self.min_cover:
-                    found.append((self.labels[no], start, end, cover))
+                    found.append((self.labels[no], start, end, cover, got))
                 else:
                     low = max(low, cover)
         return self._best(found) or ([("", 0, 0, low)] if low else [])
 
     @staticmethod
-    def _best(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-        """Spans without those of another label that lie half or more in a span of the same text that is better covered: licences share much of their wording."""
-        beaten = lambda s, t: t[0] != s[0] and t[3] > s[3] and min(s[2], t[2]) - max(s[1], t[1]) >= 0.5 * (s[2] - s[1])
+    def _best(found: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float]]:
+        """Spans without those of another label that lie half or more in one that is better covered, or as well with more words: licences share much of their wording."""
+        beaten = lambda s, t: t[0] != s[0] and (t[3], t[4]) > (s[3], s[4]) and min(s[2], t[2]) - max(s[1], t[1]) >= 0.5 * (s[2] - s[1])
         found = sorted(found, key=lambda s: s[1])
         starts = [s[1] for s in found]
         longest = max((s[2] - s[1] for s in found), default=0)
         around = lambda s: found[bisect_left(starts, s[1] - longest) : bisect_left(starts, s[2])]
-        return [s for s in found if not any(beaten(s, t) for t in around(s))]
+        return [s[:4] for s in found if not any(beaten(s, t) for t in around(s))]
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
         """(start, end, tokens covered) of chains: runs in order in both, with short gaps, overlaps counted once."""

@@ -113,6 +113,7 @@ def _features(c: str) -> list[str]:
         count("."),
         count("("),
         count("@"),
+        f"CASE WHEN {c}.v rlike '(@|at[^a-z]).*([.]|dot)' THEN 1D ELSE 0D END",
         f"CASE WHEN {c}.v LIKE '+%' THEN 1D ELSE 0D END",
         f"CASE WHEN length({d}) BETWEEN 12 AND 19 THEN CASE WHEN {_luhn(d)} THEN 1D ELSE 0D END ELSE -1D END",
         f"CASE WHEN {c}.v rlike '{octets}' THEN 1D ELSE 0D END",
@@ -226,8 +227,6 @@ def fit(x: np.ndarray, y: np.ndarray, precision: float = PRECISION, rounds: int
 
 # How a base span may be written otherwise, by a hash's remainder: what stands for @ and for a dot, what may stand before a card.
 AT_SIGNS, DOTS, BEFORE_CARD = (" (at) ", "(at)", " [at] ", " @ "), (".", " (dot) ", "[dot]", "."), "27 "
-#: Writings that look alike and are none.
-NOT_EMAIL = "look (at) home . now"
 WINDOW = 60
 
 
@@ -244,7 +243,9 @@ def _rewritten(windows: DataFrame) -> DataFrame:
     new = F.when(F.col("k") == 0, email).when(F.col("k") == 3, phone).otherwise(F.col("v"))
     lead = F.when(F.col("k") == 2, F.lit(BEFORE_CARD)).otherwise(F.lit(""))
     yes = windows.where("k <> 1").select("*", new.alias("new"), lead.alias("lead"), F.lit(1.0).alias("y"))
-    no = windows.where("k = 0").select("*", F.lit(NOT_EMAIL).alias("new"), F.lit("").alias("lead"), F.lit(0.0).alias("y"))
+    # a sign between any two words of the surroundings makes no email
+    no = windows.where("k = 0").withColumn("before", F.rtrim("before")).withColumn("after", F.ltrim("after"))
+    no = no.select("*", F.concat(F.lit(" "), F.trim(pick(AT_SIGNS)), F.lit(" ")).alias("new"), F.lit("").alias("lead"), F.lit(0.0).alias("y"))
     start = F.length("before") + F.length("lead")
     return yes.union(no).select("doc_id", F.concat("before", "lead", "new", "after").alias("text"), "k", start.alias("s"), (start + F.length("new")).alias("e"), "y", "h")
 

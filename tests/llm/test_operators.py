@@ -532,7 +532,7 @@ def test_pii_learns_other_writings(spark):
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 8)))
     mail = lambda: f"{word()}.{word()}@{word()}.{rng.choice(['com', 'org', 'net'])}"
     phone = lambda: f"+1 ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
-    learn = [f"{word()} write to {mail()} or call {phone()} {word()} look (at) {word()} on 2024-11-26 10:30 {rng.integers(10**6)}" for _ in range(300)]
+    learn = [f"{word()} write {word()}{word()} {mail()} {word()}{word()} or {word()} {phone()} {word()} on 2024-11-26 10:30 {rng.integers(10**6)}" for _ in range(300)]
     test, want = [], {}
     for i in range(90):
         m, p = mail(), phone()
