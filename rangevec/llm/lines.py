@@ -297,8 +297,11 @@ def line_classes(docs: DataFrame, distinct: DataFrame, radius: int, reach: int,
     found = _tops(first.where("ok").select("u", "v"))
     group = materialize(lines.join(found, lines["id"] == found["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("group")), "groups")
     others = _either(near.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), _apart("a", "b").alias("bits")))
-    others = materialize(others.join(_either(first), ["u", "v"], "left_anti"), "others")
-    group, second = _settled(others, group, texts, similarity, True)
+    others = others.join(_either(first), ["u", "v"], "left_anti")
+    of = lambda x: group.select(F.col("id").alias(x), F.col("group").alias(f"g_{x}"))
+    others = materialize(others.join(of("u"), "u").join(of("v"), "v").where("g_u <> g_v"), "others")
+    group, second, joined = _settled(others, group, texts, similarity, True)
+    others = _relabelled(others, joined)
     # what is left, by groups: lines near their bucket's pivot but not in its group, and lines that share a fingerprint
     classes = group.groupBy("fp", F.col("group").alias("root")).agg(F.count(F.lit(1)).alias("n"))
     theirs = classes.select(F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
@@ -315,28 +318,39 @@ def line_classes(docs: DataFrame, distinct: DataFrame, radius: int, reach: int,
     rest = met.unionByName(many.select("fp", "root", "fp_b", "root_b")).unionByName(same.select("fp", "root", "fp_b", "root_b")).distinct()
     own = group.select(F.col("id").alias("u"), "fp", F.col("group").alias("root"))
     theirs = group.select(F.col("id").alias("v"), F.col("fp").alias("fp_b"), F.col("group").alias("root_b"))
-    rest = _either(rest.join(own, ["fp", "root"]).join(theirs, ["fp_b", "root_b"]).select("u", "v", _apart("fp", "fp_b").alias("bits")))
-    rest = materialize(rest.union(others).distinct().join(_either(first.unionByName(second)), ["u", "v"], "left_anti"), "rest")
+    rest = rest.join(own, ["fp", "root"]).join(theirs, ["fp_b", "root_b"])
+    rest = _either(rest.select("u", "v", _apart("fp", "fp_b").alias("bits"), F.col("root").alias("g_u"), F.col("root_b").alias("g_v")))
+    rest = rest.unionByName(others).distinct().join(_either(first.unionByName(second)), ["u", "v"], "left_anti")
+    rest = materialize(rest, "rest")
     if rest.count() > MANY_LEFT:  # the rows are the same without this step, which connects most pairs by one of them
-        group, _ = _settled(rest, group, texts, similarity, True)
+        group, _, joined = _settled(rest, group, texts, similarity, True)
+        rest = _relabelled(rest, joined)
     return _settled(rest, group, texts, similarity, False)[0].select("id", "group")
 
 
 def _either(pairs: DataFrame) -> DataFrame:
-    """Pairs with the larger id first, and their bits if they have them."""
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), *[c for c in pairs.columns if c == "bits"])
+    """Pairs with the larger id first, and what else they have for both."""
+    swap = lambda x, y: F.when(F.col("u") >= F.col("v"), F.col(x)).otherwise(F.col(y))
+    more = [c for c in pairs.columns if c == "bits"] + ([swap("g_u", "g_v").alias("g_u"), swap("g_v", "g_u").alias("g_v")] if "g_u" in pairs.columns else [])
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), *more)
 
 
-def _settled(pairs: DataFrame, group: DataFrame, texts: DataFrame, similarity: float, one: bool) -> tuple[DataFrame, DataFrame]:
-    """Groups (id, fp, group) after pairs (u, v, bits) of different groups were verified, and those that were; with ``one`` only the nearest pair of any two groups."""
-    of = lambda x: group.select(F.col("id").alias(x), F.col("group").alias(f"g_{x}"))
-    now = pairs.join(of("u"), "u").join(of("v"), "v").where("g_u <> g_v")
+def _relabelled(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (u, v, bits, g_u, g_v) that still are of two groups after some were joined (node, component)."""
+    for g in ("g_u", "g_v"):
+        pairs = pairs.join(joined.select(F.col("node").alias(g), F.col("component").alias("_top")), g, "left").withColumn(g, F.coalesce("_top", g)).drop("_top")
+    return pairs.where("g_u <> g_v").select("u", "v", "bits", "g_u", "g_v")
+
+
+def _settled(pairs: DataFrame, group: DataFrame, texts: DataFrame, similarity: float, one: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups (id, fp, group) after pairs (u, v, bits and their groups g_u, g_v) were verified, those that were, and which groups (node) became part of which (component); with ``one`` only the nearest pair of any two groups is."""
+    now = pairs
     if one:
-        now = now.groupBy(F.least("g_u", "g_v"), F.greatest("g_u", "g_v")).agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v")
+        now = now.groupBy(F.least("g_u", "g_v"), F.greatest("g_u", "g_v")).agg(F.min(F.struct("bits", "u", "v", "g_u", "g_v")).alias("x")).select("x.*")
     tested = _verified(now, texts, similarity)
-    top = connected_components(tested.where("ok").join(of("u"), "u").join(of("v"), "v").select(F.col("g_u").alias("u"), F.col("g_v").alias("v")))
-    new = group.join(top, group["group"] == top["node"], "left").select("id", "fp", F.coalesce("component", "group").alias("group"))
-    return materialize(new, "groups"), tested
+    joined = connected_components(now.join(tested.where("ok"), ["u", "v"]).select(F.col("g_u").alias("u"), F.col("g_v").alias("v")))
+    new = group.join(joined, group["group"] == joined["node"], "left").select("id", "fp", F.coalesce("component", "group").alias("group"))
+    return materialize(new, "groups"), tested, joined
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, reach: int = REACH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
