@@ -231,6 +231,19 @@ def test_kmeans_pieces(spark, rows):
     assert kmeans.training_size(5_000_000, capped=True) == 100_000
 
 
+def test_kmeans_with_tasks_that_hold_no_row(spark, rows):
+    base = spark.createDataFrame(rows[:3], SCHEMA)
+    start = np.array([r[1] for r in rows[:2]])
+    x = np.array([r[1] for r in rows[:3]])
+    spread = base.repartition(9)
+    assert np.allclose(kmeans.fit(spread, start, 3), kmeans.fit_local(x, start, 3))
+    assert np.allclose(kmeans.lloyd_step(spread.where("vec_id < 0"), start), start)
+    assert len(kmeans.fit_two_level(spread, 2, 1, rounds=2).fine) == 2
+    listed = spread.withColumn("fine_id", F.lit(3)).withColumn("dist_sq", F.lit(0.0))
+    centroids = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:8])], "fine_id int, centroid array<double>")
+    assert mutate.local_recluster(listed, centroids, 3, 2, 1).count() <= 3
+
+
 def test_assignment_by_kernel_equals_plain(spark, rows):
     base = spark.createDataFrame(rows, SCHEMA)
     many = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:80])], "fine_id int, centroid array<double>")
