@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangevec.llm.common import python_rows, real_ids, short_batches, table
-from rangevec.llm.components import connected_components
+from rangevec.llm.components import connected_components, forest
 from rangevec.sources.scratch import materialize
 
 SEED = 42
@@ -96,24 +96,6 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc
     return real_ids(python_rows(docs, id_col, text_col).mapInPandas(run, schema))
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each node of the graph to the smallest node of its component."""
-    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    child = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[child], nodes[label[child]]
-
-
 class _Links:
     """Links of one tile, cut down to a forest whenever many have gathered."""
 

@@ -173,6 +173,24 @@ def test_components_random_graphs(spark):
     assert components.connected_components(path).where("component = 0").count() == 300
 
 
+def test_components_in_rounds_and_at_once(spark):
+    rng = np.random.default_rng(4)
+    star = [(3, int(i)) for i in range(40, 80)]
+    for m in (0, 25, 120):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, 80, (m, 2))] + star
+        df = spark.createDataFrame(pairs, "u long, v long")
+        want = {i: c for i, c in linked(range(80), lambda a, b, e=set(pairs): (a, b) in e or (b, a) in e).items() if i != c}
+        for options in ({}, {"few": 0, "hot": 5, "salts": 3}, {"few": 0}):
+            assert {r.node: r.component for r in components.connected_components(df, **options).collect()} == want
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    assert components.connected_components(path, few=0).where("component = 0").count() == 300
+
+
+def test_only_nodes_of_many_links_are_salted(spark):
+    least = spark.createDataFrame([(u, 0, 1 if u < 99 else 1000) for u in range(100)], "u long, least long, n long")
+    assert components._dealt(least, 16, 10).count() == 99 + 16
+
+
 # decontamination
 
 
