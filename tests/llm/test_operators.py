@@ -747,3 +747,23 @@ def test_tree_equals_plain_weighting():
         assert math.isclose(log, tree.score(np.array([k], np.uint64))[0], rel_tol=1e-9)
     for context in (0x6261, 0x6161, 0x7A7A, 0x0000):
         assert math.isclose((10 ** tree.score((np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64))).sum(), 1, rel_tol=1e-6)
+
+
+def test_scores_use_all_nodes(spark, monkeypatch):
+    """Whatever is broadcast and however shards are parted, scores are those of one tree of all nodes, runs not seen in training included."""
+    rng = np.random.default_rng(7)
+    syllables = ["ka", "lo", "mi", "ré", "tu", "shen", "中", "x", "st", "or"]
+    text = lambda: " ".join("".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(rng.integers(0, 60)))
+    rows = [(i, text() if i % 3 else LONG[i * 50 : i * 50 + 400]) for i in range(120)] + [(500, "never §een ŷ§ qqqq ka lo"), (501, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = docs.where("doc_id % 10 <> 0 AND doc_id < 500")
+    depth = context_tree.DEPTH
+    bodies = {i: b" ".join(context_tree.words_of(t or "")) for i, t in rows}
+    keys = np.concatenate([context_tree.grams([bodies[i]], depth)[0] for i, _ in rows if i % 10 and i < 500])
+    tree = context_tree.Tree(context_tree.by_order(keys, np.ones(len(keys)), range(depth + 1)))
+    want = {i: tree.score(context_tree.grams([b], depth)[0]).sum() for i, b in bodies.items()}
+    assert len(tree.keys[depth]) > 2000
+    for max_nodes, chunk in ((0, 1), (300, 500), (1 << 19, 200_000)):
+        monkeypatch.setattr(context_tree, "CHUNK", chunk)
+        got = {r.doc_id: r.score for r in context_tree.score(docs, context_tree.train(seen, max_nodes=max_nodes)).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-8) for i in want)
