@@ -30,6 +30,7 @@ on the way back AQE splits the side of the occurrences.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,10 +63,15 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
-def parted(line: Column) -> Column:
-    """A normalised line without blanks at its ends; characters of unspaced scripts stand alone where most of a line is of three bytes a character."""
+def _wide(line: Column, chars: Column) -> Column:
+    return F.octet_length(line) >= 2 * chars
+
+
+def parted(line: Column, chars: Column | None = None) -> Column:
+    """A normalised line (of ``chars`` characters) without blanks at its ends; characters of unspaced scripts stand alone where most of a line is of three bytes a character."""
+    chars = F.length(line) if chars is None else chars
     apart = F.regexp_replace(F.regexp_replace(line, _UNSPACED, " $1 "), " +", " ")
-    return F.trim(F.when(F.octet_length(line) >= 2 * F.length(line), apart).otherwise(line))
+    return F.trim(F.when(_wide(line, chars), apart).otherwise(line))
 
 
 #: Words that a counter of 16 bits can count, with room for the comparison.
@@ -77,6 +83,10 @@ def _ones(width: int) -> Column:
     return F.lit(sum(1 << at for at in range(0, 64, width)))
 
 
+def _total(terms) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
 def _over_half(total: Column, n: Column, width: int) -> Column:
     """One at the lowest bit of each lane of ``width`` bits whose count is over n / 2; counts stay below a quarter of the lane."""
     flag = width - 2
@@ -104,28 +114,61 @@ def telling(words: str = "words") -> Column:
     return F.when(F.size(long) >= MIN_WORDS, long).otherwise(F.col(words))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, norm, words) of all lines but empty ones."""
+#: Words of four bytes and more: four characters, three not all ASCII, two beyond it or one of them beyond two bytes, one of four bytes.
+_LONG = (
+    r"(?<![^ ])(?:[^ ]{4,}|(?=[^ ]{0,2}[^\x00-\x7F])[^ ]{3}|[^\x00-\x7F]{2}|[^ ][\x{800}-\x{10FFFF}]|[\x{800}-\x{10FFFF}][^ ]|[\x{10000}-\x{10FFFF}])(?![^ ])"
+)
+#: So many words of a line are one row until the map side combines them.
+AT_ONCE = 4
+#: So many words of a line are looked at one by one before it is searched for five long ones.
+FIRST = 12
+
+
+def _few_long() -> Column:
+    """Whether fewer than five words are long: what ``telling`` asks, without a function of arrays, which would cost a copy of all words at each step."""
+    found = F.lit(0)
+    for i in range(FIRST):
+        found = found + F.when(F.octet_length(F.get("words", F.lit(i))) >= LONG_WORD, 1).otherwise(0)
+    return F.when(found >= MIN_WORDS, False).otherwise(F.regexp_count("norm", F.lit(_LONG)) < MIN_WORDS)
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, only: str = "true") -> DataFrame:
+    """(doc_id, line_no, line) of all lines but empty ones, of which ``only`` may choose some."""
     rows = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
     lines = rows.select("doc_id", F.posexplode(F.split(normalise(F.col("text")), "\n")).alias("line_no", "line"))
-    lines = lines.where("line NOT IN ('', ' ')")  # told before the rest, which would else be done twice
+    return lines.where(f"line NOT IN ('', ' ') AND {only}")  # told before the rest, which would else be done twice
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str, only: str = "true") -> DataFrame:
+    """(doc_id, line_no, norm, words) of all lines but empty ones, of which ``only`` may choose some by ``line``."""
+    lines = _lines(docs, id_col, text_col, only)
     return lines.select("doc_id", "line_no", parted(F.col("line")).alias("norm")).withColumn("words", F.split("norm", " "))
 
 
 def fingerprinted(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, h, len, n, fp) of all lines but empty ones; no fingerprint for those of fewer words.
 
-    Lines of up to MOST words are counted by an aggregate, a row for each word
+    Lines too short for more than MOST words are counted by an aggregate, a row for some words
     until the map side combines them; of longer ones each is one row throughout.
     """
-    size = F.size("words").alias("n")
-    about = lambda lines: lines.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), (F.length("norm") - F.size("words") + 1).alias("len"), size, telling().alias("words"))
-    lines = about(occurrences(docs, id_col, text_col).where(F.size("words") <= MOST)).withColumn("rid", F.monotonically_increasing_id())
+    digest, size = F.unhex(F.md5("norm")).alias("h"), F.size("words").alias("n")
+    wide = f"octet_length(line) >= {2 * MOST}"
+    # each step names what the next uses more than once, and a filter would be moved down and do it all again
+    lines = _lines(docs, id_col, text_col, f"NOT {wide}").withColumn("chars", F.length("line"))
+    lines = lines.withColumn("norm", parted(F.col("line"), F.col("chars"))).withColumn("words", F.split("norm", " "))
+    blanks = F.octet_length("line") - F.octet_length("norm")  # trimmed off, where nothing was put in
+    letters = F.when(_wide(F.col("line"), F.col("chars")), F.length("norm")).otherwise(F.col("chars") - blanks) - F.size("words") + 1
+    lines = lines.select("doc_id", "line_no", digest, letters.alias("len"), size, _few_long().alias("few"), "words", F.monotonically_increasing_id().alias("rid"))
     keys = ["rid", "doc_id", "line_no", "h", "len", "n"]
-    each = lines.select(*keys, F.explode("words").alias("w")).select(*keys, F.xxhash64("w").alias("x"))
-    sums = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(_ones(16))).alias(c) for j, c in enumerate(LANES)]
-    counted = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *sums).withColumn("fp", _fingerprint([F.col(c) for c in LANES], F.col("m")))
-    wide = about(occurrences(docs.where(F.octet_length(F.col(text_col)) > 2 * MOST), id_col, text_col).where(F.size("words") > MOST))
+    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(AT_ONCE))).alias("at")
+    some = [F.get("words", F.col("at") + i).alias(f"_w{i}") for i in range(AT_ONCE)]
+    counts = lambda w: (F.octet_length(w) >= LONG_WORD) | (F.col("few") & F.col(w).isNotNull())
+    each = lines.select(*keys, "few", "words", at).select(*keys, "few", *some)
+    each = each.select(*keys, *[F.when(counts(f"_w{i}"), F.xxhash64(f"_w{i}")).otherwise(0).alias(f"_x{i}") for i in range(AT_ONCE)], _total(F.when(counts(f"_w{i}"), 1).otherwise(0) for i in range(AT_ONCE)).alias("m"))
+    sums = [F.sum(_total(F.shiftrightunsigned(f"_x{i}", j).bitwiseAND(_ones(16)) for i in range(AT_ONCE))).alias(c) for j, c in enumerate(LANES)]
+    counted = each.groupBy(*keys).agg(F.sum("m").alias("m"), *sums).withColumn("fp", _fingerprint([F.col(c) for c in LANES], F.col("m")))
+    about = lambda lines: lines.select("doc_id", "line_no", digest, (F.length("norm") - F.size("words") + 1).alias("len"), size, telling().alias("words"))
+    wide = about(occurrences(docs.where(F.octet_length(F.col(text_col)) > MOST), id_col, text_col, wide))  # lower case takes half as many bytes more at most
     wide = with_simhash(wide.withColumn("words", F.transform("words", lambda w: F.xxhash64(w))), "words")
     out = ["doc_id", "line_no", "h", "len", "n", F.when(F.col("n") >= min_words, F.col("fp")).alias("fp")]
     return counted.select(*out).unionByName(wide.select(*out))
@@ -381,7 +424,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = line_groups(docs, id_col=id_col, text_col=text_col, **options)
     drops = groups.where("doc_id <> keep_doc OR line_no <> keep_line").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     return rows.join(drops, "doc_id", "left").select(
         "doc_id",
         "n_lines",

@@ -336,6 +336,29 @@ def test_line_simhash_lanes(spark):
         assert r.s & (2**64 - 1) == want
 
 
+def test_line_fingerprints_equal_plain_counts(spark):
+    """Long words told by bytes, few of them, words at all offsets of a row, lines around MOST words, upper case that grows, in one stage of code."""
+    some = ["ab", "abc", "abcd", "é", "éé", "ébc", "ébcd", "中a", "ह", "हa", "aह", "हहह", "é1", "1é2", "\U0001d400", "a\U0001d400", "ƀ9", "straße", "x" * 40]
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(some, n)) for n in [*range(1, 40), 63, 64, 200] for _ in range(6)]
+    texts += [" ".join(["a"] * n) for n in (16382, 16383, 16384)] + ["ȺȾ" * 5500 + " and some words more", " ".join(["İ"] * 11000), "a b c d e f g h i j k l m n longer words stand after the first ones here"]
+    texts += [" ".join(["it", "is"] * 10 + ["long", "word", "here", "then"][:k] + ["last"]) for k in range(5)]
+    d = spark.createDataFrame([(i, f"- {t} \n!!\n{t}") for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = {}
+    occ = lines.occurrences(d, "doc_id", "text").select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("x"))
+    for r in occ.collect():
+        long = [x for w, x in zip(r.words, r.x) if len(w.encode()) >= 4]
+        x = np.array(long if len(long) >= 5 else r.x, np.int64).view(np.uint64)
+        fp = sum(1 << b for b in range(64) if 2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(x))
+        want[r.doc_id, r.line_no] = (hashlib.md5(r.norm.encode()).digest(), len(r.norm.replace(" ", "")), len(r.words), fp if len(r.words) >= 5 else None)
+    found = lines.fingerprinted(d, 5, "doc_id", "text")
+    got = {(r.doc_id, r.line_no): (bytes(r.h), r.len, r.n, None if r.fp is None else r.fp & (2**64 - 1)) for r in found.collect()}
+    assert len(want) == 2 * len(texts) and got == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    main = "".join(x for x in plan.splitlines() if x.startswith(":"))  # the first branch of the union
+    assert main.count("split(norm") == 1 and "lambda" not in main  # words are split once, and nothing takes the stage apart
+
+
 def test_lines_equal_brute_force(spark, docs, empty):
     base = "this is one rather common line of text that many pages share with each other every day of the week"
     han = "他们说这个城市的天气总是很好所以每年都有许多人来这里旅行而且春天的时候河边开满了白色和红色的花孩子们在树下唱歌老人坐着喝茶下棋直到太阳落山"
