@@ -145,16 +145,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, only: str = "true")
     return lines.select("doc_id", "line_no", parted(F.col("line")).alias("norm")).withColumn("words", F.split("norm", " "))
 
 
-def fingerprinted(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, h, len, n, fp) of all lines but empty ones; no fingerprint for those of fewer words.
-
-    Lines too short for more than MOST words are counted by an aggregate, a row for some words
-    until the map side combines them; of longer ones each is one row throughout.
-    """
+def _counted(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, h, len, n, fp) of all lines but empty ones; those that may have over MOST words have a len of 0 and nothing else that is right."""
     digest, size = F.unhex(F.md5("norm")).alias("h"), F.size("words").alias("n")
-    wide = f"octet_length(line) >= {2 * MOST}"
     # each step names what the next uses more than once, and a filter would be moved down and do it all again
-    lines = _lines(docs, id_col, text_col, f"NOT {wide}").withColumn("chars", F.length("line"))
+    lines = _lines(docs, id_col, text_col).withColumn("line", F.when(F.octet_length("line") < 2 * MOST, F.col("line")).otherwise(""))
+    lines = lines.withColumn("chars", F.length("line"))
     lines = lines.withColumn("norm", parted(F.col("line"), F.col("chars"))).withColumn("words", F.split("norm", " "))
     blanks = F.octet_length("line") - F.octet_length("norm")  # trimmed off, where nothing was put in
     letters = F.when(_wide(F.col("line"), F.col("chars")), F.length("norm")).otherwise(F.col("chars") - blanks) - F.size("words") + 1
@@ -167,11 +163,24 @@ def fingerprinted(docs: DataFrame, min_words: int, id_col: str, text_col: str) -
     each = each.select(*keys, *[F.when(counts(f"_w{i}"), F.xxhash64(f"_w{i}")).otherwise(0).alias(f"_x{i}") for i in range(AT_ONCE)], _total(F.when(counts(f"_w{i}"), 1).otherwise(0) for i in range(AT_ONCE)).alias("m"))
     sums = [F.sum(_total(F.shiftrightunsigned(f"_x{i}", j).bitwiseAND(_ones(16)) for i in range(AT_ONCE))).alias(c) for j, c in enumerate(LANES)]
     counted = each.groupBy(*keys).agg(F.sum("m").alias("m"), *sums).withColumn("fp", _fingerprint([F.col(c) for c in LANES], F.col("m")))
-    about = lambda lines: lines.select("doc_id", "line_no", digest, (F.length("norm") - F.size("words") + 1).alias("len"), size, telling().alias("words"))
-    wide = about(occurrences(docs.where(F.octet_length(F.col(text_col)) > MOST), id_col, text_col, wide))  # lower case takes half as many bytes more at most
+    return counted.select("doc_id", "line_no", "h", "len", "n", F.when(F.col("n") >= min_words, F.col("fp")).alias("fp"))
+
+
+def fingerprinted(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, h, len, n, fp) of all lines but empty ones, written; no fingerprint for those of fewer words.
+
+    Lines too short for more than MOST words are counted by an aggregate, a row for some words
+    until the map side combines them; longer ones, if there are any, are one row each throughout.
+    """
+    counted = materialize(_counted(docs, min_words, id_col, text_col), "lines")
+    if not counted.where("len = 0").head(1):
+        return counted
+    # lower case takes half as many bytes more at most
+    wide = occurrences(docs.where(F.octet_length(F.col(text_col)) > MOST), id_col, text_col, f"octet_length(line) >= {2 * MOST}")
+    wide = wide.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), (F.length("norm") - F.size("words") + 1).alias("len"), F.size("words").alias("n"), telling().alias("words"))
     wide = with_simhash(wide.withColumn("words", F.transform("words", lambda w: F.xxhash64(w))), "words")
-    out = ["doc_id", "line_no", "h", "len", "n", F.when(F.col("n") >= min_words, F.col("fp")).alias("fp")]
-    return counted.select(*out).unionByName(wide.select(*out))
+    wide = wide.select(*counted.columns[:-1], F.when(F.col("n") >= min_words, F.col("fp")).alias("fp"))
+    return counted.where("len > 0").unionByName(materialize(wide, "long-lines"))
 
 
 def block_keys(fp: str, radius: int = RADIUS) -> Column:
@@ -398,12 +407,13 @@ def _settled(pairs: DataFrame, group: DataFrame, texts: DataFrame, similarity: f
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, reach: int = REACH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, keep_doc, keep_line) of every line that has another occurrence, itself included."""
-    seen = materialize(fingerprinted(docs, min_words, id_col, text_col), "lines")
+    seen = fingerprinted(docs, min_words, id_col, text_col)
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")
     distinct = seen.groupBy("h", "fp", "len", F.col("n").alias("words")).agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n"))
     distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     found = line_classes(docs, distinct, radius, reach, similarity, id_col, text_col)
-    grouped = materialize(distinct.join(found, "id", "left").select("h", "place", "n", F.coalesce("group", "id").alias("group")), "grouped")
+    # a line that occurs once and meets none has no part in any group
+    grouped = materialize(distinct.join(found, "id", "left").where("n > 1 OR group IS NOT NULL").select("h", "place", "n", F.coalesce("group", "id").alias("group")), "grouped")
     first = grouped.groupBy("group").agg(F.min("place").alias("keep"), F.sum("n").alias("whole")).where("whole > 1")
     keep_doc = F.floor(F.col("keep") / F.lit(1 << 31)).cast("long")
     keeps = grouped.join(first, "group").select("h", keep_doc.alias("keep_doc"), (F.col("keep") - keep_doc.cast("decimal(38,0)") * F.lit(1 << 31)).cast("int").alias("keep_line"))
